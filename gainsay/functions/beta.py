@@ -1,15 +1,13 @@
-"""Beta-distribution statistics as Column expressions (no joins, no UDFs, inside codegen)."""
+"""Beta-distribution statistics as SQL expressions (no joins, no UDFs, inside codegen)."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Fixed values (must equal the published behaviour).
 EULER_GAMMA = 0.5772156649015329
 TETRAGAMMA_AT_ONE = -2.404114
+TWO_ZETA_3 = 2.404113806319188
 DIGAMMA_LOG_FROM = 1000
 TRIGAMMA_INVERSE_FROM = 500
 TETRAGAMMA_INVERSE_FROM = 200
@@ -20,88 +18,80 @@ BIAS_MEAN = 0.8
 _SERIES_FROM = 16
 
 
-def _finite_sums(start: float, term) -> Column:
+def _finite_sums(start: float, term) -> str:
     values, acc = [start], start
     for k in range(1, _SERIES_FROM - 1):
         acc += term(k)
         values.append(acc)
-    return F.array(*[F.lit(v) for v in values])
-
-
-def digamma(n: Column) -> Column:
-    """psi(n) for a positive integer column; ``ln n`` from 1000 on."""
-    x = n.cast("double")
-    inv2 = F.lit(1.0) / (x * x)
-    series = F.log(x) - F.lit(0.5) / x - inv2 * (
-        F.lit(1 / 12) - inv2 * (F.lit(1 / 120) - inv2 * (F.lit(1 / 252) - inv2 * F.lit(1 / 240))))
-    small = F.element_at(_finite_sums(-EULER_GAMMA, lambda k: 1.0 / k), n.cast("int"))
-    return (F.when(n >= DIGAMMA_LOG_FROM, F.log(x))
-             .when(n >= _SERIES_FROM, series)
-             .otherwise(small))
-
-
-def trigamma(n: Column) -> Column:
-    """psi'(n) for a positive integer column; ``1/n`` from 500 on."""
-    x = n.cast("double")
-    inv = F.lit(1.0) / x
-    inv2 = inv * inv
-    series = inv + inv2 * F.lit(0.5) + inv * inv2 * (
-        F.lit(1 / 6) - inv2 * (F.lit(1 / 30) - inv2 * (F.lit(1 / 42) - inv2 * F.lit(1 / 30))))
-    small = F.element_at(_finite_sums(math.pi ** 2 / 6, lambda k: -1.0 / (k * k)), n.cast("int"))
-    return (F.when(n >= TRIGAMMA_INVERSE_FROM, inv)
-             .when(n >= _SERIES_FROM, series)
-             .otherwise(small))
-
-
-def tetragamma(n: Column) -> Column:
-    """psi''(n) for a positive integer column; ``1/n**2`` (note the sign) from 200 on."""
-    x = n.cast("double")
-    inv = F.lit(1.0) / x
-    inv2 = inv * inv
-    two_zeta_3 = 2.404113806319188
-    tail = inv2 + inv2 * inv + inv2 * inv2 * (
-        F.lit(0.5) - inv2 * (F.lit(1 / 6) - inv2 * (F.lit(1 / 6) - inv2 * F.lit(0.3))))
-    series = F.lit(TETRAGAMMA_AT_ONE + two_zeta_3) - tail
-    small = F.element_at(_finite_sums(TETRAGAMMA_AT_ONE, lambda k: 2.0 / k ** 3), n.cast("int"))
-    return (F.when(n >= TETRAGAMMA_INVERSE_FROM, inv2)
-             .when(n >= _SERIES_FROM, series)
-             .otherwise(small))
-
-
-def mean(a: Column, b: Column) -> Column:
-    return a.cast("double") / (a + b).cast("double")
-
-
-def mean_log(a: Column, b: Column) -> Column:
+    return "array(" + ", ".join(f"{v!r}D" for v in values) + ")"
+
+
+def _piecewise(n: str, limit: int, beyond: str, series: str, sums: str) -> str:
+    return (f"CASE WHEN {n} >= {limit} THEN {beyond} WHEN {n} >= {_SERIES_FROM} THEN {series} "
+            f"ELSE element_at({sums}, CAST({n} AS INT)) END")
+
+
+def digamma_sql(n: str) -> str:
+    """psi(n) for a positive integer; ``ln n`` from 1000 on."""
+    x = f"CAST({n} AS DOUBLE)"
+    q = f"(1D / ({x} * {x}))"
+    series = f"ln({x}) - 0.5D / {x} - {q} * (1D/12 - {q} * (1D/120 - {q} * (1D/252 - {q} * (1D/240))))"
+    return _piecewise(n, DIGAMMA_LOG_FROM, f"ln({x})", series, _finite_sums(-EULER_GAMMA, lambda k: 1.0 / k))
+
+
+def trigamma_sql(n: str) -> str:
+    """psi'(n) for a positive integer; ``1/n`` from 500 on."""
+    r = f"(1D / CAST({n} AS DOUBLE))"
+    q = f"({r} * {r})"
+    series = f"{r} + {q} * 0.5D + {r} * {q} * (1D/6 - {q} * (1D/30 - {q} * (1D/42 - {q} * (1D/30))))"
+    return _piecewise(n, TRIGAMMA_INVERSE_FROM, r, series,
+                      _finite_sums(math.pi ** 2 / 6, lambda k: -1.0 / (k * k)))
+
+
+def tetragamma_sql(n: str) -> str:
+    """psi''(n) for a positive integer; ``1/n**2`` (note the sign) from 200 on."""
+    r = f"(1D / CAST({n} AS DOUBLE))"
+    q = f"({r} * {r})"
+    tail = f"({q} + {q} * {r} + {q} * {q} * (0.5D - {q} * (1D/6 - {q} * (1D/6 - {q} * 0.3D))))"
+    series = f"{TETRAGAMMA_AT_ONE + TWO_ZETA_3!r}D - {tail}"
+    return _piecewise(n, TETRAGAMMA_INVERSE_FROM, q, series,
+                      _finite_sums(TETRAGAMMA_AT_ONE, lambda k: 2.0 / k ** 3))
+
+
+def mean_sql(a: str, b: str) -> str:
+    return f"(CAST({a} AS DOUBLE) / CAST({a} + {b} AS DOUBLE))"
+
+
+def mean_log_sql(a: str, b: str) -> str:
     """E[ln p] under Beta(a, b)."""
-    return digamma(a) - digamma(a + b)
+    return f"({digamma_sql(a)} - {digamma_sql(f'({a} + {b})')})"
 
 
-def spread_log(a: Column, b: Column) -> Column:
+def spread_log_sql(a: str, b: str) -> str:
     """Var[ln p] under Beta(a, b) (used without a square root)."""
-    return trigamma(a) - trigamma(a + b)
+    return f"({trigamma_sql(a)} - {trigamma_sql(f'({a} + {b})')})"
 
 
-def gradient(a: Column, b: Column) -> Column:
-    total = (a + b).cast("double")
-    return b.cast("double") / (a.cast("double") * total * total)
+def gradient_sql(a: str, b: str) -> str:
+    total = f"CAST({a} + {b} AS DOUBLE)"
+    return f"(CAST({b} AS DOUBLE) / (CAST({a} AS DOUBLE) * {total} * {total}))"
 
 
-def beta_columns(a: Column, b: Column, prefix: str = "") -> list[Column]:
-    """The four statistics of Beta(a, b) as aliased columns."""
-    return [mean(a, b).alias(prefix + "mean"), mean_log(a, b).alias(prefix + "mean_log"),
-            spread_log(a, b).alias(prefix + "spread_log"), gradient(a, b).alias(prefix + "grad")]
+def beta_columns(a: str = "a", b: str = "b", prefix: str = "") -> list[str]:
+    """The four statistics of Beta(a, b), ready for ``selectExpr``."""
+    return [f"{mean_sql(a, b)} AS {prefix}mean", f"{mean_log_sql(a, b)} AS {prefix}mean_log",
+            f"{spread_log_sql(a, b)} AS {prefix}spread_log", f"{gradient_sql(a, b)} AS {prefix}grad"]
 
 
-def distance(lower_log: Column, lower_spread: Column, upper_log: Column, upper_spread: Column,
-             upper_mean: Column) -> Column:
+def distance_sql(lower_log: str, lower_spread: str, upper_log: str, upper_spread: str, upper_mean: str) -> str:
     """How clearly the upper distribution lies below the lower one, in combined deviations."""
-    raw = (lower_log - upper_log) / F.sqrt(lower_spread * lower_spread + upper_spread * upper_spread)
-    damp = F.exp(F.lit(-(1.0 - BIAS_MEAN)) / (F.lit(1.0) - upper_mean))
-    return raw * F.when(upper_mean > BIAS_MEAN, damp).otherwise(F.lit(1.0))
+    spread = f"sqrt({lower_spread} * {lower_spread} + {upper_spread} * {upper_spread})"
+    damp = f"CASE WHEN {upper_mean} > {BIAS_MEAN}D THEN exp({-(1.0 - BIAS_MEAN)!r}D / (1D - {upper_mean})) ELSE 1D END"
+    return f"(({lower_log} - {upper_log}) / {spread} * {damp})"
 
 
-def norm_dist(lower_a: Column, lower_b: Column, upper_a: Column, upper_b: Column) -> Column:
-    """``distance`` of Beta(lower_a, lower_b) and Beta(upper_a, upper_b)."""
-    return distance(mean_log(lower_a, lower_b), spread_log(lower_a, lower_b),
-                    mean_log(upper_a, upper_b), spread_log(upper_a, upper_b), mean(upper_a, upper_b))
+def norm_dist_sql(lower_a: str, lower_b: str, upper_a: str, upper_b: str) -> str:
+    """``distance_sql`` of Beta(lower_a, lower_b) and Beta(upper_a, upper_b)."""
+    return distance_sql(mean_log_sql(lower_a, lower_b), spread_log_sql(lower_a, lower_b),
+                        mean_log_sql(upper_a, upper_b), spread_log_sql(upper_a, upper_b),
+                        mean_sql(upper_a, upper_b))

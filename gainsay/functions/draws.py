@@ -1,4 +1,4 @@
-"""Counter-based random draws written as Column expressions.
+"""Counter-based random draws written as SQL expressions.
 
 Draw number ``i`` of a seed is a pure function of ``(seed, i)``: a retried or speculative task
 redraws the same pairs, and any other SQL engine can replay the sample.  The mixer multiplies
@@ -8,9 +8,6 @@ overflow checks never fire.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 MASK32 = 0xFFFFFFFF
 MULTIPLIERS = (0x7FEB352D, 0x31848BAB, 0x5BD1E995)
 SHIFTS = (16, 15, 14)
@@ -30,19 +27,17 @@ def stream_keys(seed: int) -> dict[str, int]:
     return {s: mix_int((seed * 0x9E3779B1 + 977 * (k + 1)) & MASK32) for k, s in enumerate(STREAMS)}
 
 
-def _mix(h: Column) -> Column:
+def _mix(h: str) -> str:
     for mult, shift in zip(MULTIPLIERS, SHIFTS):
-        h = (h.bitwiseXOR(F.shiftright(h, shift)) * F.lit(mult)).bitwiseAND(F.lit(MASK32))
-    return h.bitwiseXOR(F.shiftright(h, 16))
+        h = f"((({h} ^ shiftright({h}, {shift})) * {mult}L) & {MASK32}L)"
+    return f"({h} ^ shiftright({h}, 16))"
 
 
-def _word(i: Column, key: int) -> Column:
-    low = i.bitwiseAND(F.lit(MASK32))
-    high = F.shiftright(i, 32) * F.lit(HIGH_WORD)
-    return _mix(low.bitwiseXOR(high).bitwiseXOR(F.lit(key)).bitwiseAND(F.lit(MASK32)))
+def word_sql(i: str, key: int) -> str:
+    """32 random bits of counter ``i``."""
+    return _mix(f"(({i} ^ (shiftright({i}, 32) * {HIGH_WORD}L) ^ {key}L) & {MASK32}L)")
 
 
-def uniform_below(i: Column, bound: int, hi_key: int, lo_key: int) -> Column:
-    """Uniform integer in ``[0, bound)`` for counter ``i``, from 62 random bits."""
-    wide = F.shiftright(_word(i, hi_key), 1) * F.lit(1 << 31) + F.shiftright(_word(i, lo_key), 1)
-    return wide % F.lit(bound).cast("long")
+def below_sql(high: str, low: str, bound: int) -> str:
+    """Uniform integer in ``[0, bound)`` from two 32-bit words (62 bits are used)."""
+    return f"((shiftright({high}, 1) * {1 << 31}L + shiftright({low}, 1)) % {bound}L)"

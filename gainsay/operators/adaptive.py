@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gainsay.functions import beta
@@ -13,19 +12,16 @@ from gainsay.operators.pairs import DOUBLINGS, FIRST_BATCH
 THRESHOLD_SCALE = 0.01
 CONSTANT_PENALTY = 1_000_000_000
 
-
-def batch_pairs(batch: Column) -> Column:
-    """Pairs drawn in a batch."""
-    return F.call_function("shiftleft", F.lit(FIRST_BATCH).cast("long"), F.least(batch, F.lit(DOUBLINGS)))
+BATCH_PAIRS = f"shiftleft({FIRST_BATCH}L, least(batch, {DOUBLINGS}))"
+_STATS = ("a", "b", "mean", "mean_log", "spread_log", "grad")
 
 
 def running_beta(counts: DataFrame) -> DataFrame:
     """``(pred_id, batch, a, b, ...)``: Beta parameters after each batch, starting from (1, 1)."""
-    w = W.partitionBy("pred_id").orderBy("batch").rowsBetween(W.unboundedPreceding, W.currentRow)
-    missed = batch_pairs(F.col("batch")) - F.col("hits")
-    run = counts.select("pred_id", "batch", (F.sum("hits").over(w) + 1).alias("a"),
-                        (F.sum(missed).over(w) + 1).alias("b"))
-    return run.select("*", *beta.beta_columns(F.col("a"), F.col("b")))
+    over = "OVER (PARTITION BY pred_id ORDER BY batch ROWS UNBOUNDED PRECEDING)"
+    return (counts.selectExpr("pred_id", "batch", f"1 + sum(hits) {over} AS a",
+                              f"1 + sum({BATCH_PAIRS} - hits) {over} AS b")
+                  .selectExpr("*", *beta.beta_columns()))
 
 
 def adaptive_stop(counts: DataFrame, min_grad: float) -> DataFrame:
@@ -33,18 +29,22 @@ def adaptive_stop(counts: DataFrame, min_grad: float) -> DataFrame:
 
     ``active`` says that no batch reached it; the state is then that of the last batch.
     """
-    row = F.struct("batch", "a", "b", "mean", "mean_log", "spread_log", "grad")
-    picked = running_beta(counts).groupBy("pred_id").agg(
-        F.min(F.when(F.col("grad") <= min_grad, row)).alias("stop"), F.max(row).alias("end"))
-    state = F.coalesce("stop", "end")
-    return picked.select("pred_id", state["batch"].alias("last_batch"), F.col("stop").isNull().alias("active"),
-                         *[state[c].alias(c) for c in ("a", "b", "mean", "mean_log", "spread_log", "grad")])
+    row = f"struct(batch, {', '.join(_STATS)})"
+    return (running_beta(counts).groupBy("pred_id")
+            .agg(F.expr(f"min(CASE WHEN grad <= {min_grad!r}D THEN {row} END) AS stop"),
+                 F.expr(f"max({row}) AS final"))
+            .selectExpr("pred_id", "stop IS NULL AS active", "coalesce(stop, final) AS state")
+            .selectExpr("pred_id", "state.batch AS last_batch", "active", *[f"state.{c} AS {c}" for c in _STATS]))
+
 
+def penalised(stats: DataFrame) -> DataFrame:
+    """Applies the penalty for comparisons that a constant column cannot satisfy.
 
-def penalised(a: Column, b: Column, constant: Column, op: Column) -> tuple[Column, Column]:
-    """Beta parameters with the penalty for comparisons a constant column cannot satisfy."""
-    hit = constant & op.isin("!=", ">", "<")
-    return F.when(hit, F.lit(1)).otherwise(a), F.when(hit, F.lit(1 + CONSTANT_PENALTY)).otherwise(b)
+    ``stats`` holds ``(op, is_constant, a, b, ...)``.
+    """
+    hit = "is_constant AND op IN ('!=', '>', '<')"
+    return (stats.withColumn("b", F.expr(f"CASE WHEN {hit} THEN {1 + CONSTANT_PENALTY}L ELSE b END"))
+                 .withColumn("a", F.expr(f"CASE WHEN {hit} THEN 1L ELSE a END")))
 
 
 def rank_predicates(stats: DataFrame) -> DataFrame:
@@ -52,5 +52,4 @@ def rank_predicates(stats: DataFrame) -> DataFrame:
 
     There are at most six rows per column of the input table, so one window is fine.
     """
-    order = W.partitionBy(F.lit(0)).orderBy(F.round("mean_log", 9).desc(), F.col("pred_id"))
-    return stats.withColumn("rank", F.row_number().over(order) - 1)
+    return stats.selectExpr("*", "row_number() OVER (PARTITION BY 0 ORDER BY round(mean_log, 9) DESC, pred_id) - 1 AS rank")

@@ -8,10 +8,9 @@ predicates holds for a pattern when no forbidden bit is set.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gainsay.operators.pairs import pair_values, side
@@ -49,21 +48,23 @@ def forbidden_bits(p: Predicate) -> tuple[int, int]:
     return word, (STATES & ~ALLOWED[p.op]) << shift
 
 
-def compare(x: Column, y: Column, type_class: str) -> Column:
+def state_sql(x: str, y: str, type_class: str) -> str:
     """State of one column for a pair; NaN follows IEEE rules, which Spark's own operators do not."""
     if type_class == STRING:
-        return F.when(x == y, EQUAL).otherwise(UNORDERED)
-    ordered = F.when(x < y, LESS).when(x > y, GREATER).otherwise(EQUAL)
+        return f"CASE WHEN {x} = {y} THEN {EQUAL}L ELSE {UNORDERED}L END"
+    ordered = f"WHEN {x} < {y} THEN {LESS}L WHEN {x} > {y} THEN {GREATER}L ELSE {EQUAL}L END"
     if type_class == REAL:
-        return F.when(F.isnan(x) | F.isnan(y), UNORDERED).otherwise(ordered)
-    return ordered
+        return f"CASE WHEN isnan({x}) OR isnan({y}) THEN {UNORDERED}L {ordered}"
+    return f"CASE {ordered}"
 
 
-def predicate_holds(x: Column, y: Column, op: str, type_class: str) -> Column:
+def predicate_sql(x: str, y: str, op: str, type_class: str) -> str:
     """Truth of ``x op y`` with IEEE NaN rules; orderings of strings are refused."""
+    if op not in ALLOWED:
+        raise ValueError(f"unknown operator {op!r}")
     if type_class == STRING and op not in ("==", "!="):
         raise ValueError(f"{op} is not defined for {STRING} columns")
-    return compare(x, y, type_class).bitwiseAND(F.lit(ALLOWED[op])) != 0
+    return f"({state_sql(x, y, type_class)} & {ALLOWED[op]}L) <> 0"
 
 
 def pair_patterns(rows: RowSet, pairs: DataFrame, n_pairs: int,
@@ -71,54 +72,51 @@ def pair_patterns(rows: RowSet, pairs: DataFrame, n_pairs: int,
     """``(batch, i, x, y, w0, ...)``: the pattern of every pair over the chosen columns."""
     ids = [c.col_id for c in rows.columns] if col_ids is None else list(col_ids)
     values = pair_values(rows, pairs, n_pairs, ids)
-    parts: list[Column] = [F.lit(0).cast("long") for _ in words(len(rows.columns))]
+    parts = {w: ["0L"] for w in words(len(rows.columns))}
     for c in ids:
         word, shift = _place(c)
-        state = compare(F.col(side("x", c)), F.col(side("y", c)), rows.columns[c].type_class)
-        parts[word] = parts[word] + F.shiftleft(state.cast("long"), shift)
-    return values.select("batch", "i", "x", "y", *[p.alias(w) for p, w in zip(parts, words(len(rows.columns)))])
+        state = state_sql(side("x", c), side("y", c), rows.columns[c].type_class)
+        parts[f"w{word}"].append(f"shiftleft({state}, {shift})")
+    return values.selectExpr("batch", "i", "x", "y", *[f"{' | '.join(p)} AS {w}" for w, p in parts.items()])
 
 
 def evidence(patterns: DataFrame) -> DataFrame:
     """``(batch, w0, ..., cnt)``: patterns with their number of pairs, combined before the shuffle."""
     keys = [c for c in patterns.columns if c == "batch" or c[0] == "w"]
-    return patterns.groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt"))
+    return patterns.groupBy(*keys).agg(F.expr("count(1) AS cnt"))
 
 
-def holds(p: Predicate) -> Column:
+def holds_sql(p: Predicate) -> str:
     word, bits = allowed_bits(p)
-    return F.col(f"w{word}").bitwiseAND(F.lit(bits).cast("long")) != 0
+    return f"(w{word} & {bits}L) <> 0"
 
 
-def any_holds(preds: Iterable[Predicate]) -> Column:
+def any_holds(preds: Iterable[Predicate]) -> str:
     """One test per word: some predicate of the list holds."""
     masks: dict[int, int] = {}
     for p in preds:
         word, bits = allowed_bits(p)
         masks[word] = masks.get(word, 0) | bits
-    tests = [F.col(f"w{w}").bitwiseAND(F.lit(m).cast("long")) != 0 for w, m in sorted(masks.items())]
-    return functools.reduce(lambda a, b: a | b, tests, F.lit(False))
+    return " OR ".join(f"(w{w} & {m}L) <> 0" for w, m in sorted(masks.items())) or "false"
 
 
-def satisfied(preds: Sequence[Predicate], last_batch: dict[int, int] | None = None) -> Column:
-    """Array of the ids of the predicates that hold (and were still sampled in this batch)."""
+def satisfied(preds: Sequence[Predicate], last_batch: dict[int, int] | None = None,
+              number: dict[int, int] | None = None) -> str:
+    """Array of the predicates that hold (and were still sampled in this batch), by id or number."""
     entries = []
     for p in preds:
-        test = holds(p)
-        if last_batch is not None:
-            test = test & (F.col("batch") <= last_batch[p.pred_id])
-        entries.append(F.when(test, F.lit(p.pred_id)))
-    return F.array_compact(F.array(*entries))
+        still = "" if last_batch is None else f" AND batch <= {last_batch[p.pred_id]}"
+        entries.append(f"CASE WHEN {holds_sql(p)}{still} THEN {(number or {}).get(p.pred_id, p.pred_id)} END")
+    return f"array_compact(array({', '.join(entries)}))"
 
 
 def predicate_counts(ev: DataFrame, preds: Sequence[Predicate], first: int, end: int) -> DataFrame:
     """``(batch, pred_id, hits)`` for every predicate and batch, zeros included."""
-    spark = ev.sparkSession
-    hits = ev.select("batch", "cnt", F.explode(satisfied(preds)).alias("pred_id"))
-    grid = spark.range(first, end, 1, 1).select(
-        F.col("id").cast("int").alias("batch"), F.lit(0).cast("long").alias("cnt"),
-        F.explode(F.array(*[F.lit(p.pred_id) for p in preds])).alias("pred_id"))
-    return hits.unionByName(grid).groupBy("batch", "pred_id").agg(F.sum("cnt").alias("hits"))
+    hits = ev.selectExpr("batch", "cnt", f"explode({satisfied(preds)}) AS pred_id")
+    ids = ", ".join(str(p.pred_id) for p in preds)
+    grid = ev.sparkSession.range(first, end, 1, 1).selectExpr(
+        "CAST(id AS INT) AS batch", "0L AS cnt", f"explode(array({ids})) AS pred_id")
+    return hits.unionByName(grid).groupBy("batch", "pred_id").agg(F.expr("sum(cnt) AS hits"))
 
 
 def support(ev: DataFrame, candidates: DataFrame, key: str, n_words: int) -> DataFrame:
@@ -127,7 +125,6 @@ def support(ev: DataFrame, candidates: DataFrame, key: str, n_words: int) -> Dat
     ``ev`` holds ``(anchor, w0, ..., cnt)``, ``candidates`` holds ``(key, anchor, f0, ...)`` with
     the forbidden bits of the set.  Sets that no pair satisfies are absent.
     """
-    clean = [F.col(f"w{k}").bitwiseAND(F.col(f"f{k}")) == 0 for k in range(n_words)]
+    clean = " AND ".join(f"(w{k} & f{k}) = 0" for k in range(n_words))
     return (ev.join(candidates.select(key, "anchor", *[f"f{k}" for k in range(n_words)]), "anchor")
-              .where(functools.reduce(lambda a, b: a & b, clean))
-              .groupBy(key).agg(F.sum("cnt").alias("hits")))
+              .where(clean).groupBy(key).agg(F.expr("sum(cnt) AS hits")))

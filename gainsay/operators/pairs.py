@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gainsay.functions.draws import stream_keys, uniform_below
+from gainsay.functions.draws import below_sql, stream_keys, word_sql
 from gainsay.operators.rows import RowSet, value_name
+from gainsay.shared import local_table
 
 # Fixed values (must equal the published sampling schedule).
 FIRST_BATCH = 100
@@ -41,28 +42,24 @@ def batch_count(n: int) -> int:
     return batch
 
 
-def batch_of(i: Column, first: int, end: int) -> Column:
+def batch_sql(i: str, first: int, end: int) -> str:
     """Batch of a draw index that lies in the batches ``first`` to ``end - 1``."""
-    out = F.lit(first)
-    for b in range(first + 1, end):
-        out = F.when(i >= batch_start(b), F.lit(b)).otherwise(out)
-    return out.cast("int")
+    steps = "".join(f" WHEN {i} < {batch_start(b + 1)}L THEN {b}" for b in range(first, end - 1))
+    return f"CASE{steps} ELSE {end - 1} END" if steps else str(first)
 
 
 def sample_pairs(spark: SparkSession, n: int, end: int, first: int = 0, seed: int = 42) -> DataFrame:
     """Pairs ``(batch, i, x, y)`` of the batches ``first`` to ``end - 1``, uniform over x <> y."""
     if n < 2 or end <= first:
-        return spark.createDataFrame([], "batch int, i long, x long, y long")
+        return local_table(spark, [], "batch int, i long, x long, y long")
     lo, hi = batch_start(first), batch_start(end)
     tasks = max(spark.sparkContext.defaultParallelism, (hi - lo) // _PAIRS_PER_TASK)
     keys = stream_keys(seed)
-    i, x, skipped = F.col("i"), F.col("x"), F.col("skipped")
-    draws = spark.range(lo, hi, 1, tasks).withColumnRenamed("id", "i").select(
-        "i",
-        uniform_below(i, n, keys["x_hi"], keys["x_lo"]).alias("x"),
-        uniform_below(i, n - 1, keys["y_hi"], keys["y_lo"]).alias("skipped"))
-    return draws.select(batch_of(i, first, end).alias("batch"), "i", "x",
-                        (skipped + F.when(skipped >= x, 1).otherwise(0)).alias("y"))
+    return (spark.range(lo, hi, 1, tasks)
+                 .selectExpr("id AS i", *[f"{word_sql('id', k)} AS {s}" for s, k in keys.items()])
+                 .selectExpr("i", f"{below_sql('x_hi', 'x_lo', n)} AS x", f"{below_sql('y_hi', 'y_lo', n - 1)} AS skipped")
+                 .selectExpr(f"{batch_sql('i', first, end)} AS batch", "i", "x",
+                             "skipped + CASE WHEN skipped >= x THEN 1L ELSE 0L END AS y"))
 
 
 def side(which: str, col_id: int) -> str:
@@ -82,15 +79,14 @@ def pair_values(rows: RowSet, pairs: DataFrame, n_pairs: int,
     draws_fit = 2 * n_pairs * _DRAW_BYTES <= BROADCAST_BYTES
     rows_fit = rows.n * rows.width(ids) <= BROADCAST_BYTES
     if draws_fit and (2 * n_pairs <= rows.n or not rows_fit):
-        draws = pairs.select("batch", "i", "x", "y", F.inline(F.array(
-            F.struct(F.lit(True).alias("is_x"), F.col("x").alias("rid")),
-            F.struct(F.lit(False).alias("is_x"), F.col("y").alias("rid")))))
+        draws = pairs.selectExpr("batch", "i", "x", "y",
+                                 "inline(array(struct(true AS is_x, x AS rid), struct(false AS is_x, y AS rid)))")
         met = rows.df.select("rid", *names).join(F.broadcast(draws), "rid")
-        pick = [F.max(F.when(F.col("is_x") if w == "x" else ~F.col("is_x"), F.col(value_name(c)))).alias(side(w, c))
-                for c in ids for w in ("x", "y")]
-        return met.groupBy("batch", "i", "x", "y").agg(*pick)
+        picks = [F.expr(f"max(CASE WHEN {test} THEN {value_name(c)} END) AS {side(w, c)}")
+                 for c in ids for w, test in (("x", "is_x"), ("y", "NOT is_x"))]
+        return met.groupBy("batch", "i", "x", "y").agg(*picks)
     out = pairs
     for w in ("x", "y"):
-        part = rows.df.select(F.col("rid").alias(w), *[F.col(value_name(c)).alias(side(w, c)) for c in ids])
+        part = rows.df.selectExpr(f"rid AS {w}", *[f"{value_name(c)} AS {side(w, c)}" for c in ids])
         out = out.join(F.broadcast(part) if rows_fit else part.hint("shuffle_hash"), w)
     return out.select("batch", "i", "x", "y", *[side(w, c) for c in ids for w in ("x", "y")])

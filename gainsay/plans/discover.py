@@ -11,7 +11,7 @@ import math
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gainsay.functions import beta
@@ -19,7 +19,7 @@ from gainsay.functions.text import dc_text, dependency_text
 from gainsay.operators import pairs as P
 from gainsay.operators.adaptive import CONSTANT_PENALTY, THRESHOLD_SCALE, adaptive_stop
 from gainsay.operators.evidence import (any_holds, evidence, forbidden_bits, pair_patterns,
-                                        predicate_counts, satisfied, support, word_count)
+                                        predicate_counts, satisfied, support, word_count, words)
 from gainsay.operators.rows import RowSet, index_rows, is_unique
 from gainsay.operators.schema_model import Predicate
 from gainsay.shared import checkpointed, local_table
@@ -29,8 +29,7 @@ DEFAULT_THRESHOLD = 1e-7
 RESULT_SCHEMA = ("denial_constraint string, predicates array<struct<col:string,op:string>>, size int, "
                  "score double, sampled_pairs bigint, anchor string")
 
-LOWER = F.struct(F.col("edge_log").alias("log"), F.col("edge_spread").alias("spread"))
-
+_LOWER = "struct(edge_log AS log, edge_spread AS spread)"
 _FIRST_WAVE = 25_500        # pairs of the first look at the table
 _WAVE_GROWTH = 64           # how far a never-seen predicate may stretch the next look
 _UNIQUE_CHECK = 1_000_000   # pairs beyond which proving uniqueness is cheaper than sampling on
@@ -156,16 +155,14 @@ def sample_table(rows: RowSet, threshold: float, seed: int = 42) -> Sample:
         known[p.pred_id] = (1, 1 + CONSTANT_PENALTY, -math.inf, 0.0, -1)
     order = sorted(preds, key=lambda p: (-round(known[p.pred_id][2], 9), p.pred_id))
     states = [PredicateState(p, k, *known[p.pred_id]) for k, p in enumerate(order)]
-    n_words = word_count(len(rows.columns))
-    names = [f"w{k}" for k in range(n_words)]
-    rank_of = F.array(*[F.lit(s.rank) for s in sorted(states, key=lambda s: s.pred.pred_id)])
+    names = words(len(rows.columns))
     useful = [s.pred for s in states if s.a > 1]
-    last = {s.pred.pred_id: s.last_batch for s in states}
     if waves and useful:
+        rank = {s.pred.pred_id: s.rank for s in states}
+        last = {s.pred.pred_id: s.last_batch for s in states}
         seen = functools.reduce(DataFrame.unionByName, waves)
-        anchored = (seen.select(*names, "cnt", F.explode(satisfied(useful, last)).alias("pred_id"))
-                        .groupBy(F.element_at(rank_of, F.col("pred_id") + 1).alias("anchor"), *names)
-                        .agg(F.sum("cnt").alias("cnt")).persist())
+        anchored = (seen.selectExpr(*names, "cnt", f"explode({satisfied(useful, last, rank)}) AS anchor")
+                        .groupBy("anchor", *names).agg(F.expr("sum(cnt) AS cnt")).persist())
     else:
         anchored = local_table(spark, [], "anchor int, " + "".join(f"{w} long, " for w in names) + "cnt long")
     cached.append(anchored)
@@ -187,17 +184,19 @@ def _state_table(spark: SparkSession, sample: Sample) -> DataFrame:
                        "".join(f", f{k} long" for k in range(n_words)))
 
 
+def _joined_bits(n_words: int) -> list[str]:
+    return [f"f{k} | p_f{k} AS f{k}" for k in range(n_words)]
+
+
 def _second_level(nodes: DataFrame, n_words: int) -> DataFrame:
     """Candidates {S, p}: p ranked before S, on another column, both satisfied in the sample."""
     alive = nodes.where("a > 1")
-    p = alive.select(F.col("last").alias("p"), F.col("last_col").alias("p_col"), LOWER.alias("low"),
-                     *[F.col(f"f{k}").alias(f"p_f{k}") for k in range(n_words)])
-    s = alive.where("anchor > 0").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("anchor") - 1)))
+    p = alive.selectExpr("last AS p", "last_col AS p_col", f"{_LOWER} AS low",
+                         *[f"f{k} AS p_f{k}" for k in range(n_words)])
+    s = alive.where("anchor > 0").selectExpr("*", "explode(sequence(0, anchor - 1)) AS p")
     return (s.join(p, "p").where("p_col <> last_col")
-             .select(F.concat("members", F.array("p")).alias("members"), "anchor", "anchor_col",
-                     F.col("p").alias("last"), F.col("p_col").alias("last_col"), F.col("a").alias("from_a"),
-                     F.array("low").alias("lower"),
-                     *[F.col(f"f{k}").bitwiseOR(F.col(f"p_f{k}")).alias(f"f{k}") for k in range(n_words)]))
+             .selectExpr("concat(members, array(p)) AS members", "anchor", "anchor_col", "p AS last",
+                         "p_col AS last_col", "a AS from_a", "array(low) AS lower", *_joined_bits(n_words)))
 
 
 def _next_level(nodes: DataFrame, size: int, n_words: int) -> DataFrame:
@@ -209,42 +208,37 @@ def _next_level(nodes: DataFrame, size: int, n_words: int) -> DataFrame:
     by one and must all be there.
     """
     inner = size - 2
+    bits = [f"f{k}" for k in range(n_words)]
     alive = nodes.where("a > 1")
-    s = alive.select("members", "anchor", "anchor_col", F.col("a").alias("from_a"),
-                     *[f"f{k}" for k in range(n_words)],
-                     F.slice("members", 2, inner).alias("shared"))
-    u = alive.where("sound").select(
-        F.slice("members", 1, inner).alias("shared"), F.col("last").alias("p"), F.col("last_col").alias("p_col"),
-        LOWER.alias("first_lower"),
-        *[F.col(f"f{k}").alias(f"p_f{k}") for k in range(n_words)])
+    sound = alive.where("sound")
+    s = alive.selectExpr("members AS parent", "anchor", "anchor_col", "a AS from_a", *bits,
+                         f"slice(members, 2, {inner}) AS shared")
+    u = sound.selectExpr(f"slice(members, 1, {inner}) AS shared", "last AS p", "last_col AS p_col",
+                         f"{_LOWER} AS first_lower", *[f"f{k} AS p_f{k}" for k in range(n_words)])
+    rest = ["anchor", "anchor_col", "last", "last_col", "from_a", "first_lower", *bits]
     tried = (s.join(u, "shared").where("p_col <> anchor_col")
-              .select(F.col("members").alias("parent"), F.concat("members", F.array("p")).alias("members"),
-                      "anchor", "anchor_col", F.col("p").alias("last"), F.col("p_col").alias("last_col"),
-                      "from_a", "first_lower",
-                      *[F.col(f"f{k}").bitwiseOR(F.col(f"p_f{k}")).alias(f"f{k}") for k in range(n_words)]))
-    rest = ["anchor", "anchor_col", "last", "last_col", "from_a", "first_lower", *[f"f{k}" for k in range(n_words)]]
-    subsets = F.transform(F.slice("parent", 2, inner), lambda c: F.array_remove(F.col("members"), c))
-    known = alive.where("sound").select(F.col("members").alias("subset"), LOWER.alias("got"))
-    matched = (tried.withColumn("subset", F.explode(subsets)).join(known, "subset")
-                    .groupBy("members", *rest).agg(F.collect_list("got").alias("others"))
-                    .where(F.size("others") == inner))
-    return matched.select("members", *[c for c in rest if c != "first_lower"],
-                          F.concat(F.array("first_lower"), F.col("others")).alias("lower"))
+              .selectExpr("parent", "concat(parent, array(p)) AS members", "anchor", "anchor_col", "p AS last",
+                          "p_col AS last_col", "from_a", "first_lower", *_joined_bits(n_words)))
+    known = sound.selectExpr("members AS subset", f"{_LOWER} AS got")
+    return (tried.selectExpr("members", *rest, f"explode(transform(slice(parent, 2, {inner}), "
+                                               "c -> array_remove(members, c))) AS subset")
+                 .join(known, "subset").groupBy("members", *rest).agg(F.expr("collect_list(got) AS others"))
+                 .where(f"size(others) = {inner}")
+                 .selectExpr("members", *[c for c in rest if c != "first_lower"],
+                             "concat(array(first_lower), others) AS lower"))
 
 
 def _judge(candidates: DataFrame, anchored: DataFrame, n_words: int) -> DataFrame:
     """Support of every candidate, and whether each member clearly lowers the added predicate."""
     hits = support(anchored, candidates, "members", n_words)
-    a = F.lit(1) + F.coalesce("hits", F.lit(0))
-    counted = candidates.join(hits, "members", "left").withColumn("a", a.cast("long"))
-    edge = F.col("a"), F.lit(1) + F.col("from_a") - F.col("a")
-    measured = counted.select("*", beta.mean_log(*edge).alias("edge_log"), beta.mean(*edge).alias("edge_mean"),
-                              beta.spread_log(*edge).alias("edge_spread"))
-    gaps = F.transform("lower", lambda lo: beta.distance(
-        lo["log"], lo["spread"], F.col("edge_log"), F.col("edge_spread"), F.col("edge_mean")))
-    return (measured.withColumn("score", F.array_min(gaps))
-                    .withColumn("sound", F.col("score") >= beta.SOUND_DISTANCE)
-                    .drop("hits", "lower", "from_a", "edge_mean"))
+    kept = ["members", "anchor", "anchor_col", "last", "last_col", *[f"f{k}" for k in range(n_words)], "a"]
+    a, b = "a", "(1L + from_a - a)"
+    gap = beta.distance_sql("lo.log", "lo.spread", "edge_log", "edge_spread", "edge_mean")
+    return (candidates.join(hits, "members", "left").selectExpr("*", "1L + coalesce(hits, 0L) AS a")
+            .selectExpr(*kept, "lower", f"{beta.mean_log_sql(a, b)} AS edge_log",
+                        f"{beta.spread_log_sql(a, b)} AS edge_spread", f"{beta.mean_sql(a, b)} AS edge_mean")
+            .selectExpr(*kept, "edge_log", "edge_spread", f"array_min(transform(lower, lo -> {gap})) AS score")
+            .selectExpr("*", f"score >= {beta.SOUND_DISTANCE}D AS sound"))
 
 
 def lattice_levels(sample: Sample, max_size: int | None = None) -> Iterable[DataFrame]:
@@ -268,14 +262,19 @@ def lattice_levels(sample: Sample, max_size: int | None = None) -> Iterable[Data
 
 
 def _rendered(found: DataFrame, sample: Sample) -> DataFrame:
-    entries = F.array(*[F.struct(F.lit(s.pred.col).alias("col"), F.lit(s.pred.op).alias("op"),
-                                 F.lit(s.sampled_pairs).cast("long").alias("pairs")) for s in sample.states])
-    member = F.transform(F.reverse("members"), lambda r: F.element_at(entries, r + 1))
-    shaped = found.select(F.transform(member, lambda e: F.struct(e["col"].alias("col"), e["op"].alias("op")))
-                          .alias("predicates"), "score", F.element_at(entries, F.col("anchor") + 1).alias("first"))
-    return shaped.select(dc_text(F.col("predicates")).alias("denial_constraint"), "predicates",
-                         F.size("predicates").alias("size"), "score", F.col("first.pairs").alias("sampled_pairs"),
-                         F.concat_ws(" ", "first.col", "first.op").alias("anchor"))
+    entries = local_table(sample.rows.df.sparkSession, [(s.rank, s.pred.col, s.pred.op, s.sampled_pairs)
+                                                        for s in sample.states],
+                          "rank int, col string, op string, pairs long")
+    # At most six rows per column of the table.
+    parts = (found.selectExpr("members", "anchor", "score", "explode(members) AS rank")
+                  .join(F.broadcast(entries), "rank").groupBy("members", "score")
+                  .agg(F.expr("array_sort(collect_list(struct(rank, col, op))) AS parts"),
+                       F.expr("max(CASE WHEN rank = anchor THEN struct(pairs, col, op) END) AS first"))
+                  .selectExpr("transform(parts, p -> struct(p.col AS col, p.op AS op)) AS predicates",
+                              "score", "first"))
+    return parts.select(dc_text(F.col("predicates")).alias("denial_constraint"), "predicates",
+                        F.size("predicates").alias("size"), "score", F.col("first.pairs").alias("sampled_pairs"),
+                        F.concat_ws(" ", "first.col", "first.op").alias("anchor"))
 
 
 def discover(df: DataFrame, threshold: float = DEFAULT_THRESHOLD, num_lines: int = -1,
@@ -334,8 +333,8 @@ def dependency_scores(df: DataFrame, target: str | None = None, threshold: float
     # The target's comparisons are always the added side, whatever their frequency.
     sample.states.sort(key=lambda s: s.pred.col_id != goal.col_id)
     moved = {s.rank: k for k, s in enumerate(sample.states)}
-    new_rank = F.array(*[F.lit(moved[k]) for k in range(len(moved))])
-    anchored = sample.anchored.withColumn("anchor", F.element_at(new_rank, F.col("anchor") + 1))
+    renumber = "element_at(array({}), anchor + 1)".format(", ".join(str(moved[k]) for k in range(len(moved))))
+    anchored = sample.anchored.withColumn("anchor", F.expr(renumber))
     for k, s in enumerate(sample.states):
         s.rank = k
     n_words = word_count(len(rows.columns))
