@@ -20,6 +20,7 @@ PAIR_SHARE = 0.0325
 BROADCAST_BYTES = 128 << 20
 _DRAW_BYTES = 48
 _PAIRS_PER_TASK = 1 << 20
+_SMALL_TASK = 1 << 15
 
 
 def batch_size(batch: int) -> int:
@@ -53,7 +54,8 @@ def sample_pairs(spark: SparkSession, n: int, end: int, first: int = 0, seed: in
     if n < 2 or end <= first:
         return local_table(spark, [], "batch int, i long, x long, y long")
     lo, hi = batch_start(first), batch_start(end)
-    tasks = max(spark.sparkContext.defaultParallelism, (hi - lo) // _PAIRS_PER_TASK)
+    tasks = max(min(-(-(hi - lo) // _SMALL_TASK), spark.sparkContext.defaultParallelism),
+                (hi - lo) // _PAIRS_PER_TASK)
     keys = stream_keys(seed)
     return (spark.range(lo, hi, 1, tasks)
                  .selectExpr("id AS i", *[f"{word_sql('id', k)} AS {s}" for s, k in keys.items()])

@@ -151,8 +151,8 @@ def sample_table(rows: RowSet, threshold: float, seed: int = 42) -> Sample:
             if active:
                 end = _wave_end(first, limit,
                                 max(_pairs_needed(*known[p.pred_id][:2], min_grad) for p in active))
-    for p in barred:
-        known[p.pred_id] = (1, 1 + CONSTANT_PENALTY, -math.inf, 0.0, -1)
+    for pred_id in barred:
+        known[pred_id] = (1, 1 + CONSTANT_PENALTY, -math.inf, 0.0, -1)
     order = sorted(preds, key=lambda p: (-round(known[p.pred_id][2], 9), p.pred_id))
     states = [PredicateState(p, k, *known[p.pred_id]) for k, p in enumerate(order)]
     names = words(len(rows.columns))
