@@ -39,5 +39,9 @@ def word_sql(i: str, key: int) -> str:
 
 
 def below_sql(high: str, low: str, bound: int) -> str:
-    """Uniform integer in ``[0, bound)`` from two 32-bit words (62 bits are used)."""
-    return f"((shiftright({high}, 1) * {1 << 31}L + shiftright({low}, 1)) % {bound}L)"
+    """Uniform integer in ``[0, bound)`` from two 32-bit words (62 bits are used).
+
+    The remainder counts as nullable; ``coalesce`` says it never is, which keeps joins on the draw
+    from computing it a second time in a null filter.
+    """
+    return f"coalesce((shiftright({high}, 1) * {1 << 31}L + shiftright({low}, 1)) % {bound}L, 0L)"
