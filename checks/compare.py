@@ -50,8 +50,9 @@ def compare(spark: SparkSession, con, sf: str, name: str) -> tuple[bool, str]:
     if sorted(df.columns) != sorted(want_names):
         return False, f"columns {sorted(df.columns)} <> {sorted(want_names)}"
     if got != want:
-        extra = [r for r in got if r not in set(want)][:3] if len(got) < 200000 else []
-        lack = [r for r in want if r not in set(got)][:3] if len(got) < 200000 else []
+        have, need = set(got), set(want)
+        extra = [r for r in got if r not in need][:3]
+        lack = [r for r in want if r not in have][:3]
         return False, f"rows {len(got)} <> {len(want)}; extra {extra}; missing {lack}; {took}"
     return True, f"{len(got)} rows {took}"
 
