@@ -369,7 +369,7 @@ def set_support_customer_nation(spark, sf):
     sample = D.sample_table(rows, 1e-4)
     nodes = D._state_table(spark, sample)
     candidates = D._second_level(nodes, 1)
-    hits = E.support(sample.anchored, candidates, "members", 1)
+    hits = E.support(sample.anchored, candidates, 1).where("hits > 0")
     names = "array(" + ", ".join(f"'{s.pred.col} {s.pred.op}'" for s in sample.states) + ")"
     return hits.selectExpr(f"element_at({names}, members[0] + 1) AS anchor", f"element_at({names}, members[1] + 1) AS added", "hits")
 

@@ -119,12 +119,12 @@ def predicate_counts(ev: DataFrame, preds: Sequence[Predicate], first: int, end:
     return hits.unionByName(grid).groupBy("batch", "pred_id").agg(F.expr("sum(cnt) AS hits"))
 
 
-def support(ev: DataFrame, candidates: DataFrame, key: str, n_words: int) -> DataFrame:
-    """``(key, hits)``: pairs satisfying each candidate set, joined on the candidate's anchor.
+def support(anchored: DataFrame, candidates: DataFrame, n_words: int) -> DataFrame:
+    """``candidates`` with ``hits``, the pairs satisfying each set, joined on the set's anchor.
 
-    ``ev`` holds ``(anchor, w0, ..., cnt)``, ``candidates`` holds ``(key, anchor, f0, ...)`` with
-    the forbidden bits of the set.  Sets that no pair satisfies are absent.
+    ``anchored`` holds ``(anchor, w0, ..., cnt)``, ``candidates`` holds ``(anchor, f0, ...)`` with
+    the forbidden bits of the set, and whatever else describes it.
     """
     clean = " AND ".join(f"(w{k} & f{k}) = 0" for k in range(n_words))
-    return (ev.join(candidates.select(key, "anchor", *[f"f{k}" for k in range(n_words)]), "anchor")
-              .where(clean).groupBy(key).agg(F.expr("sum(cnt) AS hits")))
+    return (candidates.join(anchored, "anchor").where(clean)
+                      .groupBy(*candidates.columns).agg(F.expr("sum(cnt) AS hits")))

@@ -83,12 +83,13 @@ def pair_values(rows: RowSet, pairs: DataFrame, n_pairs: int,
     if draws_fit and (2 * n_pairs <= rows.n or not rows_fit):
         draws = pairs.selectExpr("batch", "i", "x", "y",
                                  "inline(array(struct(true AS is_x, x AS rid), struct(false AS is_x, y AS rid)))")
-        met = rows.df.select("rid", *names).join(F.broadcast(draws), "rid")
+        met = (rows.df.select("rid", *names).join(F.broadcast(draws), "rid")
+               .selectExpr("batch", "i", "x", "y", "is_x", *[f"{rows.encoded(c)} AS {value_name(c)}" for c in ids]))
         picks = [F.expr(f"max(CASE WHEN {test} THEN {value_name(c)} END) AS {side(w, c)}")
                  for c in ids for w, test in (("x", "is_x"), ("y", "NOT is_x"))]
         return met.groupBy("batch", "i", "x", "y").agg(*picks)
-    out = pairs
+    out, values = pairs, rows.values(ids)
     for w in ("x", "y"):
-        part = rows.df.selectExpr(f"rid AS {w}", *[f"{value_name(c)} AS {side(w, c)}" for c in ids])
+        part = values.selectExpr(f"rid AS {w}", *[f"{value_name(c)} AS {side(w, c)}" for c in ids])
         out = out.join(F.broadcast(part) if rows_fit else part.hint("shuffle_hash"), w)
     return out.select("batch", "i", "x", "y", *[side(w, c) for c in ids for w in ("x", "y")])

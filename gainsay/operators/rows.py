@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gainsay.operators.schema_model import (REAL, STRING, ColumnInfo, Predicate, column_infos,
-                                            encoded_value, is_constant, predicates_of, quoted)
+from gainsay.operators.schema_model import (RAW_STRING_BYTES, REAL, STRING, ColumnInfo, Predicate, column_infos,
+                                            encoded_sql, predicates_of, quoted, sql_name)
 from gainsay.shared import has_exchange, local_table, staged
 
 _POSITION_MASK = (1 << 33) - 1
+_PROBE_ROWS = 64
 
 
 def value_name(col_id: int) -> str:
@@ -21,25 +22,42 @@ def value_name(col_id: int) -> str:
 
 @dataclass
 class RowSet:
-    """Encoded rows ``(rid, c0, c1, ...)`` with ``rid`` dense in ``[0, n)``, plus column facts."""
+    """Rows ``(rid, c0, c1, ...)`` with ``rid`` dense in ``[0, n)``, plus column facts.
+
+    ``df`` holds the raw columns; ``encoded`` gives their comparable forms, so a plan that first
+    narrows the rows down encodes only those it keeps.
+    """
 
     df: DataFrame
     n: int
     columns: list[ColumnInfo]
+    parity: bool = False
     constant: dict[int, bool] = field(default_factory=dict)
-    widths: dict[int, int] = field(default_factory=dict)
 
     @property
     def predicates(self) -> list[Predicate]:
         return predicates_of(self.columns)
 
+    def encoded(self, col_id: int) -> str:
+        name = value_name(col_id)
+        return encoded_sql(name, self.df.schema[name].dataType, self.columns[col_id], self.parity, compact=True)
+
+    def values(self, col_ids: Sequence[int]) -> DataFrame:
+        """``(rid, c..)`` in comparable form."""
+        return self.df.selectExpr("rid", *[f"{self.encoded(c)} AS {value_name(c)}" for c in col_ids])
+
     def width(self, col_ids: Sequence[int]) -> int:
-        """Proven upper bound for the bytes of one row with these columns."""
-        return 16 + sum(self.widths.get(c, 8) + 8 for c in col_ids)
+        """Proven upper bound for the bytes of one encoded row with these columns."""
+        return 32 + sum(8 + (RAW_STRING_BYTES + 9 if self.columns[c].type_class == STRING else 8) for c in col_ids)
 
 
 def with_row_id(df: DataFrame, order_by: Sequence[str] | None = None, name: str = "rid") -> DataFrame:
-    """``df`` plus a dense row number.
+    """``df`` plus a dense row number; see ``numbered``."""
+    return numbered(df, order_by, name)[0]
+
+
+def numbered(df: DataFrame, order_by: Sequence[str] | None = None, name: str = "rid") -> tuple[DataFrame, int]:
+    """``df`` plus a dense row number, and the number of rows.
 
     Without ``order_by`` rows are numbered in scan order: positions inside the partitions plus the
     partitions' offsets, so nothing is shuffled; a plan that moves rows is staged first to keep its
@@ -64,48 +82,49 @@ def with_row_id(df: DataFrame, order_by: Sequence[str] | None = None, name: str
     for p, c in counts:
         offsets.append((p, total))
         total += c
+    names = [sql_name(f.name) for f in df.schema.fields]
+    if len(offsets) == 1:
+        return placed.selectExpr(*names, f"{pos} AS {name}"), total
     # One row per partition of the scan, so this side is small at any data size.
     lookup = F.broadcast(local_table(spark, offsets, f"{part} int, {before} long"))
-    return (placed.join(lookup, part)
-                  .select(*[quoted(f.name) for f in df.schema.fields],
-                          (F.col(before) + F.col(pos)).alias(name)))
+    return placed.join(lookup, part).selectExpr(*names, f"{before} + {pos} AS {name}"), total
 
 
 def index_rows(df: DataFrame, order_by: Sequence[str] | None = None, num_lines: int = -1,
                parity: bool = False, order_temporal: bool = False) -> RowSet:
     """Number and encode the rows of ``df``; ``num_lines`` keeps the first rows of that order."""
     infos = column_infos(df.schema, order_temporal)
-    values = [encoded_value(f, c, parity, compact=True).alias(value_name(c.col_id))
-              for f, c in zip(df.schema.fields, infos)]
-    if order_by:
-        keep = [quoted(c).alias(f"k{j}") for j, c in enumerate(order_by)]
-        numbered = with_row_id(df.select(*keep, *values), [f"k{j}" for j in range(len(order_by))])
-        rows = numbered.select("rid", *[value_name(c.col_id) for c in infos])
-    else:
-        rows = with_row_id(df).select("rid", *values)
-    if num_lines > 0:
-        rows = rows.where(F.col("rid") < num_lines)
-    n, constant, widths = _facts(rows, infos)
-    return RowSet(rows, n, infos, constant, widths)
-
-
-def _facts(rows: DataFrame, infos: list[ColumnInfo]) -> tuple[int, dict[int, bool], dict[int, int]]:
-    aggs: list[Column] = [F.count(F.lit(1)).alias("n")]
-    for c in infos:
-        value = F.col(value_name(c.col_id))
-        aggs.append(is_constant(value, c.type_class).alias(f"k{c.col_id}"))
-        if c.type_class == STRING:
-            aggs.append(F.max(F.octet_length(value)).alias(f"w{c.col_id}"))
-    got = rows.agg(*aggs).first().asDict()
-    constant = {c.col_id: bool(got[f"k{c.col_id}"]) for c in infos}
-    widths = {c.col_id: (got[f"w{c.col_id}"] or 0) + 8 if c.type_class == STRING else 8 for c in infos}
-    return got["n"], constant, widths
+    raw = df.select(*[quoted(f.name).alias(value_name(k)) for k, f in enumerate(df.schema.fields)])
+    position = {f.name: value_name(k) for k, f in enumerate(df.schema.fields)}
+    rows, n = numbered(raw, [position[c] for c in order_by] if order_by else None)
+    if 0 < num_lines < n:
+        rows, n = rows.where(f"rid < {num_lines}"), num_lines
+    out = RowSet(rows, n, infos, parity)
+    out.constant = _constant(out)
+    return out
+
+
+def _constant(rows: RowSet) -> dict[int, bool]:
+    """Which columns hold one value.  A column that varies within a few rows needs no scan; the
+    others are compared with the first row's value over the whole table, in one aggregate."""
+    ids = [c.col_id for c in rows.columns]
+    probe = rows.values(ids).limit(_PROBE_ROWS).collect() if ids else []
+    flat = dict.fromkeys(ids, False)
+    open_ids = [c for c in ids if probe and all(r[value_name(c)] == probe[0][value_name(c)] for r in probe)]
+    if open_ids:
+        tests = []
+        for c in open_ids:
+            value = rows.encoded(c)
+            clean = f" AND NOT isnan(max({value}))" if rows.columns[c].type_class == REAL else ""
+            tests.append(F.expr(f"min({value}) = max({value}){clean} AS k{c}"))
+        got = rows.df.agg(*tests).first()
+        flat.update({c: bool(got[f"k{c}"]) for c in open_ids})
+    return flat
 
 
 def is_unique(rows: RowSet, col_id: int) -> bool:
     """No two rows agree on the column (NaN agrees with nothing)."""
-    value = F.col(value_name(col_id))
-    df = rows.df
+    values = rows.values([col_id])
     if rows.columns[col_id].type_class == REAL:
-        df = df.where(~F.isnan(value))
-    return df.groupBy(value).count().where(F.col("count") > 1).isEmpty()
+        values = values.where(f"NOT isnan({value_name(col_id)})")
+    return values.groupBy(value_name(col_id)).agg(F.expr("count(1) AS n")).where("n > 1").isEmpty()

@@ -14,9 +14,9 @@ from gainsay.shared import local_table
 
 INTEGER, REAL, STRING = "INTEGER", "REAL", "STRING"
 
-# Strings longer than this are compared by their SHA-256 digest (64 characters), so an encoded
-# row has a bounded width; shorter ones are kept, hence a digest never meets a raw value.
-RAW_STRING_CHARS = 63
+# Strings longer than this are compared by their SHA-256 digest (64 bytes), so an encoded row has
+# a bounded width; shorter ones are kept, hence a digest never meets a raw value.
+RAW_STRING_BYTES = 63
 
 
 @dataclass(frozen=True)
@@ -84,30 +84,43 @@ def predicate_space(df: DataFrame, order_temporal: bool = False) -> DataFrame:
     return space.withColumn("predicate", predicate_text(F.col("col"), F.col("op")))
 
 
-def encoded_value(field: T.StructField, info: ColumnInfo, parity: bool = False,
-                  compact: bool = False) -> Column:
-    """Comparable form of one column: NULL becomes 0, NaN or the empty string."""
-    c = quoted(field.name)
-    if info.temporal:
-        if isinstance(field.dataType, T.DateType):
-            return F.coalesce(F.unix_date(c).cast("long"), F.lit(0).cast("long"))
-        return F.coalesce(F.unix_micros(c.cast("timestamp")), F.lit(0).cast("long"))
+def sql_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def encoded_sql(ref: str, dtype: T.DataType, info: ColumnInfo, parity: bool = False, compact: bool = False) -> str:
+    """Comparable form of one column: NULL becomes 0, NaN or the empty string.
+
+    ``compact`` is for comparisons only: long strings become digests, and times, which as text are
+    only compared for equality, become numbers (NULL the smallest one).
+    """
+    is_date = isinstance(dtype, T.DateType)
+    is_time = isinstance(dtype, (T.TimestampType, T.TimestampNTZType))
+    if is_date or is_time:
+        number = f"CAST(unix_date({ref}) AS BIGINT)" if is_date else f"unix_micros(CAST({ref} AS TIMESTAMP))"
+        if info.temporal:
+            return f"coalesce({number}, 0L)"
+        if compact:
+            return f"coalesce({number}, {-(1 << 63) + 1}L)"
     if info.type_class == INTEGER:
-        return F.coalesce(c.cast("long"), F.lit(0).cast("long"))
+        return f"coalesce(CAST({ref} AS BIGINT), 0L)"
     if info.type_class == REAL:
-        value = c.cast("float").cast("double") if parity else c.cast("double")
-        return F.coalesce(value, F.lit(float("nan")))
-    if isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
-        c = F.to_json(c)
-    elif isinstance(field.dataType, T.BinaryType):
-        c = F.hex(c)
-    text = F.coalesce(c.cast("string"), F.lit(""))
-    if compact and not isinstance(field.dataType, (T.BooleanType, T.DateType, T.TimestampType,
-                                                   T.TimestampNTZType)):
-        text = F.when(F.length(text) > RAW_STRING_CHARS, F.sha2(text, 256)).otherwise(text)
+        value = f"CAST(CAST({ref} AS FLOAT) AS DOUBLE)" if parity else f"CAST({ref} AS DOUBLE)"
+        return f"coalesce({value}, double('NaN'))"
+    if isinstance(dtype, (T.ArrayType, T.StructType, T.MapType)):
+        ref = f"to_json({ref})"
+    elif isinstance(dtype, T.BinaryType):
+        ref = f"hex({ref})"
+    text = f"coalesce(CAST({ref} AS STRING), '')"
+    if compact:
+        text = f"CASE WHEN octet_length({text}) > {RAW_STRING_BYTES} THEN sha2({text}, 256) ELSE {text} END"
     return text
 
 
+def encoded_value(field: T.StructField, info: ColumnInfo, parity: bool = False, compact: bool = False) -> Column:
+    return F.expr(encoded_sql(sql_name(field.name), field.dataType, info, parity, compact))
+
+
 def encode(df: DataFrame, parity: bool = False, order_temporal: bool = False) -> DataFrame:
     """``df`` with every column in its comparable form, names kept."""
     infos = column_infos(df.schema, order_temporal)

@@ -32,7 +32,7 @@ RESULT_SCHEMA = ("denial_constraint string, predicates array<struct<col:string,o
 _LOWER = "struct(edge_log AS log, edge_spread AS spread)"
 _FIRST_WAVE = 25_500        # pairs of the first look at the table
 _WAVE_GROWTH = 64           # how far a never-seen predicate may stretch the next look
-_UNIQUE_CHECK = 1_000_000   # pairs beyond which proving uniqueness is cheaper than sampling on
+_UNIQUE_CHECK = 16_000_000  # pairs beyond which proving uniqueness is cheaper than sampling on
 
 
 @dataclass
@@ -161,8 +161,11 @@ def sample_table(rows: RowSet, threshold: float, seed: int = 42) -> Sample:
         rank = {s.pred.pred_id: s.rank for s in states}
         last = {s.pred.pred_id: s.last_batch for s in states}
         seen = functools.reduce(DataFrame.unionByName, waves)
-        anchored = (seen.selectExpr(*names, "cnt", f"explode({satisfied(useful, last, rank)}) AS anchor")
-                        .groupBy("anchor", *names).agg(F.expr("sum(cnt) AS cnt")).persist())
+        # An empty pattern per anchor violates nothing: it keeps sets without any pair in the counts.
+        blank = local_table(spark, [(s.rank, *[0] * (len(names) + 1)) for s in states if s.a > 1],
+                            "anchor int, " + ", ".join(f"{w} long" for w in [*names, "cnt"]))
+        anchored = (seen.selectExpr(f"explode({satisfied(useful, last, rank)}) AS anchor", *names, "cnt")
+                        .unionByName(blank).groupBy("anchor", *names).agg(F.expr("sum(cnt) AS cnt")).persist())
     else:
         anchored = local_table(spark, [], "anchor int, " + "".join(f"{w} long, " for w in names) + "cnt long")
     cached.append(anchored)
@@ -230,11 +233,10 @@ def _next_level(nodes: DataFrame, size: int, n_words: int) -> DataFrame:
 
 def _judge(candidates: DataFrame, anchored: DataFrame, n_words: int) -> DataFrame:
     """Support of every candidate, and whether each member clearly lowers the added predicate."""
-    hits = support(anchored, candidates, "members", n_words)
     kept = ["members", "anchor", "anchor_col", "last", "last_col", *[f"f{k}" for k in range(n_words)], "a"]
     a, b = "a", "(1L + from_a - a)"
     gap = beta.distance_sql("lo.log", "lo.spread", "edge_log", "edge_spread", "edge_mean")
-    return (candidates.join(hits, "members", "left").selectExpr("*", "1L + coalesce(hits, 0L) AS a")
+    return (support(anchored, candidates, n_words).selectExpr("*", "1L + hits AS a")
             .selectExpr(*kept, "lower", f"{beta.mean_log_sql(a, b)} AS edge_log",
                         f"{beta.spread_log_sql(a, b)} AS edge_spread", f"{beta.mean_sql(a, b)} AS edge_mean")
             .selectExpr(*kept, "edge_log", "edge_spread", f"array_min(transform(lower, lo -> {gap})) AS score")
@@ -253,9 +255,7 @@ def lattice_levels(sample: Sample, max_size: int | None = None) -> Iterable[Data
     while max_size is None or size < max_size:
         size += 1
         candidates = _second_level(nodes, n_words) if size == 2 else _next_level(nodes, size, n_words)
-        candidates = candidates.persist()
         nodes = checkpointed(_judge(candidates, sample.anchored, n_words))
-        candidates.unpersist()
         if nodes.isEmpty():
             return
         yield nodes
@@ -339,13 +339,12 @@ def dependency_scores(df: DataFrame, target: str | None = None, threshold: float
         s.rank = k
     n_words = word_count(len(rows.columns))
     candidates = (_second_level(_state_table(spark, sample), n_words)
-                  .where((F.col("last_col") == goal.col_id) & (F.col("anchor_col") != goal.col_id)).persist())
+                  .where((F.col("last_col") == goal.col_id) & (F.col("anchor_col") != goal.col_id)))
     best = (_judge(candidates, anchored, n_words).groupBy(F.col("anchor_col").alias("column_id"))
             .agg(F.max("score").alias("score")))
     scored = checkpointed(
         out.join(best, "column_id", "left")
            .withColumn("score", F.greatest(F.coalesce("score", F.lit(0.0)), F.lit(0.0)))
            .withColumn("line", dependency_text(F.col("column_id"), F.col("target_id"), F.col("score"))))
-    candidates.unpersist()
     sample.release()
     return scored
