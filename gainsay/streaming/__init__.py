@@ -1,0 +1 @@
+"""Discovery is a one-shot batch; the method has no streaming part."""
