@@ -31,6 +31,7 @@ RESULT_SCHEMA = ("denial_constraint string, predicates array<struct<col:string,o
 
 _LOWER = "struct(edge_log AS log, edge_spread AS spread)"
 _FIRST_WAVE = 25_500        # pairs of the first look at the table
+_NODE_BYTES = 256           # bound for one row of a level without its set
 _WAVE_GROWTH = 64           # how far a never-seen predicate may stretch the next look
 _UNIQUE_CHECK = 16_000_000  # pairs beyond which proving uniqueness is cheaper than sampling on
 
@@ -202,14 +203,18 @@ def _second_level(nodes: DataFrame, n_words: int) -> DataFrame:
                          "p_col AS last_col", "a AS from_a", "array(low) AS lower", *_joined_bits(n_words)))
 
 
-def _next_level(nodes: DataFrame, size: int, n_words: int) -> DataFrame:
+def _next_level(nodes: DataFrame, size: int, n_words: int, small: bool) -> DataFrame:
     """Candidates of ``size`` predicates from the nodes of ``size - 1``.
 
     S + p is tried when S is satisfied in the sample and, for every member c of S, the set
     S - c + p was tried, was sound and is satisfied too.  Joining S without its anchor to U without
     its last member finds S + p together with the first of these sets; the others are matched one
-    by one and must all be there.
+    by one and must all be there.  A level counted to be ``small`` is broadcast, others are shuffled.
+    The result is spread by set over all cores: the supports are then counted without another
+    shuffle, and small sets of candidates do not end up in one task.
     """
+    tasks = nodes.sparkSession.sparkContext.defaultParallelism
+    side = F.broadcast if small else (lambda df: df)
     inner = size - 2
     bits = [f"f{k}" for k in range(n_words)]
     alive = nodes.where("a > 1")
@@ -219,13 +224,13 @@ def _next_level(nodes: DataFrame, size: int, n_words: int) -> DataFrame:
     u = sound.selectExpr(f"slice(members, 1, {inner}) AS shared", "last AS p", "last_col AS p_col",
                          f"{_LOWER} AS first_lower", *[f"f{k} AS p_f{k}" for k in range(n_words)])
     rest = ["anchor", "anchor_col", "last", "last_col", "from_a", "first_lower", *bits]
-    tried = (s.join(u, "shared").where("p_col <> anchor_col")
+    tried = (s.join(side(u), "shared").where("p_col <> anchor_col")
               .selectExpr("parent", "concat(parent, array(p)) AS members", "anchor", "anchor_col", "p AS last",
                           "p_col AS last_col", "from_a", "first_lower", *_joined_bits(n_words)))
     known = sound.selectExpr("members AS subset", f"{_LOWER} AS got")
     return (tried.selectExpr("members", *rest, f"explode(transform(slice(parent, 2, {inner}), "
                                                "c -> array_remove(members, c))) AS subset")
-                 .join(known, "subset").groupBy("members", *rest).agg(F.expr("collect_list(got) AS others"))
+                 .join(side(known), "subset").repartition(tasks, "members").groupBy("members", *rest).agg(F.expr("collect_list(got) AS others"))
                  .where(f"size(others) = {inner}")
                  .selectExpr("members", *[c for c in rest if c != "first_lower"],
                              "concat(array(first_lower), others) AS lower"))
@@ -251,12 +256,17 @@ def lattice_levels(sample: Sample, max_size: int | None = None) -> Iterable[Data
     """
     spark = sample.rows.df.sparkSession
     n_words = word_count(len(sample.rows.columns))
-    nodes, size = _state_table(spark, sample), 1
+    nodes, size, n_nodes = _state_table(spark, sample), 1, 0
     while max_size is None or size < max_size:
         size += 1
-        candidates = _second_level(nodes, n_words) if size == 2 else _next_level(nodes, size, n_words)
+        if size == 2:
+            candidates = _second_level(nodes, n_words)
+        else:
+            row_bytes = _NODE_BYTES + 16 * size + 8 * n_words
+            candidates = _next_level(nodes, size, n_words, n_nodes * row_bytes <= P.BROADCAST_BYTES)
         nodes = checkpointed(_judge(candidates, sample.anchored, n_words))
-        if nodes.isEmpty():
+        n_nodes = nodes.count()
+        if n_nodes == 0:
             return
         yield nodes
 
