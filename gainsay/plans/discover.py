@@ -265,10 +265,12 @@ def lattice_levels(sample: Sample, max_size: int | None = None) -> Iterable[Data
             row_bytes = _NODE_BYTES + 16 * size + 8 * n_words
             candidates = _next_level(nodes, size, n_words, n_nodes * row_bytes <= P.BROADCAST_BYTES)
         nodes = checkpointed(_judge(candidates, sample.anchored, n_words))
-        n_nodes = nodes.count()
+        n_nodes, live = nodes.selectExpr("count(1)", "count_if(sound AND a > 1)").first()
         if n_nodes == 0:
             return
         yield nodes
+        if live == 0:
+            return          # every set of the next level would need one of these
 
 
 def _rendered(found: DataFrame, sample: Sample) -> DataFrame:
