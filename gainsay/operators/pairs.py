@@ -73,8 +73,8 @@ def pair_values(rows: RowSet, pairs: DataFrame, n_pairs: int,
     """``pairs`` with the values of both rows, as ``x_c0, y_c0, x_c1, ...``.
 
     Both sizes are known, so the plan is chosen by them: few draws go to the rows (the table is
-    read once and never moved), few rows go to the draws, and two large sides meet in shuffle
-    joins, where the rows are shuffled once for both joins.
+    read once and never moved), few rows go to the draws, and two large sides meet in sort-merge
+    joins, which spill, and where the rows are shuffled once for both joins.
     """
     ids = [c.col_id for c in rows.columns] if col_ids is None else list(col_ids)
     names = [value_name(c) for c in ids]
@@ -91,5 +91,5 @@ def pair_values(rows: RowSet, pairs: DataFrame, n_pairs: int,
     out, values = pairs, rows.values(ids)
     for w in ("x", "y"):
         part = values.selectExpr(f"rid AS {w}", *[f"{value_name(c)} AS {side(w, c)}" for c in ids])
-        out = out.join(F.broadcast(part) if rows_fit else part.hint("shuffle_hash"), w)
+        out = out.join(F.broadcast(part) if rows_fit else part, w)
     return out.select("batch", "i", "x", "y", *[side(w, c) for c in ids for w in ("x", "y")])
