@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Rows that a Python task hands back at once; bounds the memory of wide outputs.
-OUT_ROWS = 2048
+#: Rows that a Python task takes up and hands back at once; bounds the memory of wide rows.
+ROWS = 2048
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,28 +20,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def mapped(df: DataFrame, rows: Callable[[dict[str, list]], Iterator[tuple]], schema: str) -> DataFrame:
     """``mapInArrow`` for functions that read columns as lists and yield output tuples."""
-    struct = df.sparkSession.createDataFrame([], schema).schema
+    struct = _struct(df, schema)
     arrow = to_arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, OUT_ROWS):
-                part = batch.slice(lo, OUT_ROWS)
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
                 held: list[tuple] = []
                 for row in rows({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)}):
                     held.append(row)
-                    if len(held) >= 4 * OUT_ROWS:
-                        yield packed(held, arrow)
+                    if len(held) >= 4 * ROWS:
+                        yield _packed(held, arrow)
                         held = []
                 if held:
-                    yield packed(held, arrow)
+                    yield _packed(held, arrow)
 
     return df.mapInArrow(run, struct)
 
 
-def packed(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = list(zip(*rows))
-    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
+def annotated(df: DataFrame, text_col: str, values: Callable[[list], Sequence[Sequence]], schema: str) -> DataFrame:
+    """``df`` with new columns computed from one text column; the others pass through untouched.
+
+    ``values`` gets the texts of a batch (nulls as empty) and returns one list per new column.  A column of
+    ``df`` with the name of a new one is replaced.
+    """
+    added = _struct(df, schema)
+    kept = [c for c in df.columns if c not in added.names and c != text_col]
+    source = df.select(*(df[quoted(c)] for c in kept), df[quoted(text_col)])
+    struct = StructType([*source.schema.fields, *added.fields])
+    arrow, types, n = to_arrow_schema(struct), to_arrow_schema(added).types, len(source.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                new = values([t or "" for t in part.column(n - 1).to_pylist()])
+                columns = [part.column(i) for i in range(n)] + [pa.array(v, type=t) for v, t in zip(new, types)]
+                yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(
+                    [pa.field(f.name, c.type) for f, c in zip(arrow, columns)]))
+
+    return source.mapInArrow(run, struct)
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -58,5 +77,9 @@ def digest_of(ids: Column) -> Column:
     return F.sha2(F.array_join(F.array_sort(F.transform(ids, lambda x: x.cast("string"))), ","), 256)
 
 
-def columns_of(schema: StructType) -> str:
-    return ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in schema)
+def _struct(df: DataFrame, schema: str) -> StructType:
+    return df.sparkSession.createDataFrame([], schema).schema
+
+
+def _packed(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
