@@ -228,20 +228,22 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         for text in cols["text"]:
             s = shingles(text or "", size)
             if len(s):
-                yield node_of(s), prefix(s, rarity.value, similarity).view(np.int64)
+                yield node_of(s), len(s), prefix(s, rarity.value, similarity).view(np.int64)
 
-    rarest = mapped(texts.select("text"), keys, "node long, keys array<long>").groupBy("node").agg(F.first("keys").alias("keys"))
+    rarest = (mapped(texts.select("text"), keys, "node long, n int, keys array<long>").groupBy("node")
+              .agg(F.first("n").alias("n"), F.first("keys").alias("keys")))
     by_key = Window.partitionBy("key")
-    trees = staged(rarest.select("node", F.explode("keys").alias("key"))
-                   .select("key", "node", F.min("node").over(by_key).alias("least"), F.max("node").over(by_key).alias("most"))
-                   .where("least <> most").drop("most"))
+    trees = staged(rarest.select("node", "n", F.explode("keys").alias("key"))
+                   .select("key", "node", "n", F.min(F.struct("node", "n")).over(by_key).alias("least"), F.max("node").over(by_key).alias("most"))
+                   .where("least.node <> most").select("key", "node", "n", F.col("least.node").alias("least"), F.col("least.n").alias("least_n")))
+    near_size = 100 * F.least("n", "least_n") >= percent * F.greatest("n", "least_n")
     side = {s: sets.select(F.col("node").alias(s), F.col("doc").alias(f"doc_{s}"), F.col("n").alias(f"n_{s}"), F.col("vec").alias(f"vec_{s}")) for s in "ab"}
 
     def candidates(pairs: DataFrame) -> DataFrame:
         both = pairs.join(side["a"], "a").join(side["b"], "b")
         return staged(both.where(may_link(F.col("n_a"), F.col("n_b"), bound(F.col("vec_a"), F.col("vec_b")), percent)).select("a", "b", "doc_a", "doc_b"))
 
-    stars = candidates(trees.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
+    stars = candidates(trees.where((F.col("node") != F.col("least")) & near_size).select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
     links = staged(verified(stars, texts, size, percent))
     first = staged(components(links))
     rest = candidates(between_components(trees, first, sets, percent))
@@ -266,10 +268,13 @@ def labelled(links: DataFrame, own: DataFrame) -> DataFrame:
 
 
 def between_components(trees: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of points of one tree and different components whose leaves' boxes allow a link."""
-    at = trees.join(known, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    """Pairs of points of one tree and different components whose leaves' boxes allow a link.
+
+    The least point of a tree has met all its points before.
+    """
+    at = trees.where("node <> least").join(known, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
     mixed = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    placed = at.join(mixed, "key").join(sets.select("node", "n", "vec"), "node")
+    placed = at.join(mixed, "key").join(sets.select("node", "vec"), "node")
     packing = Window.partitionBy("key", "component").orderBy("n", "vec", "node")
     leaves = staged(placed.withColumn("leaf", F.floor((F.row_number().over(packing) - 1) / LEAF)))
     box = (leaves.groupBy("key", "component", "leaf")
