@@ -23,8 +23,8 @@ from gainsay.shared import staged
 
 #: Rows that centroids are fitted on, most lists, and rounds of k-means.
 SAMPLE, LISTS, ROUNDS = 20_000, 2_048, 12
-#: Share of the lists that a query looks at, and the fewest.
-PROBED, LEAST_PROBED = 0.3, 8
+#: Share of near sample rows that the probed lists must hold, the sample queries that set it, and the fewest lists.
+TARGET, TRIALS, LEAST_PROBED = 0.96, 256, 8
 #: Rows and queries of a group, columns of a block, fully scored rows that set the first bound, and the test's quantile.
 PART, QUERIES, BLOCK, SEED_ROWS, QUANTILE = 4_096, 1_024, 16, 256, 3.0
 
@@ -35,8 +35,12 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def fit(vectors: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Centroids and an orthogonal rotation, from at most ``SAMPLE`` rows in hash order."""
+def fit(vectors: DataFrame, n: int, k: int, target: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """Centroids, an orthogonal rotation and the lists to probe, from at most ``SAMPLE`` rows in hash order.
+
+    As many lists are probed as hold the target share of the k nearest sample rows of sample queries.  Nearest rows of
+    the whole table are nearer, so this errs on the side of more.
+    """
     rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toPandas()["v"]
     x = np.stack(rows.to_numpy()).astype(np.float64)
     rng = np.random.default_rng(7)
@@ -49,7 +53,13 @@ def fit(vectors: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
         size = np.bincount(near, minlength=lists)[:, None]
         centres = np.where(size > 0, total / np.maximum(size, 1), x[rng.choice(len(x), lists)])
     rotation, _ = np.linalg.qr(rng.standard_normal((x.shape[1], x.shape[1])))
-    return centres, rotation
+    trials = min(TRIALS, len(x))
+    products = x[:trials] @ x.T
+    products[np.arange(trials), np.arange(trials)] = -np.inf
+    top = np.argsort(-products, axis=1, kind="stable")[:, :k]
+    order = nearest(x[:trials], centres, lists) if lists > 1 else np.zeros((trials, 1), dtype=int)
+    needed = np.argsort(order, axis=1)[np.arange(trials)[:, None], nearest(x, centres, 1)[:, 0][top]] + 1
+    return centres, rotation, max(LEAST_PROBED, int(np.quantile(needed, target, method="higher")))
 
 
 def nearest(x: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
@@ -99,7 +109,7 @@ def passes(partial: np.ndarray, q: np.ndarray, norms_q: np.ndarray, norms_x: np.
 
 
 def search(embeddings: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
-           probed: float = PROBED) -> DataFrame:
+           target: float = TARGET) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id`` and ``score`` of the k nearest rows found for each query.
 
     Rows without an id or a usable vector, or of another length than most, take no part.  A query's own id is no candidate.
@@ -113,7 +123,7 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 20, id_col: str = "
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("v") == sizes["d"])
-    shared = spark.sparkContext.broadcast(fit(rows, sizes["count"]))     # at most LISTS centroids
+    shared = spark.sparkContext.broadcast(fit(rows, sizes["count"], k, target))     # at most LISTS centroids
 
     def assign(cols: dict[str, list]) -> Iterator[tuple]:
         where = nearest(np.array(cols["v"]), shared.value[0], 1)[:, 0].tolist()
@@ -122,7 +132,7 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 20, id_col: str = "
     placed = staged(mapped(rows.select("vec_id", "v"), assign, "list int, vec_id long, v array<double>"))
     counts = {r["list"]: r["count"] for r in placed.groupBy("list").count().collect()}     # at most LISTS rows
     held = np.array([counts.get(i, 0) for i in range(len(shared.value[0]))])
-    least = max(LEAST_PROBED, int(np.ceil(probed * len(held))))
+    least = shared.value[2]
     parts = spark.sparkContext.broadcast(-(-held // PART))
 
     def probe(cols: dict[str, list]) -> Iterator[tuple]:

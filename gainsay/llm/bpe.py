@@ -30,7 +30,7 @@ STRIDE, OVERLAP = 32_768, 512
 #: Characters after a pre-token that may still decide it ('re needs two, white space one).
 LOOKAHEAD = 3
 #: Pieces remembered by a Python worker; a full memory starts anew.
-MEMORY = 200_000
+MEMORY = 150_000
 
 _PATTERN = regex.compile(public_tokenizers.PATTERN)
 _BREAK = regex.compile(r"\p{L}(?=\P{L})")

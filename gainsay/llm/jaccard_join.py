@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gainsay.llm.common import ROWS, id_text, mapped
+from gainsay.llm.common import ROWS, annotated, id_text, mapped, quoted
 from gainsay.llm.components import components
 from gainsay.shared import staged
 
@@ -40,7 +40,7 @@ GROUPS, RARITY_BITS = 64, 16
 LEAF, SPREAD = 64, 2_000
 #: Bits of the filter that keeps texts of candidates before they are shuffled; it only saves work.
 FILTER_BITS = 1 << 25
-MEMORY = 1_000_000
+MEMORY = 250_000
 
 _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -149,7 +149,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     Texts of candidates are fetched by node.  The texts of all ``b`` of one ``a`` pass by its own, which is kept;
     an ``a`` with very many ``b`` is dealt to several groups.
     """
-    held = id_filter(pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")))(docs)
+    held = docs.where(id_filter(pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")))(F.col("doc_id")))
 
     def nodes(cols: dict[str, list]) -> Iterator[tuple]:
         for text in cols["text"]:
@@ -181,8 +181,8 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     return ordered.mapInArrow(check, "a long, b long")
 
 
-def id_filter(ids: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """A filter on ``doc_id`` that keeps these and few others: a bit vector of fixed size, filled by Spark."""
+def id_filter(ids: DataFrame) -> Callable[[Column], Column]:
+    """A test that holds of these ids, of null and of few others: a bit vector of fixed size, filled by Spark."""
     def fill(cols: dict[str, list]) -> Iterator[tuple]:
         for b in set((np.array(cols["h"], dtype=np.int64) % FILTER_BITS).tolist()):
             yield (b,)
@@ -206,8 +206,7 @@ def id_filter(ids: DataFrame) -> Callable[[DataFrame], DataFrame]:
         bit = h.to_numpy() % FILTER_BITS
         return pd.Series((shared.value[bit >> 3] >> (7 - (bit & 7))) & 1 == 1)
 
-    # Rows without an id may hold a candidate's text too.
-    return lambda docs: docs.where(kept(F.xxhash64("doc_id")) | F.col("doc_id").isNull())
+    return lambda doc_id: doc_id.isNull() | kept(F.xxhash64(doc_id))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -216,6 +215,35 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     Null texts and texts without words have an empty set: they link with nothing and are their own component.
     Rows with equal sets are in one component.  Repeated ids give a row each.  Other columns are ignored.
     """
+    return _grouped(docs, id_col, text_col, size, similarity).select("doc_id", "n_shingles", "component_id")
+
+
+def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS,
+                      similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one row, of the least id, of each component; rows without words all stay.
+
+    Rows that a filter on the ids of the others lets pass certainly stay and are not moved.
+    """
+    rows = staged(_grouped(docs, id_col, text_col, size, similarity).where("node IS NOT NULL"))
+    judged = rows.groupBy("component", "node", "doc_id").agg(F.count("*").alias("times"))
+    least = judged.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("least")).select(
+        "component", F.col("least.node").alias("least_node"), F.col("least.doc_id").alias("least_id"))
+    judged = judged.join(least, "component").withColumn(
+        "stays", (F.col("node") == F.col("least_node")) & F.col("doc_id").eqNullSafe(F.col("least_id")))
+    doubtful = staged(judged.where("NOT stays OR times > 1").select(F.col("node").alias("__node"), F.col("doc_id").alias("__id"), "stays"))
+    maybe = id_filter(doubtful.select(F.col("__id").alias("doc_id")))
+    known = docs.withColumn("__id", docs[quoted(id_col)].cast("long"))
+    suspect = annotated(known.where(maybe(F.col("__id"))), text_col, lambda texts: [[
+        node_of(v) if len(v) else None for v in (shingles(t, size) for t in texts)]], "__node long")
+    told = suspect.join(doubtful, (suspect["__node"] == doubtful["__node"]) & suspect["__id"].eqNullSafe(doubtful["__id"]), "left").drop(
+        doubtful["__node"], doubtful["__id"])
+    one = told.where("stays").dropDuplicates(["__node", "__id"])      # only rows that came several times
+    shown = [F.col(quoted(c)) for c in docs.columns]
+    return known.where(~maybe(F.col("__id"))).select(shown).unionByName(told.where("stays IS NULL").select(shown)).unionByName(one.select(shown))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float) -> DataFrame:
+    """The columns of :func:`join`, and ``node`` and ``component`` in nodes."""
     percent = round(100 * similarity)
     texts = id_text(docs, id_col, text_col)
     spark = docs.sparkSession
@@ -255,9 +283,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
              .unionByName(merged.join(own, "node", "left_anti")))
     least = sets.join(final, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component"))
     smallest = least.groupBy("component").agg(F.min("doc").alias("component_id"))
-    named = least.join(smallest, "component").select("node", "component_id")
+    named = least.join(smallest, "component").select("node", "component", "component_id")
     return (rows.select("doc_id", "n", "node").join(named, "node", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
+            .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+                    "node", "component"))
 
 
 def labelled(links: DataFrame, own: DataFrame) -> DataFrame:

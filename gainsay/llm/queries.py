@@ -8,10 +8,11 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from gainsay.llm import ann, attribution, bpe, decontaminate, jaccard_join, quality, secret_scan, style_tree, toxicity, url_filter
 from gainsay.llm.common import importable, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {}
 
 
