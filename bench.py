@@ -24,7 +24,8 @@ def main() -> None:
     spark = (SparkSession.builder.master(f"local[{CPUS}]").appName("bench")
              .config("spark.sql.shuffle.partitions", CPUS).config("spark.driver.memory", "12g")
              .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-             .config("spark.sql.session.timeZone", "UTC").getOrCreate())
+             .config("spark.sql.session.timeZone", "UTC")
+             .config("spark.checkpoint.dir", os.environ.get("BENCH_CHECKPOINT_DIR", "/tmp/gainsay-bench")).getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     t = {n: spark.read.parquet(f"{SF_DIR}/{n}.parquet") for n in ("customer", "nation", "orders", "lineitem", "part", "events")}
 

@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import time
 
@@ -61,7 +62,8 @@ def main() -> None:
     sf = sys.argv[1]
     spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
              .config("spark.driver.memory", "12g").config("spark.ui.enabled", "false")
-             .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate())
+             .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC")
+             .config("spark.checkpoint.dir", os.environ.get("CHECK_DIR", "/tmp/gainsay-checkpoints")).getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
     bad = 0

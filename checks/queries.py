@@ -16,7 +16,7 @@ from gainsay.plans import discover as D
 from gainsay.plans import workloads
 from gainsay.shared import shared_dir
 from gainsay.sources import tables
-from gainsay.sources.dc_log import label_sections
+from gainsay.sources.dc_log import label_sections, read_dc_log
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -303,6 +303,19 @@ def discover_lineitem_part(spark, sf):
     return D.discover(lineitem_part(spark, sf), 1e-4, order_by=LINEITEM_ORDER).selectExpr(*_DISCOVERED)
 
 
+@register("discover_table_customer_nation", Q.discover_sql(CUSTOMER_NATION_SQL, CUSTOMER_NATION, "c_custkey", 1e-4, 4,
+                                                             select=f"SELECT denial_constraint FROM ({Q.found_sql(4)})"))
+def discover_table_customer_nation(spark, sf):
+    name = f"customer_nation_{uuid.uuid4().hex}"
+    customer_nation(spark, sf).createOrReplaceTempView(name)
+    return D.discover_table(spark, name, threshold=1e-4, order_by=["c_custkey"])
+
+
+@register("discover_row_cap_orders", Q.discover_sql("(SELECT * FROM orders ORDER BY o_orderkey LIMIT 1000)", Q.CLASSES["orders"], "o_orderkey", 1e-2, 4))
+def discover_row_cap_orders(spark, sf):
+    return D.discover(load(spark, sf, "orders"), 1e-2, num_lines=1000, order_by=["o_orderkey"], max_size=4).selectExpr(*_DISCOVERED)
+
+
 @register("discover_events_nan", Q.discover_sql(EVENTS_SQL, EVENT_COLUMNS, "event_id", 1e-4, 5))
 def discover_events_nan(spark, sf):
     return D.discover(marked_events(spark, sf), 1e-4, order_by=["event_id"]).selectExpr(*_DISCOVERED)
@@ -415,6 +428,24 @@ def _fd_query(table, keys, dep):
     return lambda spark, sf: verify.fd_violations(load(spark, sf, table), keys, dep).withColumn("pairs", F.col("pairs").cast("long"))
 
 
+@register("fd_violations_events_nan", f"""
+    SELECT min(user_id) AS user_id, count(*) AS n_rows, count(DISTINCT v) FILTER (WHERE NOT isnan(v)) + count(*) FILTER (WHERE isnan(v)) AS n_values,
+           CAST(count(*) * count(*) - coalesce(sum(c) FILTER (WHERE NOT isnan(v)), 0) - count(*) FILTER (WHERE isnan(v)) AS BIGINT) AS pairs
+    FROM (SELECT user_id, k, v, count(*) OVER (PARTITION BY k, v) AS c FROM
+          (SELECT user_id, coalesce(user_id, 0) AS k, coalesce(value, 'nan'::DOUBLE) AS v FROM {EVENTS_SQL}))
+    GROUP BY k HAVING n_values > 1""")
+def fd_violations_events_nan(spark, sf):
+    return verify.fd_violations(marked_events(spark, sf), ["user_id"], "value").selectExpr("user_id", "n_rows", "n_values", "CAST(pairs AS BIGINT) AS pairs")
+
+
+@register("violation_count_gap_orders", """
+    SELECT CAST(sum(c * (c - 1)) AS BIGINT) AS violations FROM (SELECT t, count(*) AS c FROM
+        (SELECT TIMESTAMP '2024-03-10 00:30:00' + to_hours(CAST(o_orderkey % 5 AS INTEGER)) AS t FROM orders) GROUP BY t)""")
+def violation_count_gap_orders(spark, sf):
+    shifted = load(spark, sf, "orders").selectExpr("o_orderkey", "TIMESTAMP_NTZ '2024-03-10 00:30:00' + make_dt_interval(0, o_orderkey % 5) AS t")
+    return verify.violation_count(shifted.select("t"), [("t", "==")]).selectExpr("CAST(violations AS BIGINT) AS violations")
+
+
 for _name, (_t, _k, _d) in _FDS.items():
     register(_name, _fd_sql(_t, _k, _d))(_fd_query(_t, _k, _d))
 
@@ -640,6 +671,14 @@ def log_sections(spark, sf):
     return label_sections(lines).select("position", "section", "denial_constraint")
 
 
+@register("dc_log_file", f"SELECT section, denial_constraint, count(*) AS n FROM {_LOG_SQL} GROUP BY 1, 2")
+def dc_log_file(spark, sf):
+    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    log = part_log(spark, sf).groupBy("section").agg(F.sort_array(F.collect_list("denial_constraint")).alias("found"))
+    log.select(F.explode(F.concat(F.array(F.concat(F.lit("--- "), "section", F.lit(" ---"))), "found"))).write.text(path)
+    return read_dc_log(spark, path).groupBy("section", "denial_constraint").agg(F.count("*").alias("n"))
+
+
 @register("render_styles", f"""
     SELECT p_partkey, '!(' || c1 || ' ' || o1 || ' ' || c1 || ' & ' || c2 || ' ' || o2 || ' ' || c2 || ' & )' AS default_text,
            '!(t1.' || c1 || ' ' || CASE o1 WHEN '==' THEN '=' ELSE o1 END || ' t2.' || c1 || ' & t1.' || c2 || ' ' || o2 || ' t2.' || c2 || ')' AS sql_text
@@ -653,10 +692,16 @@ def render_styles(spark, sf):
 
 # ---- joins, sources, sinks ------------------------------------------------------------------
 
-def _join_sql(name: str) -> str:
-    j = workloads.STAR_JOINS[name]
-    on = " AND ".join(f"{a} = {b}" for a, b in j.on)
-    return f"SELECT * EXCLUDE ({', '.join(j.drop)}) FROM {j.left} JOIN {j.right} ON {on}"
+# Written out, so that the SQL does not depend on the table of joins under test.
+_JOIN_SQL = {
+    "join_lineitem_orders": "SELECT * EXCLUDE (o_orderkey) FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+    "join_customer_orders": "SELECT * EXCLUDE (o_custkey) FROM customer JOIN orders ON c_custkey = o_custkey",
+    "join_customer_nation": "SELECT * EXCLUDE (n_nationkey) FROM customer JOIN nation ON c_nationkey = n_nationkey",
+    "join_nation_supplier": "SELECT * EXCLUDE (s_nationkey) FROM nation JOIN supplier ON n_nationkey = s_nationkey",
+    "join_nation_region": "SELECT * EXCLUDE (r_regionkey) FROM nation JOIN region ON n_regionkey = r_regionkey",
+    "join_lineitem_part": "SELECT * EXCLUDE (p_partkey) FROM lineitem JOIN part ON l_partkey = p_partkey",
+    "join_lineitem_supplier": "SELECT * EXCLUDE (s_suppkey) FROM lineitem JOIN supplier ON l_suppkey = s_suppkey",
+}
 
 
 def _join_query(name: str) -> Query:
@@ -666,7 +711,7 @@ def _join_query(name: str) -> Query:
 
 for _name, _j in workloads.STAR_JOINS.items():
     if "partsupp" not in (_j.left, _j.right):
-        register(_name, _join_sql(_name))(_join_query(_name))
+        register(_name, _JOIN_SQL[_name])(_join_query(_name))
 
 
 @register("join_lineitem_part_supplier", "SELECT * EXCLUDE (p_partkey, s_suppkey) FROM lineitem JOIN part ON l_partkey = p_partkey "

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,8 @@ PAIR_SHARE = 0.0325
 # Largest side that is ever broadcast, in bytes of payload.
 BROADCAST_BYTES = 128 << 20
 _DRAW_BYTES = 48
+# Broadcasts of draws, each met by one scan, that are preferred to shuffling every row.
+_SLICES = 16
 _PAIRS_PER_TASK = 1 << 20
 _SMALL_TASK = 1 << 15
 
@@ -35,12 +39,14 @@ def batch_start(batch: int) -> int:
 
 def batch_count(n: int) -> int:
     """Batches needed to reach the share of all ordered pairs of ``n`` rows."""
-    if n < 2:
-        return 0
-    want, batch = PAIR_SHARE * n * n, 0
-    while batch_start(batch) < want:
-        batch += 1
-    return batch
+    return batch_reaching(math.ceil(PAIR_SHARE * n * n)) if n > 1 else 0
+
+
+def batch_reaching(pairs: int) -> int:
+    """Least number of batches that hold at least so many pairs; batches beyond the doublings are of one size."""
+    if pairs <= batch_start(DOUBLINGS):
+        return next(b for b in range(DOUBLINGS + 1) if batch_start(b) >= pairs)
+    return DOUBLINGS - (batch_start(DOUBLINGS) - pairs) // batch_size(DOUBLINGS)
 
 
 def batch_sql(i: str, first: int, end: int) -> str:
@@ -73,14 +79,18 @@ def pair_values(rows: RowSet, pairs: DataFrame, n_pairs: int,
     """``pairs`` with the values of both rows, as ``x_c0, y_c0, x_c1, ...``.
 
     Both sizes are known, so the plan is chosen by them: few draws go to the rows (the table is
-    read once and never moved), few rows go to the draws, and two large sides meet in sort-merge
-    joins, which spill, and where the rows are shuffled once for both joins.
+    read once and never moved), more draws do so in slices, few rows go to the draws, and two large sides
+    meet in sort-merge joins, which spill.
     """
     ids = [c.col_id for c in rows.columns] if col_ids is None else list(col_ids)
     names = [value_name(c) for c in ids]
-    draws_fit = 2 * n_pairs * _DRAW_BYTES <= BROADCAST_BYTES
+    slices = -(-2 * n_pairs * _DRAW_BYTES // BROADCAST_BYTES)
     rows_fit = rows.n * rows.width(ids) <= BROADCAST_BYTES
-    if draws_fit and (2 * n_pairs <= rows.n or not rows_fit):
+    if 1 < slices <= _SLICES and not rows_fit:
+        # Every draw goes to the rows, a part of the draws at a time: rows are scanned again but never moved.
+        parts = [pair_values(rows, pairs.where(f"pmod(i, {slices}) = {k}"), -(-n_pairs // slices), ids) for k in range(slices)]
+        return functools.reduce(DataFrame.unionByName, parts)
+    if slices <= 1 and (2 * n_pairs <= rows.n or not rows_fit):
         draws = pairs.selectExpr("batch", "i", "x", "y",
                                  "inline(array(struct(true AS is_x, x AS rid), struct(false AS is_x, y AS rid)))")
         met = (rows.df.select("rid", *names).join(F.broadcast(draws), "rid")

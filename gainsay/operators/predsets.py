@@ -37,16 +37,21 @@ def subsumption_pairs(sets: DataFrame) -> DataFrame:
     Each set is looked up by its rarest member only, so a pair meets once and a member found in
     most sets is hardly ever a join key.
     """
+    rarest, sup = _by_rarest(sets)
+    return rarest.join(sup, "member").where(_PROPER).select("sub_id", "sup_id")
+
+
+_PROPER = "size(sub) < size(sup) AND size(array_except(sub, sup)) = 0"
+
+
+def _by_rarest(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = sets.select("set_id", "members", F.explode("members").alias("member"))
     frequency = members.groupBy("member").agg(F.count(F.lit(1)).alias("freq"))
     rarest = (members.join(frequency, "member").groupBy("set_id", "members")
               .agg(F.min(F.struct("freq", "member")).alias("rare"))
               .select(F.col("set_id").alias("sub_id"), F.col("members").alias("sub"),
                       F.col("rare.member").alias("member")))
-    sup = members.select(F.col("set_id").alias("sup_id"), F.col("members").alias("sup"), "member")
-    return (rarest.join(sup, "member")
-                  .where((F.size("sub") < F.size("sup")) & (F.size(F.array_except("sub", "sup")) == 0))
-                  .select("sub_id", "sup_id"))
+    return rarest, members.select(F.col("set_id").alias("sup_id"), F.col("members").alias("sup"), "member")
 
 
 def supersets(sets: DataFrame, stop: str | None = None) -> DataFrame:
@@ -83,7 +88,7 @@ def grown_sets(sets: DataFrame, predicates: DataFrame, max_size: int) -> DataFra
     level = canonical(sets)
     out = level
     for _ in range(max_size - 1):
-        used = F.transform("members", lambda m: F.substring_index(m, " ", 1))
+        used = F.transform("members", lambda m: F.regexp_replace(m, " [^ ]*$", ""))     # names may hold spaces, operators don't
         free = F.filter(choices, lambda c: ~F.array_contains(used, c["col"]))
         level = canonical(level.where(F.size("members") < max_size)
                           .select("members", F.explode(free).alias("add"))
@@ -93,6 +98,7 @@ def grown_sets(sets: DataFrame, predicates: DataFrame, max_size: int) -> DataFra
 
 
 def minimal_cover(sets: DataFrame) -> DataFrame:
-    """The sets that contain no other set of the table."""
-    implied = subsumption_pairs(sets).select(F.col("sup_id").alias("set_id")).distinct()
+    """The sets that contain no other set of the table; one contained set is enough, pairs are not listed."""
+    rarest, sup = (side.alias(n) for side, n in zip(_by_rarest(sets), "rs"))
+    implied = sup.join(rarest, (F.col("s.member") == F.col("r.member")) & F.expr(_PROPER), "left_semi").select(F.col("sup_id").alias("set_id")).distinct()
     return sets.join(implied, "set_id", "left_anti")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gainsay.operators.schema_model import (RAW_STRING_BYTES, REAL, STRING, ColumnInfo, Predicate, column_infos,
                                             encoded_sql, predicates_of, quoted, sql_name)
@@ -61,8 +62,8 @@ def numbered(df: DataFrame, order_by: Sequence[str] | None = None, name: str = "
 
     Without ``order_by`` rows are numbered in scan order: positions inside the partitions plus the
     partitions' offsets, so nothing is shuffled; a plan that moves rows is staged first to keep its
-    positions fixed.  With ``order_by`` rows are range-partitioned and sorted by those columns, the
-    remaining orderable columns breaking ties, which also splits a frequent key over partitions.
+    positions fixed.  With ``order_by`` rows are range-partitioned and sorted by those columns; numbers,
+    times and a hash of the row break ties, which also splits a frequent key over partitions.
     """
     spark = df.sparkSession
     part, pos, cnt, before = "__part", "__pos", "__cnt", "__before"
@@ -70,8 +71,7 @@ def numbered(df: DataFrame, order_by: Sequence[str] | None = None, name: str = "
              F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION_MASK)).alias(pos)]
     if order_by:
         keys = [quoted(c) for c in order_by]
-        ties = [quoted(f.name) for f in df.schema.fields
-                if f.name not in order_by and f.dataType.typeName() != "map"]
+        ties = _ties(df, order_by)
         ordered = df.repartitionByRange(*keys, *ties).sortWithinPartitions(*keys, *ties)
         placed = staged(ordered.select("*", *place))
     else:
@@ -90,15 +90,24 @@ def numbered(df: DataFrame, order_by: Sequence[str] | None = None, name: str = "
     return placed.join(lookup, part).selectExpr(*names, f"{before} + {pos} AS {name}"), total
 
 
+def _ties(df: DataFrame, order_by: Sequence[str]) -> list[Column]:
+    """What orders rows of equal keys: numbers and times, then a hash of the row, so no text becomes a sort key."""
+    rest = [f for f in df.schema.fields if f.name not in order_by]
+    short = [quoted(f.name) for f in rest if isinstance(f.dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))]
+    return [*short, F.xxhash64(*[quoted(f.name) for f in df.schema.fields if f.dataType.typeName() != "map"])]
+
+
 def index_rows(df: DataFrame, order_by: Sequence[str] | None = None, num_lines: int = -1,
                parity: bool = False, order_temporal: bool = False) -> RowSet:
     """Number and encode the rows of ``df``; ``num_lines`` keeps the first rows of that order."""
     infos = column_infos(df.schema, order_temporal)
     raw = df.select(*[quoted(f.name).alias(value_name(k)) for k, f in enumerate(df.schema.fields)])
     position = {f.name: value_name(k) for k, f in enumerate(df.schema.fields)}
-    rows, n = numbered(raw, [position[c] for c in order_by] if order_by else None)
-    if 0 < num_lines < n:
-        rows, n = rows.where(f"rid < {num_lines}"), num_lines
+    keys = [position[c] for c in order_by] if order_by else None
+    if num_lines > 0:
+        # A true limit: tasks send their first rows only, and what is numbered is no larger.
+        raw = (raw.orderBy(*keys, *_ties(raw, keys)) if keys else raw).limit(num_lines)
+    rows, n = numbered(raw, keys)
     out = RowSet(rows, n, infos, parity)
     out.constant = _constant(out)
     return out

@@ -88,6 +88,12 @@ def sql_name(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def _wall_clock_micros(ref: str) -> str:
+    """Microseconds of a timestamp without a zone, from its own fields: no session zone, so no skipped or repeated hour."""
+    return (f"(unix_date(CAST({ref} AS DATE)) * 86400000000L + hour({ref}) * 3600000000L + minute({ref}) * 60000000L "
+            f"+ CAST(extract(SECOND FROM {ref}) * 1000000 AS BIGINT))")
+
+
 def encoded_sql(ref: str, dtype: T.DataType, info: ColumnInfo, parity: bool = False, compact: bool = False) -> str:
     """Comparable form of one column: NULL becomes 0, NaN or the empty string.
 
@@ -97,7 +103,9 @@ def encoded_sql(ref: str, dtype: T.DataType, info: ColumnInfo, parity: bool = Fa
     is_date = isinstance(dtype, T.DateType)
     is_time = isinstance(dtype, (T.TimestampType, T.TimestampNTZType))
     if is_date or is_time:
-        number = f"CAST(unix_date({ref}) AS BIGINT)" if is_date else f"unix_micros(CAST({ref} AS TIMESTAMP))"
+        number = f"CAST(unix_date({ref}) AS BIGINT)" if is_date else f"unix_micros({ref})"
+        if isinstance(dtype, T.TimestampNTZType):
+            number = _wall_clock_micros(ref)
         if info.temporal:
             return f"coalesce({number}, 0L)"
         if compact:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gainsay.functions.text import KEY_PATTERN, LOOKUP_PAIRS, classify, is_useless, parse_dc
@@ -36,14 +36,15 @@ def category_counts(triaged: DataFrame) -> DataFrame:
     return triaged.where("useless").groupBy("section", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
-def examples(triaged: DataFrame, order: str = "position", line: str = "denial_constraint", n: int = 5) -> DataFrame:
+def examples(triaged: DataFrame, order: Sequence[str] | None = None, line: str = "denial_constraint", n: int = 5) -> DataFrame:
     """The first ``n`` useless constraints of each category, and how many more there are.
 
-    The rank filter lets every task send at most ``n`` rows per group, however large the group.
+    Without ``order`` they come as in the log: by file, block and position, as far as these columns are there.  The rank filter lets every task send at most ``n`` rows per group, however large the group.
     """
     useless = triaged.where("useless")
-    first = (useless.select("section", "category", order, line)
-             .selectExpr("*", f"row_number() OVER (PARTITION BY section, category ORDER BY `{order}`) AS place")
+    by = list(order) if order else [c for c in ("file", "block", "position") if c in triaged.columns]
+    first = (useless.select("section", "category", *by, line)
+             .withColumn("place", F.row_number().over(Window.partitionBy("section", "category").orderBy(*by)))
              .where(f"place <= {int(n)}"))
     return (first.join(category_counts(triaged), ["section", "category"])
                  .select("section", "category", "place", line, F.greatest(F.col("n") - n, F.lit(0)).alias("more")))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gainsay.operators.schema_model import (REAL, STRING, ColumnInfo, column_infos, encoded_value,
-                                            predicate_space)
+                                            predicate_space, quoted)
 from gainsay.shared import staged
 
 MIRROR = {"==": "==", "!=": "!=", "<": ">", ">": "<", "<=": ">=", ">=": "<="}
@@ -28,7 +28,7 @@ def _encoded(df: DataFrame, cols: Sequence[str], keep: bool = False) -> tuple[Da
         raise ValueError(f"unknown columns {missing}")
     used = {c: infos[c] for c in dict.fromkeys(cols)}
     values = [encoded_value(df.schema[c], i, compact=True).alias(f"v{i.col_id}") for c, i in used.items()]
-    row = [F.struct(*[F.col("`" + f.name.replace("`", "``") + "`") for f in df.schema.fields]).alias(_ROW)] if keep else []
+    row = [F.struct(*[quoted(f.name) for f in df.schema.fields]).alias(_ROW)] if keep else []
     return df.select(*row, *values), used
 
 
@@ -120,43 +120,53 @@ def violation_count(df: DataFrame, dc: Sequence[tuple[str, str]]) -> DataFrame:
 
 def violating_rows(df: DataFrame, dc: Sequence[tuple[str, str]]) -> DataFrame:
     """Rows of ``df`` that take part in a violation, in either role."""
-    flagged = _flag(df, dc)
-    return flagged.where("hit").select(f"{_ROW}.*")
+    values, names, flagged = _flag(df, dc)
+    hits = flagged.where("hit").select(*names).hint("rebalance")
+    return values.join(hits, names, "left_semi").select(f"{_ROW}.*")
 
 
 def holds(df: DataFrame, dc: Sequence[tuple[str, str]]) -> bool:
     """The full data has no violation."""
-    return _flag(df, dc).where("hit").isEmpty()
+    return _flag(df, dc)[2].where("hit").isEmpty()
 
 
-def _flag(df: DataFrame, dc: Sequence[tuple[str, str]]) -> DataFrame:
+def _flag(df: DataFrame, dc: Sequence[tuple[str, str]]) -> tuple[DataFrame, list[str], DataFrame]:
+    """The rows with their compared values, the names of these, and per distinct combination whether it violates.
+
+    Everything is decided on counted combinations, so no row and no other column of it moves before the last join.
+    """
     same, differ, orders = _split(dc)
     values, used = _encoded(df, [c for c, _ in dc], keep=True)
     _check_orders(orders, used)
     name = {c: f"v{i.col_id}" for c, i in used.items()}
     keys = [name[c] for c in same]
+    names = list(name.values())
+    groups = values.groupBy(*names).agg(F.expr("count(1) AS c"))
     ok = _no_nan(same, used)
     shape = (len(differ), len(orders))
     if shape[1] == 0 and (shape[0] or keys):
-        return _flag_unequal(values, keys, [name[c] for c in differ], ok,
-                             [_no_nan([c], used) for c in differ])
+        return values, names, _flag_unequal(groups, keys, [name[c] for c in differ], ok,
+                                            [_no_nan([c], used) for c in differ])
     if shape == (0, 1):
         (col, op), = orders
-        return _flag_one_order(values, keys, name[col], op, f"{ok} AND {_no_nan([col], used)}")
+        return values, names, _flag_one_order(groups, keys, name[col], op, f"{ok} AND {_no_nan([col], used)}")
     if shape == (1, 1) and used[differ[0]].type_class != REAL:
         (col, op), = orders
-        return _flag_unequal_order(values, keys, name[differ[0]], name[col], op, f"{ok} AND {_no_nan([col], used)}")
+        return values, names, _flag_unequal_order(groups, keys, name[differ[0]], name[col], op, f"{ok} AND {_no_nan([col], used)}")
     if shape == (0, 2):
         (c1, o1), (c2, o2) = orders
-        return _flag_two_orders(values, keys, (name[c1], o1), (name[c2], o2), f"{ok} AND {_no_nan([c1, c2], used)}")
+        return values, names, _flag_two_orders(groups, keys, (name[c1], o1), (name[c2], o2), f"{ok} AND {_no_nan([c1, c2], used)}")
     raise ValueError(f"no exact plan for {len(differ)} inequalities with {len(orders)} orderings")
 
 
 def _attach(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows with the facts of their group.  A frequent key makes one large row-side partition that
-    meets a single group row, which adaptive execution splits; without keys the group is one row."""
+    """Rows with the facts of their group; without keys the group is one row.
+
+    The groups are rebalanced, so the join shuffles both of its sides itself: only then does adaptive execution split
+    the partition of a frequent key.
+    """
     if keys:
-        return rows.join(groups, list(keys), "left")
+        return rows.join(groups.hint("rebalance"), list(keys), "left")
     return rows.withColumn("__one", F.lit(1)).join(F.broadcast(groups.withColumn("__one", F.lit(1))), "__one", "left").drop("__one")
 
 
@@ -168,21 +178,19 @@ def _flag_unequal(values: DataFrame, keys: list[str], differ: list[str], ok: str
             cols = keys + [differ[k] for k in t]
             clean = " AND ".join([ok] + [no_nan[k] for k in t])
             cnt = "n" + "_".join(str(k) for k in t)
-            counts = values.where(clean).groupBy(*cols).agg(F.expr(f"count(1) AS {cnt}"))
+            counts = values.where(clean).groupBy(*cols).agg(F.expr(f"sum(c) AS {cnt}"))
             out = _attach(out, counts, cols)
             # A NaN row equals no row, itself included; the row itself is no partner.
             terms.append(f"{'+' if r % 2 == 0 else '-'} (CASE WHEN {clean} THEN coalesce({cnt}, 0) - 1 ELSE 0 END)")
-    return out.selectExpr(_ROW, f"(0 {' '.join(terms)}) > 0 AS hit")
+    return out.selectExpr(*keys, *differ, f"(0 {' '.join(terms)}) > 0 AS hit")
 
 
 def _flag_one_order(values: DataFrame, keys: list[str], v: str, op: str, ok: str) -> DataFrame:
-    clean = values.where(ok)
-    counted = clean.groupBy(*keys, v).agg(F.expr("count(1) AS c"))
-    groups = counted.groupBy(*keys).agg(F.expr(f"min(struct({v} AS v, c)) AS lo"), F.expr(f"max(struct({v} AS v, c)) AS hi"),
+    groups = values.where(ok).groupBy(*keys).agg(F.expr(f"min(struct({v} AS v, c)) AS lo"), F.expr(f"max(struct({v} AS v, c)) AS hi"),
                                         F.expr("sum(c) AS n"))
     # Either role: a strict ordering needs a differing partner, otherwise any partner will do.
     test = "lo.v <> hi.v" if op in ("<", ">") else "n > 1"
-    return _attach(values, groups, keys).selectExpr(_ROW, f"coalesce({ok} AND {test}, false) AS hit")
+    return _attach(values, groups, keys).selectExpr(*keys, v, f"coalesce({ok} AND {test}, false) AS hit")
 
 
 def _better(op: str) -> tuple[str, str]:
@@ -203,7 +211,7 @@ def _flag_unequal_order(values: DataFrame, keys: list[str], u: str, v: str, op:
         both = first.join(other, keys, "left") if keys else _attach(first, other, keys)
         out = _attach(out, both.selectExpr(*keys, f"best AS best_{side}", f"runner AS runner_{side}"), keys)
         tests.append(f"({v} {o} CASE WHEN {u} <> best_{side}.u THEN best_{side}.v ELSE runner_{side} END)")
-    return out.selectExpr(_ROW, f"coalesce({ok} AND ({' OR '.join(f'coalesce({t}, false)' for t in tests)}), false) AS hit")
+    return out.selectExpr(*keys, u, v, f"coalesce({ok} AND ({' OR '.join(f'coalesce({t}, false)' for t in tests)}), false) AS hit")
 
 
 def _flag_two_orders(values: DataFrame, keys: list[str], first: tuple[str, str], second: tuple[str, str],
@@ -240,23 +248,37 @@ def _flag_two_orders(values: DataFrame, keys: list[str], first: tuple[str, str],
             test.append(f"{w} {strict} same_{side}")
         tests += test
     if o1 in (">=", "<=") and o2 in (">=", "<="):
-        twins = clean.groupBy(*keys, v, w).agg(F.expr("count(1) AS twins"))
-        out = _attach(out, twins, [*keys, v, w])
-        tests.append("twins > 1")
-    return out.selectExpr(_ROW, f"coalesce({ok} AND ({' OR '.join(f'coalesce({t}, false)' for t in tests)}), false) AS hit")
+        tests.append("c > 1")
+    return out.selectExpr(*keys, v, w, f"coalesce({ok} AND ({' OR '.join(f'coalesce({t}, false)' for t in tests)}), false) AS hit")
 
 
 def fd_violations(df: DataFrame, keys: Sequence[str], dependent: str) -> DataFrame:
-    """Groups that break ``keys -> dependent``: their rows, distinct values, extremes and pairs."""
-    values = df.select(*[F.col(k) for k in keys], F.col(dependent).alias("__v"))
-    counted = values.groupBy(*keys, "__v").agg(F.expr("count(1) AS c"))
-    return (counted.groupBy(*keys)
-            .agg(F.expr("sum(c) AS n_rows"), F.expr("count(1) AS n_values"), F.expr("min(__v) AS least"),
-                 F.expr("max(__v) AS greatest"),
-                 F.expr("sum(CAST(c AS DECIMAL(19,0)) * CAST(c AS DECIMAL(19,0))) AS same"))
-            .where("n_values > 1")
-            .selectExpr(*[f"`{k}`" for k in keys], "n_rows", "n_values", "least", "greatest",
-                        "CAST(CAST(n_rows AS DECIMAL(19,0)) * CAST(n_rows AS DECIMAL(19,0)) - same AS DECIMAL(38,0)) AS pairs"))
+    """Groups that break ``keys -> dependent``: their rows, distinct values, extremes and pairs.
+
+    Values are compared in encoded form, like everywhere: NULL is 0 or the empty text, and NaN differs from every value,
+    itself included, so a NaN in a key is in no group and each NaN is a value of its own.  Keys and extremes are shown as they are.
+    """
+    infos = {c.name: c for c in column_infos(df.schema)}
+    nan = {c: infos[c].type_class == REAL for c in (*keys, dependent)}
+    code = {c: encoded_value(df.schema[c], infos[c], compact=True) for c in (*keys, dependent)}
+    values = df.select(*[code[c].alias(f"__k{i}") for i, c in enumerate(keys)], *[quoted(c).alias(f"__s{i}") for i, c in enumerate(keys)],
+                       code[dependent].alias("__v"), quoted(dependent).alias("__d"))
+    names = [f"__k{i}" for i in range(len(keys))]
+    for i, c in enumerate(keys):
+        if nan[c]:
+            values = values.where(f"NOT isnan(__k{i})")
+    counted = values.groupBy(*names, "__v").agg(
+        F.expr("count(1) AS __c"), *[F.min(f"__s{i}").alias(f"__s{i}") for i in range(len(keys))], F.min("__d").alias("__lo"), F.max("__d").alias("__hi"))
+    own = "CASE WHEN isnan(__v) THEN __c ELSE 1 END" if nan[dependent] else "1"
+    same = "CASE WHEN isnan(__v) THEN __c ELSE __c * __c END" if nan[dependent] else "__c * __c"
+    same = same.replace("__c * __c", "CAST(__c AS DECIMAL(19,0)) * CAST(__c AS DECIMAL(19,0))")
+    return (counted.groupBy(*names)
+            .agg(*[F.min(f"__s{i}").alias(f"__s{i}") for i in range(len(keys))], F.expr("sum(__c) AS __n"), F.expr(f"sum({own}) AS __m"),
+                 F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"), F.expr(f"sum({same}) AS __same"))
+            .where("__m > 1")
+            .select(*[F.col(f"__s{i}").alias(c) for i, c in enumerate(keys)], F.col("__n").alias("n_rows"), F.col("__m").alias("n_values"),
+                    F.col("__lo").alias("least"), F.col("__hi").alias("greatest"),
+                    F.expr("CAST(CAST(__n AS DECIMAL(19,0)) * CAST(__n AS DECIMAL(19,0)) - __same AS DECIMAL(38,0))").alias("pairs")))
 
 
 def violations(df: DataFrame, dc: Sequence[tuple[str, str]], row_key: str) -> DataFrame:

@@ -71,27 +71,37 @@ def batch_limit(n: int, min_grad: float) -> int:
     The slowest gradient is that of a predicate never satisfied, ``(m + 1) / (m + 2)**2`` after
     ``m`` pairs.
     """
-    limit, batch = P.batch_count(n), 0
-    while batch < limit:
-        batch += 1
+    limit = P.batch_count(n)
+    if limit == 0 or min_grad <= 0:
+        return limit
+    # (m + 1) / (m + 2)**2 <= g from m + 2 >= (1 + sqrt(1 - 4 g)) / (2 g) on.
+    first = max(1, P.batch_reaching(int((1 + math.sqrt(max(0.0, 1 - 4 * min_grad))) / (2 * min_grad)) - 3))
+    if first >= limit:
+        return limit
+
+    def stopped(batch: int) -> bool:
         m = P.batch_start(batch)
-        if (m + 1) / (m + 2) ** 2 <= min_grad:
-            break
-    return batch
+        return (m + 1) / (m + 2) ** 2 <= min_grad
+
+    while first > 1 and stopped(first - 1):
+        first -= 1
+    while first < limit and not stopped(first):
+        first += 1
+    return first
 
 
 def _pairs_needed(a: int, b: int, min_grad: float) -> float:
+    ahead = (a + b) * _WAVE_GROWTH
+    if min_grad <= 0:
+        return ahead
     if a == 1:
-        return min(1 / min_grad, (a + b) * _WAVE_GROWTH)
+        return min(1 / min_grad, ahead)
     p = a / (a + b)
     return math.sqrt((1 - p) / (p * min_grad))
 
 
 def _wave_end(first: int, limit: int, want: float) -> int:
-    end = first + 1
-    while end < limit and P.batch_start(end) < want:
-        end += 1
-    return min(end, limit)
+    return min(max(first + 1, P.batch_reaching(math.ceil(want))), limit)
 
 
 def _wave(rows: RowSet, active: list[Predicate], first: int, end: int, seed: int,

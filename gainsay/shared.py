@@ -14,8 +14,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir`` (or already set on the context).
 
-    Only a local master may fall back to a temporary folder of this machine; on a cluster the
-    setting is required, because executors have to reach the folder and may be lost at any time.
+    It is taken from the session.  Only a local master, where driver and executors are one process, may leave it unset
+    and gets a temporary folder; on a cluster executors have to reach the folder and may be lost at any time.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
