@@ -106,7 +106,7 @@ class Model:
     def symbol(self, word: str) -> tuple[str, float] | None:
         if known := self.words.get(word):
             return known
-        return next((self.starts[word[:n]] for n in BEGINNINGS if word[:n] in self.starts), None)
+        return next((self.starts[word[:n]] for n in BEGINNINGS if len(word) > n and word[:n] in self.starts), None)
 
     def matches(self, text: str) -> list[tuple[str, float]]:
         """(pattern, stem weight) of every matched word in clauses of the text."""
