@@ -438,6 +438,14 @@ def fd_violations_events_nan(spark, sf):
     return verify.fd_violations(marked_events(spark, sf), ["user_id"], "value").selectExpr("user_id", "n_rows", "n_values", "CAST(pairs AS BIGINT) AS pairs")
 
 
+@register("violation_count_temporal_orders", """
+    SELECT CAST(sum(n * (n - 1) - same) / 2 AS BIGINT) AS violations FROM (SELECT sum(c) AS n, sum(c * (c - 1)) AS same FROM
+        (SELECT o_custkey, o_orderdate, count(*) AS c FROM orders GROUP BY ALL) GROUP BY o_custkey)""")
+def violation_count_temporal_orders(spark, sf):
+    earlier = [("o_custkey", "=="), ("o_orderdate", "<")]
+    return verify.violation_count(load(spark, sf, "orders"), earlier, verify.Reading(order_temporal=True)).selectExpr("CAST(violations AS BIGINT) AS violations")
+
+
 @register("violation_count_gap_orders", """
     SELECT CAST(sum(c * (c - 1)) AS BIGINT) AS violations FROM (SELECT t, count(*) AS c FROM
         (SELECT TIMESTAMP '2024-03-10 00:30:00' + to_hours(CAST(o_orderkey % 5 AS INTEGER)) AS t FROM orders) GROUP BY t)""")

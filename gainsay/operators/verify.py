@@ -9,6 +9,7 @@ from __future__ import annotations
 import functools
 import itertools
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,13 +22,21 @@ MIRROR = {"==": "==", "!=": "!=", "<": ">", ">": "<", "<=": ">=", ">=": "<="}
 _ROW = "__row"
 
 
-def _encoded(df: DataFrame, cols: Sequence[str], keep: bool = False) -> tuple[DataFrame, dict[str, ColumnInfo]]:
-    infos = {c.name: c for c in column_infos(df.schema)}
+@dataclass(frozen=True)
+class Reading:
+    """How values are read, as in discovery: times may be ordered, reals narrowed to 32 bits."""
+
+    order_temporal: bool = False
+    parity: bool = False
+
+
+def _encoded(df: DataFrame, cols: Sequence[str], reading: Reading, keep: bool = False) -> tuple[DataFrame, dict[str, ColumnInfo]]:
+    infos = {c.name: c for c in column_infos(df.schema, reading.order_temporal)}
     missing = [c for c in cols if c not in infos]
     if missing:
         raise ValueError(f"unknown columns {missing}")
     used = {c: infos[c] for c in dict.fromkeys(cols)}
-    values = [encoded_value(df.schema[c], i, compact=True).alias(f"v{i.col_id}") for c, i in used.items()]
+    values = [encoded_value(df.schema[c], i, reading.parity, compact=True).alias(f"v{i.col_id}") for c, i in used.items()]
     row = [F.struct(*[quoted(f.name) for f in df.schema.fields]).alias(_ROW)] if keep else []
     return df.select(*row, *values), used
 
@@ -55,16 +64,16 @@ def _no_nan(cols: Sequence[str], used: dict[str, ColumnInfo]) -> str:
     return " AND ".join(tests) or "true"
 
 
-def marginals(df: DataFrame) -> DataFrame:
+def marginals(df: DataFrame, reading: Reading = Reading()) -> DataFrame:
     """Exact pairs and probability of every predicate over the N(N-1) ordered pairs.
 
     One grouping per column, each reading only that column; counts are DECIMAL(38, 0), since
     N(N-1) leaves the bigint range from three billion rows on.
     """
     parts = []
-    for f, c in zip(df.schema.fields, column_infos(df.schema)):
+    for f, c in zip(df.schema.fields, column_infos(df.schema, reading.order_temporal)):
         nan = "isnan(v)" if c.type_class == REAL else "false"
-        counts = df.select(encoded_value(f, c, compact=True).alias("v")).groupBy("v").agg(F.expr("count(1) AS c"))
+        counts = df.select(encoded_value(f, c, reading.parity, compact=True).alias("v")).groupBy("v").agg(F.expr("count(1) AS c"))
         big = "CAST(c AS DECIMAL(19,0)) * CAST(c - 1 AS DECIMAL(19,0))"
         parts.append(counts.agg(
             F.expr("CAST(coalesce(sum(c), 0) AS DECIMAL(19,0)) AS n"),
@@ -75,13 +84,13 @@ def marginals(df: DataFrame) -> DataFrame:
     half = "CAST((m * (m - 1) - eq) / 2 AS DECIMAL(38,0))"
     pairs = (f"CASE op WHEN '==' THEN eq WHEN '!=' THEN CAST(n * (n - 1) - eq AS DECIMAL(38,0)) "
              f"WHEN '>' THEN {half} WHEN '<' THEN {half} ELSE CAST({half} + eq AS DECIMAL(38,0)) END")
-    return (predicate_space(df).join(per_column.selectExpr("*", "CAST(n - nans AS DECIMAL(19,0)) AS m"), "col_id")
+    return (predicate_space(df, reading.order_temporal).join(per_column.selectExpr("*", "CAST(n - nans AS DECIMAL(19,0)) AS m"), "col_id")
             .selectExpr("pred_id", "col", "op", f"{pairs} AS pairs",
                         "CAST(n * (n - 1) AS DECIMAL(38,0)) AS all_pairs")
             .selectExpr("*", "CASE WHEN all_pairs > 0 THEN CAST(pairs AS DOUBLE) / CAST(all_pairs AS DOUBLE) END AS prob"))
 
 
-def violation_count(df: DataFrame, dc: Sequence[tuple[str, str]]) -> DataFrame:
+def violation_count(df: DataFrame, dc: Sequence[tuple[str, str]], reading: Reading = Reading()) -> DataFrame:
     """One row ``violations``: ordered pairs of distinct rows that satisfy every predicate.
 
     Pairs equal on E and different on all of D number the alternating sum over the subsets T of D
@@ -91,7 +100,7 @@ def violation_count(df: DataFrame, dc: Sequence[tuple[str, str]]) -> DataFrame:
     same, differ, orders = _split(dc)
     if len(orders) > 1:
         raise ValueError("counting pairs under two orderings is not supported; use violating_rows or holds")
-    values, used = _encoded(df, [c for c, _ in dc])
+    values, used = _encoded(df, [c for c, _ in dc], reading)
     _check_orders(orders, used)
     name = {c: f"v{i.col_id}" for c, i in used.items()}
     ordered = [c for c, _ in orders]
@@ -118,25 +127,25 @@ def violation_count(df: DataFrame, dc: Sequence[tuple[str, str]]) -> DataFrame:
     return total.agg(F.expr("CAST(sum(s) / 2 AS DECIMAL(38,0)) AS violations"))
 
 
-def violating_rows(df: DataFrame, dc: Sequence[tuple[str, str]]) -> DataFrame:
+def violating_rows(df: DataFrame, dc: Sequence[tuple[str, str]], reading: Reading = Reading()) -> DataFrame:
     """Rows of ``df`` that take part in a violation, in either role."""
-    values, names, flagged = _flag(df, dc)
+    values, names, flagged = _flag(df, dc, reading)
     hits = flagged.where("hit").select(*names).hint("rebalance")
     return values.join(hits, names, "left_semi").select(f"{_ROW}.*")
 
 
-def holds(df: DataFrame, dc: Sequence[tuple[str, str]]) -> bool:
-    """The full data has no violation."""
-    return _flag(df, dc)[2].where("hit").isEmpty()
+def holds(df: DataFrame, dc: Sequence[tuple[str, str]], reading: Reading = Reading()) -> bool:
+    """The full data has no violation; ``dc`` may be the ``predicates`` of a discovered constraint."""
+    return _flag(df, dc, reading)[2].where("hit").isEmpty()
 
 
-def _flag(df: DataFrame, dc: Sequence[tuple[str, str]]) -> tuple[DataFrame, list[str], DataFrame]:
+def _flag(df: DataFrame, dc: Sequence[tuple[str, str]], reading: Reading) -> tuple[DataFrame, list[str], DataFrame]:
     """The rows with their compared values, the names of these, and per distinct combination whether it violates.
 
     Everything is decided on counted combinations, so no row and no other column of it moves before the last join.
     """
     same, differ, orders = _split(dc)
-    values, used = _encoded(df, [c for c, _ in dc], keep=True)
+    values, used = _encoded(df, [c for c, _ in dc], reading, keep=True)
     _check_orders(orders, used)
     name = {c: f"v{i.col_id}" for c, i in used.items()}
     keys = [name[c] for c in same]
@@ -281,7 +290,7 @@ def fd_violations(df: DataFrame, keys: Sequence[str], dependent: str) -> DataFra
                     F.expr("CAST(CAST(__n AS DECIMAL(19,0)) * CAST(__n AS DECIMAL(19,0)) - __same AS DECIMAL(38,0))").alias("pairs")))
 
 
-def violations(df: DataFrame, dc: Sequence[tuple[str, str]], row_key: str) -> DataFrame:
+def violations(df: DataFrame, dc: Sequence[tuple[str, str]], row_key: str, reading: Reading = Reading()) -> DataFrame:
     """``(x, y)``: every row that violates as the first of the pair, with one partner as witness.
 
     For constraints with ``==`` keys and one ``!=`` or strict ordering: the partner is the row with
@@ -291,7 +300,7 @@ def violations(df: DataFrame, dc: Sequence[tuple[str, str]], row_key: str) -> Da
     if len(differ) + len(orders) != 1 or (orders and orders[0][1] in ("<=", ">=")):
         raise ValueError("witnesses need == keys and exactly one != or strict ordering")
     col, op = (differ[0], "!=") if differ else orders[0]
-    values, used = _encoded(df, [c for c, _ in dc], keep=True)
+    values, used = _encoded(df, [c for c, _ in dc], reading, keep=True)
     _check_orders(orders, used)
     if differ and used[col].type_class == REAL:
         raise ValueError("a REAL inequality may meet NaN; use violating_rows")

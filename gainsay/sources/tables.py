@@ -15,12 +15,30 @@ from gainsay.shared import staged
 # Type names a CSV header may carry, as in ``salary(Integer)``.
 HEADER_TYPES = {"Integer": "bigint", "Double": "double", "String": "string"}
 
+DELIMITERS, QUOTES, SNIFFED_LINES = (",", ";", "\t", "|"), ('"', "'"), 50
+
 
 def read_input(spark: SparkSession, name_or_path: str) -> DataFrame:
-    """A table or view of that name, else a CSV file with header and inferred types."""
+    """A table or view of that name, else a CSV file with header, inferred types and a sniffed dialect."""
     if _is_identifier(name_or_path) and spark.catalog.tableExists(name_or_path):
         return spark.table(name_or_path)
-    return spark.read.csv(name_or_path, header=True, inferSchema=True)
+    sep, quote = sniffed([r[0] for r in spark.read.text(name_or_path).limit(SNIFFED_LINES).collect()])
+    return spark.read.csv(name_or_path, header=True, inferSchema=True, sep=sep, quote=quote)
+
+
+def sniffed(lines: Sequence[str]) -> tuple[str, str]:
+    """Delimiter and quote of a CSV file, from its first lines: those that split most lines into equally many fields, at least two."""
+    def fields(line: str, sep: str, quote: str) -> int:
+        outside = "".join(line.split(quote)[::2]) if line.count(quote) % 2 == 0 else line
+        return outside.count(sep) + 1
+
+    def fit(sep: str, quote: str) -> tuple:
+        counts = [fields(line, sep, quote) for line in lines if line.strip()]
+        common = max(counts, key=counts.count, default=1)
+        whole = sum(cell.strip()[:1] == quote == cell.strip()[-1:] for line in lines for cell in line.split(sep) if len(cell.strip()) > 1)
+        return (common > 1) * counts.count(common), common, whole
+
+    return max(((sep, quote) for sep in DELIMITERS for quote in QUOTES), key=lambda d: fit(*d))
 
 
 def _is_identifier(name: str) -> bool:

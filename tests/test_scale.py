@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gainsay.operators import pairs as P, predsets, rows as R, schema_model as M, verify
 from gainsay.plans import discover as D
+from gainsay.sources import tables
 
 
 def looped_count(n):
@@ -101,3 +102,20 @@ def test_hot_key_of_a_row_check_is_split(spark):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_csv_dialects_are_sniffed(spark, tmp_path):
+    assert tables.sniffed(["a,b", "1,2"]) == (",", '"') and tables.sniffed(["only one"])[0] == ","
+    for sep, quote in ((";", "'"), ("\t", '"'), ("|", '"'), (",", "'")):
+        path = tmp_path / f"d{ord(sep)}{ord(quote)}.csv"
+        path.write_text(f"id{sep}name\n" + "".join(f"{i}{sep}{quote}x{sep}{i}{quote}\n" for i in range(5)))
+        got = tables.read_input(spark, str(path))
+        assert got.columns == ["id", "name"] and sorted(map(tuple, got.collect())) == [(i, f"x{sep}{i}") for i in range(5)]
+
+
+def test_discovered_constraints_over_times_can_be_checked(spark):
+    df = spark.sql("SELECT id AS a, TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(CAST(id AS INT)) AS t FROM range(40)")
+    reading = verify.Reading(order_temporal=True)
+    assert not verify.holds(df, [("a", "<"), ("t", "<")], reading) and verify.holds(df, [("a", "<"), ("t", ">")], reading)
+    for row in D.discover(df, 1e-2, order_by=["a"], order_temporal=True).select("predicates").collect():
+        assert verify.holds(df, row.predicates, reading)
