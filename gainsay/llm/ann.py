@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gainsay.llm.common import mapped, quoted
+from gainsay.llm.common import mapped, quoted, sampled
 from gainsay.shared import staged
 
 #: Rows that centroids are fitted on, most lists, and rounds of k-means.
@@ -26,7 +26,7 @@ SAMPLE, LISTS, ROUNDS = 20_000, 2_048, 12
 #: Share of near sample rows that the probed lists must hold, the sample queries that set it, and the fewest lists.
 TARGET, TRIALS, LEAST_PROBED = 0.96, 256, 8
 #: Rows and queries of a group, columns of a block, fully scored rows that set the first bound, and the test's quantile.
-PART, QUERIES, BLOCK, SEED_ROWS, QUANTILE = 4_096, 1_024, 16, 256, 3.0
+PART, QUERIES, BLOCK, SEED_ROWS, QUANTILE = 4_096, 256, 16, 256, 3.0
 
 
 def usable(vector: Column) -> Column:
@@ -36,12 +36,13 @@ def usable(vector: Column) -> Column:
 
 
 def fit(vectors: DataFrame, n: int, k: int, target: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """Centroids, an orthogonal rotation and the lists to probe, from at most ``SAMPLE`` rows in hash order.
+    """Centroids, an orthogonal rotation and the lists to probe, from about ``SAMPLE`` rows chosen by a hash of the id.
 
     As many lists are probed as hold the target share of the k nearest sample rows of sample queries.  Nearest rows of
     the whole table are nearer, so this errs on the side of more.
     """
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toPandas()["v"]
+    rows = vectors.where(sampled(F.col("vec_id"), SAMPLE, n)).select("v").limit(2 * SAMPLE).toPandas()["v"]
+    rows = rows if len(rows) else vectors.select("v").limit(SAMPLE).toPandas()["v"]
     x = np.stack(rows.to_numpy()).astype(np.float64)
     rng = np.random.default_rng(7)
     lists = int(min(LISTS, max(1, np.sqrt(n)), len(x)))
@@ -81,7 +82,7 @@ def scan(queries: np.ndarray, rows: np.ndarray, rotation: np.ndarray, k: int) ->
     bound = bound - 1e-9 * (1 + np.abs(bound))
     qi, xi = np.nonzero(full >= bound[:, None])
     yield qi, xi
-    step = max(1, 4_000_000 // max(1, len(x)))
+    step = max(1, 100_000 // max(1, len(x)))       # all pairs of a step may survive where many rows are alike
     for lo in range(0, len(q) if seeds < len(x) else 0, step):
         some = slice(lo, lo + step)
         partial = q[some, :BLOCK] @ x[seeds:, :BLOCK].T

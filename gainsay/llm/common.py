@@ -78,6 +78,11 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(docs[quoted(id_col)].cast("long").alias("doc_id"), docs[quoted(text_col)].cast("string").alias("text"))
 
 
+def sampled(key: Column, size: int, total: int) -> Column:
+    """Condition that about ``size`` of ``total`` rows meet, by a hash of their key: the same rows whatever the partitioning."""
+    return F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 40)) < int(min(1.0, size / max(total, 1)) * (1 << 40))
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

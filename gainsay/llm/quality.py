@@ -11,23 +11,24 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gainsay.llm.common import annotated, id_text, mapped
+from gainsay.llm.common import annotated, id_text, mapped, sampled
 
-#: Rows that the scorer is trained on (taken in hash order), its features, rounds and step.
+#: Rows that the scorer is trained on (about; chosen by a hash), its features, rounds, step and decay.
 SAMPLE, FEATURES, ROUNDS, STEP, DECAY = 10_000, 1 << 16, 60, 0.5, 1e-4
-#: Tokens of a training document that are told apart; a longer one adds the counts of its blocks.
+#: Most rounds of expectation-maximisation.
 ITERATIONS = 200
 
 # Frequent words of the corpus languages.
 FREQUENT = frozenset("the of and to in is that for a an on with as was it by die der und das den ist von mit zu ein sich auf für im nicht "
                      "le la les de des et un une est en que qui pour dans el los las y que se del por con para una su".split())
-LABELLERS = ("letters", "capitals", "marks", "tables", "repeats", "frequent", "words", "sentences")
+LABELLERS = ("letters", "capitals", "marks", "tables", "repeats", "frequent", "variety", "sentences")
 
 _MARK = re.compile(r"[^\w\s.,;:!?'\"()-]{2,}|!!")
 _SHAPE = str.maketrans("0123456789", "0000000000")
@@ -46,12 +47,12 @@ def votes_of(text: str) -> str:
     bars = sum(w == "|" or w.endswith("|") for w in words) / n
     repeats = sum(a == b for a, b in zip(words, words[1:])) / n
     common = sum(w.lower().strip(".,;:!?") in FREQUENT for w in words) / n
-    length = chars / n
+    pairs = len(set(zip(words, words[1:]))) / n
     ends = sum(w[-1] in ".!?" for w in words) / n
     return "".join((
         vote(letters / chars, 0.9, 0.8), vote(-upper / max(1, letters), -0.2, -0.5), vote(-marks, -0.02, -0.2), vote(-bars, -0.02, -0.15),
         vote(-repeats, -0.02, -0.2) if n >= 5 else "0", vote(common, 0.15, 0.03) if n >= 10 else "0",
-        vote(-abs(length - 6), -3, -6), vote(-abs(ends - 0.08), -0.07, -0.3) if n >= 20 else "0"))
+        vote(pairs, 0.6, 0.4) if n >= 10 else "0", vote(-abs(ends - 0.08), -0.07, -0.3) if n >= 20 else "0"))
 
 
 def vote(value: float, good: float, bad: float) -> str:
@@ -62,10 +63,9 @@ def estimate(patterns: list[tuple[str, int]]) -> tuple[dict[str, float], np.ndar
     """Posterior of good for every vote pattern, and P(vote | class) by labeller, class (bad, good) and vote (-, 0, +)."""
     votes = np.array([["-0+".index(v) for v in p] for p, _ in patterns])
     count = np.array([c for _, c in patterns], dtype=float)
-    one_hot = np.eye(3)[votes]
-    # Labellers are taken to be better than chance: the majority starts the labels.
-    balance = (votes - 1).sum(axis=1)
-    good = 1 / (1 + np.exp(-1.5 * balance - 0.5))
+    one_hot = np.eye(3)[votes] * (votes != 1)[..., None]        # an abstention says nothing
+    # Labellers are taken to be better than chance, and a vote against to say more than one in favour: these start the labels.
+    good = 1 / (1 + np.exp(-2.0 - 0.5 * (votes == 2).sum(axis=1) + 3.0 * (votes == 0).sum(axis=1)))
     for _ in range(ITERATIONS):
         weight = np.stack([count * (1 - good), count * good])
         table = (np.einsum("ci,ilv->lcv", weight, one_hot) + 0.1)
@@ -137,7 +137,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     voted = annotated(texts, "text", lambda batch: [[votes_of(t) for t in batch]], "votes string")
     patterns = voted.groupBy("votes").count().collect()       # at most 3 ** 8 rows
     posterior, _ = estimate([(r["votes"], r["count"]) for r in patterns]) if patterns else ({}, None)
-    taken = voted.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(sample)
+    taken = voted.where(sampled(F.struct("doc_id", "text"), sample, sum(r["count"] for r in patterns)))
 
     def vectors(cols: dict[str, list]) -> Iterator[tuple]:
         for votes, text in zip(cols["votes"], cols["text"]):
@@ -145,7 +145,8 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
             yield votes, where.tolist(), value.tolist()
 
     held = mapped(taken.select("votes", "text"), vectors, "votes string, where array<int>, value array<double>").toLocalIterator()
-    model = spark.sparkContext.broadcast(train([(np.array(w, np.int64), np.array(v), posterior[p]) for p, w, v in held]))
+    # Repeated rows share a hash, so the driver stops at twice the sample.
+    model = spark.sparkContext.broadcast(train([(np.array(w, np.int64), np.array(v), posterior[p]) for p, w, v in islice(held, 2 * sample)]))
     labels = spark.sparkContext.broadcast(posterior)
 
     def judge(batch: list[str]) -> list[list]:

@@ -23,7 +23,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gainsay.llm.common import annotated, id_text, mapped
+from gainsay.llm.common import annotated, id_text, mapped, sampled
 from gainsay.shared import staged
 
 # Starting words of the symbols.
@@ -156,13 +156,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """Texts and labels of at most ``size`` training rows of each class, taken in hash order."""
+    """Texts and labels of about ``size`` training rows of each class (all, if fewer), chosen by a hash of the id."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    taken = None
-    for label in (0, 1):
-        some = rows.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
-        taken = some if taken is None else taken.unionByName(some)
-    joined = id_text(docs).join(F.broadcast(taken), "doc_id")        # at most 2 * size rows of two numbers
+    counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    taken = rows.where(F.when(F.col("toxic") == 1, sampled(F.col("doc_id"), size, counts.get(1, 0))).otherwise(sampled(F.col("doc_id"), size, counts.get(0, 0))))
+    joined = id_text(docs).join(F.broadcast(taken), "doc_id")        # about 2 * size rows of two numbers
     return staged(joined.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.max("text").alias("text")))
 
 
