@@ -9,7 +9,7 @@ compare each with all others of its size.  Points are therefore first dealt out
 two sets that link, the rarest fifth of each has a shingle in common.  Rarity is a count over the whole corpus in
 hashed groups.  The points that share a shingle form a tree.  They are compared in two rounds:
 
-1. every point with the least of its trees; links found so far make components;
+1. every point with the centre of each of its trees; links found so far make components;
 2. in trees that still hold several components, the points of each component are packed into leaves, leaf
    pairs of different components are joined by the bound of their boxes, point pairs by their minima.
 
@@ -20,6 +20,7 @@ expanded into all pairs, and no link between components is lost.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,14 +35,17 @@ from gainsay.llm.components import components
 from gainsay.shared import staged
 
 WORDS, SIMILARITY = 5, 0.8
-#: Coordinates of a point, and groups in which the rarity of shingles is counted.
-GROUPS, RARITY_BITS = 64, 16
+#: Coordinates of a point, and bits of the groups in which the rarity of shingles is counted.
+GROUPS, RARITY_BITS = 256, 22
 #: Points of a leaf, and points that are verified against one other within a task.
-LEAF, SPREAD = 64, 2_000
+LEAF, SPREAD = 16, 2_000
 #: Bits of the filter that keeps texts of candidates before they are shuffled; it only saves work.
 FILTER_BITS = 1 << 25
 MEMORY = 250_000
+#: Rarity groups in a row of counts, which are compressed: most groups are empty or small within a task.
+_SLOT = 1 << 16
 
+_TO_GROUP = np.uint64(64 - (GROUPS - 1).bit_length())
 _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -96,7 +100,7 @@ def points(docs: DataFrame, size: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("vec", pa.list_(pa.int32())), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << RARITY_BITS, dtype=np.int64)
+        counts = np.zeros(1 << RARITY_BITS, dtype=np.int32)
         for batch in batches:
             for lo in range(0, batch.num_rows, ROWS):
                 part = batch.slice(lo, ROWS)
@@ -105,15 +109,15 @@ def points(docs: DataFrame, size: int) -> DataFrame:
                     s = shingles(text or "", size)
                     n.append(len(s))
                     node.append(node_of(s) if len(s) else None)
-                    vec.append(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.int32))
-                    counts += np.bincount((s >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=1 << RARITY_BITS)
+                    vec.append(np.bincount((s >> _TO_GROUP).astype(np.int64), minlength=GROUPS).astype(np.int32))
+                    np.add.at(counts, (s >> np.uint64(64 - RARITY_BITS)).astype(np.int64), 1)
                 k = len(n)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()),
                                                   pa.array(vec, pa.list_(pa.int32())), pa.nulls(k, pa.binary())], schema=schema)
-        for lo in range(0, len(counts), 4096):
-            if counts[lo:lo + 4096].any():
+        for lo in range(0, len(counts), _SLOT):
+            if counts[lo:lo + _SLOT].any():
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1 - lo], pa.int64()), pa.nulls(1, pa.int64()),
-                                                  pa.nulls(1, pa.list_(pa.int32())), pa.array([counts[lo:lo + 4096].tobytes()], pa.binary())], schema=schema)
+                                                  pa.nulls(1, pa.list_(pa.int32())), pa.array([zlib.compress(counts[lo:lo + _SLOT].tobytes(), 1)], pa.binary())], schema=schema)
 
     return docs.mapInArrow(run, "doc_id long, n long, node long, vec array<int>, counts binary")
 
@@ -121,15 +125,17 @@ def points(docs: DataFrame, size: int) -> DataFrame:
 def rarity_of(marked: DataFrame) -> np.ndarray:
     """Shingles per rarity group over all documents: a vector of fixed length."""
     def add(part: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(c, dtype=np.int64) for c in part["counts"]], axis=0)
-        return pd.DataFrame({"slot": [part["n"].iloc[0]], "counts": [total.tobytes()]})
+        total = np.zeros(min(_SLOT, 1 << RARITY_BITS), dtype=np.int32)
+        for c in part["counts"]:
+            total = np.minimum(total.astype(np.int64) + np.frombuffer(zlib.decompress(c), dtype=np.int32), 2**31 - 1).astype(np.int32)
+        return pd.DataFrame({"slot": [part["n"].iloc[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
 
     slots = marked.where("counts IS NOT NULL").select("n", "counts")
     spread = slots.groupBy("n", F.spark_partition_id().alias("p")).applyInPandas(
         lambda part: add(part).rename(columns={"slot": "n"}), "n long, counts binary")
-    out = np.zeros(1 << RARITY_BITS, dtype=np.int64)
+    out = np.zeros(1 << RARITY_BITS, dtype=np.int32)
     for slot, counts in spread.groupBy("n").applyInPandas(add, "slot long, counts binary").collect():
-        out[-1 - slot:4095 - slot] = np.frombuffer(counts, dtype=np.int64)
+        out[-1 - slot:_SLOT - 1 - slot] = np.frombuffer(zlib.decompress(counts), dtype=np.int32)
     return out
 
 
@@ -262,19 +268,23 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, similarity:
               .agg(F.first("n").alias("n"), F.first("keys").alias("keys")))
     by_key = Window.partitionBy("key")
     trees = staged(rarest.select("node", "n", F.explode("keys").alias("key"))
-                   .select("key", "node", "n", F.min(F.struct("node", "n")).over(by_key).alias("least"), F.max("node").over(by_key).alias("most"))
-                   .where("least.node <> most").select("key", "node", "n", F.col("least.node").alias("least"), F.col("least.n").alias("least_n")))
-    near_size = 100 * F.least("n", "least_n") >= percent * F.greatest("n", "least_n")
+                   .select("key", "node", "n", F.count("*").over(by_key).alias("points")).where("points > 1"))
+    # The point that shares its shingles most often is the centre of a tree: near copies mostly link with it.
+    met = trees.groupBy("node").agg(F.sum("points").alias("met"))
+    weighed = trees.join(met, "node")
+    centres = weighed.groupBy("key").agg(F.max(F.struct("met", "node", "n")).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n"))
+    near_size = 100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n")
     side = {s: sets.select(F.col("node").alias(s), F.col("doc").alias(f"doc_{s}"), F.col("n").alias(f"n_{s}"), F.col("vec").alias(f"vec_{s}")) for s in "ab"}
 
     def candidates(pairs: DataFrame) -> DataFrame:
         both = pairs.join(side["a"], "a").join(side["b"], "b")
         return staged(both.where(may_link(F.col("n_a"), F.col("n_b"), bound(F.col("vec_a"), F.col("vec_b")), percent)).select("a", "b", "doc_a", "doc_b"))
 
-    stars = candidates(trees.where((F.col("node") != F.col("least")) & near_size).select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
+    stars = candidates(trees.join(centres, "key").where((F.col("node") != F.col("centre")) & near_size)
+                       .select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
     links = staged(verified(stars, texts, size, percent))
     first = staged(components(links))
-    rest = candidates(between_components(trees, first, sets, percent))
+    rest = candidates(between_components(trees.join(centres, "key").where("node <> centre"), first, sets, percent))
     more = verified(rest, texts, size, percent)
     own = first.select("node", "component")
     merged = components(staged(labelled(more, own)))
@@ -299,21 +309,23 @@ def labelled(links: DataFrame, own: DataFrame) -> DataFrame:
 def between_components(trees: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of points of one tree and different components whose leaves' boxes allow a link.
 
-    The least point of a tree has met all its points before.
+    The centre of a tree has met all its points before and is left out.
     """
-    at = trees.where("node <> least").join(known, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+    at = trees.join(known, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
     mixed = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     placed = at.join(mixed, "key").join(sets.select("node", "vec"), "node")
     packing = Window.partitionBy("key", "component").orderBy("n", "vec", "node")
     leaves = staged(placed.withColumn("leaf", F.floor((F.row_number().over(packing) - 1) / LEAF)))
-    box = (leaves.groupBy("key", "component", "leaf")
-           .agg(F.min("n").alias("lo"), F.max("n").alias("hi"), *[F.max(F.col("vec")[i]).alias(f"v{i}") for i in range(GROUPS)])
-           .select("key", "component", "leaf", "lo", "hi", F.array(*[f"v{i}" for i in range(GROUPS)]).alias("box")))
-    a, b = (box.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("component", "leaf", "lo", "hi", "box")]) for s in "ab")
+    largest = F.aggregate(F.slice("points", 2, LEAF), F.col("points")[0]["vec"], lambda x, p: F.zip_with(x, p["vec"], lambda u, v: F.greatest(u, v)))
+    box = (leaves.groupBy("key", "component", "leaf")                                       # at most LEAF points each
+           .agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.collect_list(F.struct("node", "n", "vec")).alias("points"))
+           .select("key", "component", "lo", "hi", largest.alias("box"), "points"))
+    a, b = (box.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("component", "lo", "hi", "box", "points")]) for s in "ab")
     sizes_meet = (100 * F.col("hi_a") >= percent * F.col("lo_b")) & (100 * F.col("hi_b") >= percent * F.col("lo_a"))
     near = a.join(b, "key").where((F.col("component_a") < F.col("component_b")) & sizes_meet & (
         (100 + percent) * bound(F.col("box_a"), F.col("box_b")) >= percent * (F.col("lo_a") + F.col("lo_b"))))
-    for s in "ab":
-        members = leaves.select("key", F.col("component").alias(f"component_{s}"), F.col("leaf").alias(f"leaf_{s}"), F.col("node").alias(s))
-        near = near.join(members, ["key", f"component_{s}", f"leaf_{s}"])
-    return near.select("a", "b").distinct()
+    # The points of two leaves are compared where the leaves meet: only pairs that may link become rows.
+    met = F.flatten(F.transform("points_a", lambda p: F.transform(
+        F.filter("points_b", lambda q: may_link(p["n"], q["n"], bound(p["vec"], q["vec"]), percent)),
+        lambda q: F.struct(p["node"].alias("a"), q["node"].alias("b")))))
+    return near.select(F.explode(met).alias("pair")).select("pair.a", "pair.b").distinct()
