@@ -84,7 +84,7 @@ def pair_values(rows: RowSet, pairs: DataFrame, n_pairs: int,
     """
     ids = [c.col_id for c in rows.columns] if col_ids is None else list(col_ids)
     names = [value_name(c) for c in ids]
-    slices = -(-2 * n_pairs * _DRAW_BYTES // BROADCAST_BYTES)
+    slices = -(-2 * n_pairs * _DRAW_BYTES // max(1, BROADCAST_BYTES))
     rows_fit = rows.n * rows.width(ids) <= BROADCAST_BYTES
     if 1 < slices <= _SLICES and not rows_fit:
         # Every draw goes to the rows, a part of the draws at a time: rows are scanned again but never moved.
