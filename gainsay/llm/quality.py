@@ -8,6 +8,8 @@ judges every document by its tokens, so it also decides where labellers abstain.
 
 from __future__ import annotations
 
+import math
+import operator
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,7 +32,11 @@ FREQUENT = frozenset("the of and to in is that for a an on with as was it by die
                      "le la les de des et un une est en que qui pour dans el los las y que se del por con para una su".split())
 LABELLERS = ("letters", "capitals", "marks", "tables", "repeats", "frequent", "variety", "sentences")
 
+_END = re.compile(r"[.!?](?=\s|\Z)")
 _MARK = re.compile(r"[^\w\s.,;:!?'\"()-]{2,}|!!")
+_HIGH, _ASCII_UPPER = bytes(range(128, 256)), bytes(range(65, 91))
+_ASCII_LETTERS = _ASCII_UPPER + bytes(range(97, 123))
+_BEYOND = re.compile(r"[^\x00-\x7f]")
 _SHAPE = str.maketrans("0123456789", "0000000000")
 
 
@@ -41,14 +47,16 @@ def votes_of(text: str) -> str:
     if not n:
         return "0" * len(LABELLERS)
     chars = max(1, sum(map(len, words)))
-    letters = sum(c.isalpha() for c in text)
-    upper = sum(c.isupper() for c in text)
+    raw = text.encode()
+    high = len(text) - len(raw.translate(None, _HIGH))         # characters beyond ASCII count as letters
+    letters = len(raw) - len(raw.translate(None, _ASCII_LETTERS)) + high
+    upper = len(raw) - len(raw.translate(None, _ASCII_UPPER)) + (sum(map(str.isupper, _BEYOND.findall(text))) if high else 0)
     marks = len(_MARK.findall(text)) / n
-    bars = sum(w == "|" or w.endswith("|") for w in words) / n
-    repeats = sum(a == b for a, b in zip(words, words[1:])) / n
-    common = sum(w.lower().strip(".,;:!?") in FREQUENT for w in words) / n
+    bars = text.count("|") / n
+    repeats = sum(map(operator.eq, words, words[1:])) / n
+    common = sum(map(FREQUENT.__contains__, text.lower().split())) / n
     pairs = len(set(zip(words, words[1:]))) / n
-    ends = sum(w[-1] in ".!?" for w in words) / n
+    ends = len(_END.findall(text)) / n
     return "".join((
         vote(letters / chars, 0.9, 0.8), vote(-upper / max(1, letters), -0.2, -0.5), vote(-marks, -0.02, -0.2), vote(-bars, -0.02, -0.15),
         vote(-repeats, -0.02, -0.2) if n >= 5 else "0", vote(common, 0.15, 0.03) if n >= 10 else "0",
@@ -101,13 +109,38 @@ def features_of(text: str) -> tuple[np.ndarray, np.ndarray]:
     words, slots = text.split(), slots_of()
     if not words:
         return np.empty(0, np.int64), np.empty(0)
-    same = sum(a == b for a, b in zip(words, words[1:]))
+    same = sum(map(operator.eq, words, words[1:]))
     found = np.array([slots[w] for w in words], dtype=np.int64).ravel()
     where, count = np.unique(found, return_counts=True)
     value = count / (2 * len(words))
     return np.append(where, slots["\0same"][0]), np.append(value, same / len(words))
 
 
+class Weights(dict):
+    """Sum of the weights of a token's features."""
+
+    def __init__(self, weights: np.ndarray, bias: float):
+        super().__init__()
+        self.weights, self.bias = weights, bias
+
+    def __missing__(self, token: str) -> float:
+        if len(self) >= 300_000:
+            self.clear()
+        value = float(sum(self.weights[s] for s in slots_of()[token]))
+        if len(token) < 64:
+            self[token] = value
+        return value
+
+    def score(self, text: str) -> float:
+        """The scorer's judgement, without forming the features."""
+        words = text.split()
+        margin = self.bias
+        if words:
+            same = sum(map(operator.eq, words, words[1:])) * float(self.weights[slots_of()["\0same"][0]])
+            margin += (sum(map(self.__getitem__, words)) / 2 + same) / len(words)
+        return 1 / (1 + math.exp(-min(50.0, max(-50.0, margin))))
+
+
 def train(rows: list[tuple[np.ndarray, np.ndarray, float]]) -> tuple[np.ndarray, float]:
     """Weights and bias of logistic regression on soft labels, by full gradients with per-feature steps."""
     index = np.concatenate([r[0] for r in rows]) if rows else np.empty(0, np.int64)
@@ -137,7 +170,8 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     voted = annotated(texts, "text", lambda batch: [[votes_of(t) for t in batch]], "votes string")
     patterns = voted.groupBy("votes").count().collect()       # at most 3 ** 8 rows
     posterior, _ = estimate([(r["votes"], r["count"]) for r in patterns]) if patterns else ({}, None)
-    taken = voted.where(sampled(F.struct("doc_id", "text"), sample, sum(r["count"] for r in patterns)))
+    some = texts.where(sampled(F.struct("doc_id", "text"), sample, sum(r["count"] for r in patterns)))
+    taken = annotated(some, "text", lambda batch: [[votes_of(t) for t in batch]], "votes string")
 
     def vectors(cols: dict[str, list]) -> Iterator[tuple]:
         for votes, text in zip(cols["votes"], cols["text"]):
@@ -149,12 +183,13 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     model = spark.sparkContext.broadcast(train([(np.array(w, np.int64), np.array(v), posterior[p]) for p, w, v in islice(held, 2 * sample)]))
     labels = spark.sparkContext.broadcast(posterior)
 
+    known: list[Weights] = []
+
     def judge(batch: list[str]) -> list[list]:
-        (weights, bias), votes, scores = model.value, [votes_of(t) for t in batch], []
-        for text in batch:
-            where, value = features_of(text)
-            scores.append(float(1 / (1 + np.exp(-np.clip((weights[where] * value).sum() + bias, -50, 50)))))
-        return [votes, [labels.value[v] for v in votes], scores]
+        if not known:
+            known.append(Weights(*model.value))
+        votes = [votes_of(t) for t in batch]
+        return [votes, [labels.value[v] for v in votes], [known[0].score(t) for t in batch]]
 
     rated = annotated(texts, "text", judge, "votes string, posterior double, score double")
     return rated.select("doc_id", "votes", "posterior", "score", (F.col("score") >= threshold).alias("keep"))
