@@ -4,9 +4,9 @@ A code-like string is a long run of characters that encodings use.  Its encoding
 characters.  Four tests ask whether it looks like uniform draws from that alphabet: chi-squared over the
 symbols, chi-squared over the character classes, a runs test about the middle of the alphabet and the serial
 correlation.  Their p-values are combined.  Words look random too when they are short, so the level a string
-must reach is set per length: plain words of the corpus are the null distribution, and within each length
-class the lowest level is taken at which the expected share of words among the strings found is at most
-``rate``.
+must reach is set per length class: the weakest at which the expected share of words among the strings found is at
+most ``rate``, and no weaker than uniform strings need.  The null distribution is drawn from the letter statistics of
+the whole corpus, so a class needs no words of its own length; plain words of that length add to it where they exist.
 """
 
 from __future__ import annotations
@@ -38,12 +38,22 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 LENGTHS = (20, 24, 28, 32, 40, 48, 64, 96, 128, 256)
 LEVELS = 120
 RATE = 0.05
+#: Strings drawn per length class, the plain words of a class that they weigh as much as, and the weakest level of a limit:
+#: about one uniform string in a thousand lies beyond it.
+DRAWS, EVIDENCE, WEAKEST = 10_000, 100, 40
+#: Shares of a to z in English, and the letters they count for beside those of the corpus.
+ENGLISH = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
+ENGLISH_COUNT = 50
 
 # Marks of texts that may hold a match, found by plain search over their bytes.
 _NAMES = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 _HEX_MARK = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 _CODED_MARK = bytes(120 if b < 128 and (chr(b).isalnum() or chr(b) in "+/_-") else 32 for b in range(256))
 
+#: Letters as 1 to 26 whatever their case, and cases as 1 (lower) and 2 (upper); 0 for all other bytes.
+_LETTER = bytes((chr(b).lower().encode()[0] - 96) if b < 128 and chr(b).isalpha() else 0 for b in range(256))
+_CASE = bytes((1 if chr(b).islower() else 2) if b < 128 and chr(b).isalpha() else 0 for b in range(256))
+
 _CLASSES = (frozenset(LETTERS), frozenset(LETTERS.upper()), frozenset(DIGITS))
 _SETS = {name: frozenset(chars) for name, chars in ENCODINGS.items()}
 
@@ -144,13 +154,35 @@ def length_class(n: int) -> int:
     return int(np.searchsorted(LENGTHS, n, side="right")) - 1
 
 
+def letter_counts(text: str, without: list[tuple[int, int]]) -> np.ndarray:
+    """Pairs of adjacent letters (27 x 27, 0 for no letter), then words in lower case, with a capital and in upper case.
+
+    Code-like strings, given by their spans, tell nothing about words and are left out.
+    """
+    parts, done = [], 0
+    for lo, hi in sorted(without):
+        parts.append(text[done:max(lo, done)])
+        done = max(hi, done)
+    raw = f" {' '.join([*parts, text[done:]])}  ".encode()
+    letters = np.frombuffer(raw.translate(_LETTER), dtype=np.uint8).astype(np.int64)
+    case = np.frombuffer(raw.translate(_CASE), dtype=np.uint8)
+    first = np.flatnonzero((case[:-2] == 0) & (case[1:-1] > 0) & (case[2:] > 0)) + 1
+    shape = np.where(case[first] == 1, 0, case[first + 1])
+    return np.concatenate([np.bincount(letters[:-1] * 27 + letters[1:], minlength=729), np.bincount(shape, minlength=3)])
+
+
 def null_histogram(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """How many words and other code-like strings of each length class reach each level, over all rows."""
+    """Counts over all rows by cell: how many words and other code-like strings of each length class reach each
+    level, then the :func:`letter_counts`."""
     size = 2 * len(LENGTHS) * (LEVELS + 1)
 
     def count(texts: list[str]) -> list[list]:
-        strings = [t[lo:hi] for t in texts for lo, hi in candidates(t, base_spans(t))]
-        cells = np.zeros(size, dtype=np.int64)
+        strings, cells = [], np.zeros(size + 732, dtype=np.int64)
+        for t in texts:
+            taken = base_spans(t)
+            spans = candidates(t, taken)
+            strings += [t[lo:hi] for lo, hi in spans]
+            cells[size:] += letter_counts(t, [(lo, hi) for lo, _, hi in taken] + [s for s in spans if not WORD.fullmatch(t, *s)])
         if strings:
             word = np.array([WORD.fullmatch(s) is not None for s in strings])
             where = np.array([length_class(len(s)) for s in strings])
@@ -162,15 +194,42 @@ def null_histogram(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return counted.select(F.explode("cells").alias("c")).groupBy("c.cell").agg(F.sum("c.n").alias("n"))
 
 
+def drawn_shares(counts: np.ndarray) -> np.ndarray:
+    """Per length class and level the share of drawn strings that reach it, from the :func:`letter_counts` of a corpus.
+
+    A string follows the corpus from letter to letter and takes the case of its words.  It has the least length of its
+    class, at which words look most random.
+    """
+    rng = np.random.default_rng(11)
+    pairs = counts[:729].reshape(27, 27)[1:, 1:].astype(float)
+    single = pairs.sum(axis=0) + ENGLISH_COUNT * np.array(ENGLISH) / sum(ENGLISH)
+    single /= single.sum()
+    steps = np.cumsum(pairs + ENGLISH_COUNT * single, axis=1)
+    steps /= steps[:, -1:]
+    steps[:, -1] = 1.0
+    at = np.zeros((DRAWS, LENGTHS[-1]), dtype=np.int64)
+    at[:, 0] = rng.choice(26, DRAWS, p=single)
+    for i in range(1, LENGTHS[-1]):
+        at[:, i] = (steps[at[:, i - 1]] <= rng.random((DRAWS, 1))).sum(axis=1)
+    shapes = counts[729:] + np.array([1.0, 0.1, 0.01])
+    shape = rng.choice(3, DRAWS, p=shapes / shapes.sum())
+    chars = (at + ord("a") - 32 * ((shape == 2)[:, None] | ((shape == 1)[:, None] & (np.arange(LENGTHS[-1]) == 0)))).astype(np.uint8)
+    words = [row.tobytes().decode("ascii") for row in chars]
+    found = [np.bincount(levels([w[:n] for w in words]), minlength=LEVELS + 1) for n in LENGTHS]
+    return (np.cumsum(found, axis=1) + 1) / (DRAWS + 1)
+
+
 def thresholds(docs: DataFrame, text_col: str = "text", rate: float = RATE) -> list[int]:
     """Per length class the weakest level that holds the false-discovery rate; -1 where none does."""
-    cells = np.zeros((2, len(LENGTHS), LEVELS + 1))
-    for cell, n in null_histogram(docs, text_col).collect():     # at most 2 * 10 * 121 rows
-        cells.reshape(-1)[cell] = n
-    tested, words = np.cumsum(cells, axis=2)
-    share = (words + 1) / (words[:, -1:] + 1)
+    size = 2 * len(LENGTHS) * (LEVELS + 1)
+    cells = np.zeros(size + 732)
+    for cell, n in null_histogram(docs, text_col).collect():     # at most 2 * 10 * 121 + 732 rows
+        cells[cell] = n
+    tested, words = np.cumsum(cells[:size].reshape(2, len(LENGTHS), LEVELS + 1), axis=2)
+    share = (words + EVIDENCE * drawn_shares(cells[size:])) / (words[:, -1:] + EVIDENCE)
     expected = tested[:, -1:] * share
-    return [max([-1, *np.flatnonzero((t[:-1] > 0) & (e[:-1] <= rate * t[:-1])).tolist()]) for t, e in zip(tested, expected)]
+    last = WEAKEST + 1
+    return [max([-1, *np.flatnonzero((t[:last] > 0) & (e[:last] <= rate * t[:last])).tolist()]) for t, e in zip(tested, expected)]
 
 
 def scan(docs: DataFrame, text_col: str = "text", rate: float = RATE, limits: list[int] | None = None) -> DataFrame:

@@ -63,3 +63,15 @@ def test_redaction_of_overlaps(spark, documents):
 
 def test_no_documents(documents):
     assert S.digests(documents([])).collect() == []
+
+
+def test_long_strings_are_found_without_long_words(documents):
+    r = random.Random(4)
+    plain = ["the river ran slowly past old Stone houses while people walked home to NATO talks"] * 200
+    codes = ["".join(r.choice(S.ENCODINGS[e]) for _ in range(n)) for n in (24, 28, 40, 64, 100, 300) for e in ("base64", "base36") for _ in range(10)]
+    names = ["some-long-title-of-an-article-about-river-houses", "-" * 40, "internationalisationOfConstitutionalArrangements_v2"]
+    got = {x.doc_id: [s.kind for s in x.secrets] for x in S.scan(documents(plain + [f"key {c} end" for c in codes] + names)).collect()}
+    for n in range(6):
+        assert sum(got[200 + 20 * n + i] == ["random"] for i in range(20)) >= 15, n
+    assert not any(got[i] for i in [*range(200), *range(320, 323)])
+    assert all(limit == -1 for limit in S.thresholds(documents(plain)))
