@@ -155,13 +155,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def sample_of(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """Texts and labels of about ``size`` training rows of each class (all, if fewer), chosen by a hash of the id."""
+def sample_of(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[DataFrame, dict[int, float]]:
+    """Texts and labels of about ``size`` training rows of each class (all, if fewer), chosen by a hash of the id, and for each
+    class how many labelled rows a sampled one stands for."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     taken = rows.where(F.when(F.col("toxic") == 1, sampled(F.col("doc_id"), size, counts.get(1, 0))).otherwise(sampled(F.col("doc_id"), size, counts.get(0, 0))))
+    held = {r["toxic"]: r["count"] for r in taken.groupBy("toxic").count().collect()}
+    each = {c: counts[c] / held[c] if held.get(c) else 1.0 for c in (0, 1)}
     joined = id_text(docs).join(F.broadcast(taken), "doc_id")        # about 2 * size rows of two numbers
-    return staged(joined.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.max("text").alias("text")))
+    return staged(joined.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.max("text").alias("text"))), each
 
 
 def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, candidates: int = CANDIDATES) -> Model:
@@ -169,8 +172,9 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, candidates: int
 
     The sample bounds what reaches the driver: at most ``candidates`` stems, and for each sampled toxic document those
     among them that it holds.  Without labels the fixed words and their prior weights remain.
+    Weights are those of all labelled documents: a sampled one counts for all that it stands for.
     """
-    sample = sample_of(docs, labels, size)
+    sample, each = sample_of(docs, labels, size)
 
     def stems(cols: dict[str, list]) -> Iterator[tuple]:
         for label, text in zip(cols["toxic"], cols["text"]):
@@ -179,9 +183,9 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, candidates: int
 
     counted = (mapped(sample.select("toxic", "text"), stems, "stem string, toxic int").groupBy("stem")
                .agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")))
-    rows = (counted.where((F.col("bad") >= SUPPORT) & (F.col("good") <= IMPURITY * F.col("bad")))
+    rows = (counted.where((F.col("bad") >= SUPPORT) & (each[0] * F.col("good") <= IMPURITY * each[1] * F.col("bad")))
             .orderBy(F.desc("bad"), F.length("stem"), "stem").limit(candidates).collect())
-    precision = {r["stem"]: (r["bad"] + 0.5) / (r["bad"] + r["good"] + 1) for r in rows}
+    precision = {r["stem"]: (each[1] * r["bad"] + 0.5) / (each[1] * r["bad"] + each[0] * r["good"] + 1) for r in rows}
     names = frozenset(precision)
 
     def present(cols: dict[str, list]) -> Iterator[tuple]:
@@ -193,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, candidates: int
     model = Model({w: ("I", PRIOR["insult"]) for w in INSULTS} | {w: ("T", 1.0) for w in THREATS}, {})
     for stem in chosen:
         (model.starts if stem.endswith("-") else model.words)[stem.removesuffix("-")] = "I", precision[stem]
-    weigh(model, sample)
+    weigh(model, sample, each)
     return model
 
 
@@ -215,8 +219,8 @@ def cover(docs: list[list[str]], order: dict[str, tuple]) -> list[str]:
     return chosen
 
 
-def weigh(model: Model, sample: DataFrame) -> None:
-    """Pattern weights and the score without a match, from the sample."""
+def weigh(model: Model, sample: DataFrame, each: dict[int, float]) -> None:
+    """Pattern weights and the score without a match, from the sample, whose rows count ``each`` by class."""
     def patterns(cols: dict[str, list]) -> Iterator[tuple]:
         for label, text in zip(cols["toxic"], cols["text"]):
             for pattern in {p for p, _ in model.matches(text or "")} or {""}:
@@ -224,7 +228,7 @@ def weigh(model: Model, sample: DataFrame) -> None:
 
     seen: dict[str, Counter] = {}
     for r in mapped(sample.select("toxic", "text"), patterns, "pattern string, toxic int").groupBy("pattern", "toxic").count().collect():
-        seen.setdefault(r["pattern"], Counter())[r["toxic"]] = r["count"]
+        seen.setdefault(r["pattern"], Counter())[r["toxic"]] = each[r["toxic"]] * r["count"]
     none = seen.pop("", Counter())
     model.base = (none[1] + 0.5) / (none[0] + none[1] + 50)
     model.patterns = {p: (c[1] + PRIOR_COUNT * prior_of(p)) / (c[0] + c[1] + PRIOR_COUNT) for p, c in seen.items()}

@@ -78,3 +78,26 @@ def test_grammar_marks_clauses():
     assert names("said: never kill you") == ["reported negated threat to target"]
     assert names("zunkig und zunk") == ["insult"]
     assert names("") == names("calm") == []
+
+
+def test_a_small_sample_scores_like_all_labels(spark):
+    r = random.Random(8)
+    rows, labels = [], []
+    for i in range(6000):
+        words = [r.choice(CALM) for _ in range(12)]
+        toxic = i % 10 == 0
+        if toxic and i % 20 == 0:                                            # half of the toxic documents match nothing
+            words[r.randrange(12)] = "zunkab"
+        elif not toxic and i % 50 == 1 or toxic and i % 100 == 10:           # matched by a fixed word, mostly in clean documents
+            words[r.randrange(12)] = "hurt"
+        rows.append((i, " ".join(words) + "."))
+        labels.append((i, 0, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    whole, part = T.fit(docs, known), T.fit(docs, known, size=400)
+    assert whole.base < 0.1 and part.base == pytest.approx(whole.base, abs=0.02)
+    assert set(part.patterns) == set(whole.patterns)
+    for text in (None, "calm", "a zunkab here.", "cold hurt."):
+        scores = [m.score(m.matches(text or "")) for m in (whole, part)]
+        assert scores[1] == pytest.approx(scores[0], abs=0.15)
+        assert (scores[0] >= T.THRESHOLD) == (scores[1] >= T.THRESHOLD)
