@@ -25,6 +25,8 @@ from gainsay.shared import staged
 SAMPLE, LISTS, ROUNDS = 20_000, 2_048, 12
 #: Share of near sample rows that the probed lists must hold, the sample queries that set it, and the fewest lists.
 TARGET, TRIALS, LEAST_PROBED = 0.96, 256, 8
+#: Of the mean squared distance of rows, the share within which two are near copies.
+NEAR = 0.05
 #: Rows and queries of a group, columns of a block, fully scored rows that set the first bound, and the test's quantile.
 PART, QUERIES, BLOCK, SEED_ROWS, QUANTILE = 4_096, 256, 16, 256, 3.0
 
@@ -38,8 +40,8 @@ def usable(vector: Column) -> Column:
 def fit(vectors: DataFrame, n: int, k: int, target: float) -> tuple[np.ndarray, np.ndarray, int]:
     """Centroids, an orthogonal rotation and the lists to probe, from about ``SAMPLE`` rows chosen by a hash of the id.
 
-    As many lists are probed as hold the target share of the k nearest sample rows of sample queries.  Nearest rows of
-    the whole table are nearer, so this errs on the side of more.
+    As many lists are probed as hold the target share of the k nearest sample rows of sample queries, which are drawn at
+    random and are no copies of each other.  Nearest rows of the whole table are nearer, so this errs on the side of more.
     """
     rows = vectors.where(sampled(F.col("vec_id"), SAMPLE, n)).select("v").limit(2 * SAMPLE).toPandas()["v"]
     rows = rows if len(rows) else vectors.select("v").limit(SAMPLE).toPandas()["v"]
@@ -54,15 +56,33 @@ def fit(vectors: DataFrame, n: int, k: int, target: float) -> tuple[np.ndarray,
         size = np.bincount(near, minlength=lists)[:, None]
         centres = np.where(size > 0, total / np.maximum(size, 1), x[rng.choice(len(x), lists)])
     rotation, _ = np.linalg.qr(rng.standard_normal((x.shape[1], x.shape[1])))
-    trials = min(TRIALS, len(x))
-    products = x[:trials] @ x.T
-    products[np.arange(trials), np.arange(trials)] = -np.inf
+    asked = apart(x, rng)
+    trials = len(asked)
+    products = x[asked] @ x.T
+    products[np.arange(trials), asked] = -np.inf
     top = np.argsort(-products, axis=1, kind="stable")[:, :k]
-    order = nearest(x[:trials], centres, lists) if lists > 1 else np.zeros((trials, 1), dtype=int)
+    order = nearest(x[asked], centres, lists) if lists > 1 else np.zeros((trials, 1), dtype=int)
     needed = np.argsort(order, axis=1)[np.arange(trials)[:, None], nearest(x, centres, 1)[:, 0][top]] + 1
     return centres, rotation, max(LEAST_PROBED, int(np.quantile(needed, target, method="higher")))
 
 
+def apart(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Numbers of at most ``TRIALS`` random rows that are no copies or near copies of each other.
+
+    Rows count as near copies where their squared distance is below ``NEAR`` of its mean over all pairs.
+    """
+    least = NEAR * 2 * x.var(axis=0).sum()
+    drawn: list[int] = []
+    held = np.empty((TRIALS, x.shape[1]))
+    for i in rng.permutation(len(x)).tolist():
+        if not drawn or ((held[:len(drawn)] - x[i]) ** 2).sum(axis=1).min() > least:
+            held[len(drawn)] = x[i]
+            drawn.append(i)
+            if len(drawn) == TRIALS:
+                break
+    return np.array(drawn)
+
+
 def nearest(x: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
     """The k nearest centres of each row, nearest first."""
     distance = (centres ** 2).sum(axis=1) - 2 * x @ centres.T

@@ -37,6 +37,18 @@ def test_recall_and_scores(spark, monkeypatch, part, queries):
         assert g == sorted(g, key=lambda v: (-v[1], v[0])) and all(abs(s - x[v] @ x[q]) < 1e-9 for v, s in g)
 
 
+@pytest.mark.parametrize("spread", [0.0, 0.05])
+def test_recall_where_copies_or_a_cluster_come_first(spark, spread):
+    r = np.random.default_rng(4)
+    x = r.standard_normal((2400, 32)).astype(np.float32).astype(float)
+    x[:1800] = (x[0] + spread * x[:1800]).astype(np.float32)                # most rows, stored first, are alike
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    want = {q: w for q, w in nearest(np.arange(2400), x, 20).items() if q >= 1800}
+    got = ann.search(rows, (F.col("vec_id") % 20 == 0) & (F.col("vec_id") >= 1800), k=20).collect()
+    assert len(got) == 20 * len(want)
+    assert sum(g.score >= want[g.query_id][-1][1] - 1e-9 for g in got) >= 0.9 * len(got)
+
+
 def test_few_and_unusable_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [float("inf"), 1.0]), (7, [1.0]),
             (None, [1.0, 1.0]), (8, [0.5, 0.0]), (20, [0.0, 1.0]), (0, [1.0, 0.0])]
