@@ -9,6 +9,7 @@ an article or main element always counts as important.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -178,23 +179,27 @@ def plain(path: str) -> bool:
 def importance(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``host``, ``path``, ``pages``, ``content``, ``presentation`` and ``importance`` of every path that holds text.
 
-    A page counts once for a path, with all its texts there.  The counts per text are combined before they meet by path,
-    so a host with very many pages is no bottleneck.
+    A page counts once for a path, with all its texts there, and pages of a host that say the same outside declared furniture
+    count as one.  The counts per text are combined before they meet by path, so a host with very many pages is no bottleneck.
     """
     def measure(cols: dict[str, list]) -> Iterator[tuple]:
         for host, page in zip(cols["host"], cols["html"]):
             blocks, styles = parsed(page or "")
             texts: dict[str, list[str]] = {}
+            said = "\n".join(f"{b.path}\t{b.text}" for b in blocks if not b.furniture)
+            same = int.from_bytes(hashlib.blake2b(said.encode("utf-8", "replace"), digest_size=8).digest(), signed=True)
             for b in blocks:
                 texts.setdefault(b.path, []).append(b.text)
             for path, found in texts.items():
-                yield host, path, "\n".join(found), styles.get(path.rpartition("/")[0], "")
+                yield host, same, path, "\n".join(found), styles.get(path.rpartition("/")[0], "")
 
     rows = mapped(pages.select(host_of(pages[quoted(url_col)]).alias("host"), pages[quoted(html_col)].alias("html")).where("html IS NOT NULL"),
-                  measure, "host string, path string, content string, style string")
-    hashed = rows.select(F.coalesce("host", F.lit("")).alias("host"), "path", F.explode(F.array(
-        F.struct(F.lit("content").alias("kind"), F.xxhash64("content").alias("value")),
-        F.struct(F.lit("style").alias("kind"), F.xxhash64("style").alias("value")))).alias("v")).select("host", "path", "v.*")
+                  measure, "host string, same long, path string, content string, style string")
+    once = rows.groupBy(F.coalesce("host", F.lit("")).alias("host"), "path", "same").agg(
+        F.min(F.xxhash64("content")).alias("content"), F.min(F.xxhash64("style")).alias("style"))
+    hashed = once.select("host", "path", F.explode(F.array(
+        F.struct(F.lit("content").alias("kind"), F.col("content").alias("value")),
+        F.struct(F.lit("style").alias("kind"), F.col("style").alias("value")))).alias("v")).select("host", "path", "v.*")
     counts = hashed.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("c"))
     sums = counts.groupBy("host", "path", "kind").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
     entropy = F.when(F.col("m") > 1, F.log("m") - F.col("clogc") / F.col("m")).otherwise(0.0) / F.when(F.col("m") > 1, F.log("m")).otherwise(1.0)

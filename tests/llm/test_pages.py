@@ -34,6 +34,15 @@ def test_repeated_branches_of_a_site_go_by_entropy(spark):
     assert seen["div.top"].content == pytest.approx(0) and seen["p"].content == pytest.approx(1) and seen["p"].pages == 20
 
 
+def test_copies_of_pages_do_not_make_an_article_repeat(spark):
+    page = "<body><div class=top>Same on every page</div><div class=body><p>{a}</p></div><footer>{n}</footer></body>"
+    rows = [(i, f"http://m.example/?{i}", page.format(a="mirrored" if i >= 10 else f"text {i}", n=i)) for i in range(100)]
+    texts = {r.page_id: r.text for r in S.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert texts == {i: "mirrored" if i >= 10 else f"text {i}" for i in range(100)}
+    few = [(i, "http://f.example/", page.format(a="lone", n="")) for i in range(20)]
+    assert {r.text for r in S.extract(spark.createDataFrame(few, SCHEMA)).collect()} == {"Same on every page\nlone"}     # one page can't tell
+
+
 @pytest.mark.parametrize("page, want", [
     ("<article><p>cut off <b>here", ["cut off here"]), ("<article><p>a &lt;b&gt; &#233;&nbsp;x</p><p", ["a <b> é x"]), ("<article><p>a<!-- <p>no", ["a"]),
     ("<article><p>1 < 2 & 3</p></article>", ["1 < 2 & 3"]), ("<article><script>if(a<b){}</script><p>x</p>", ["x"]), ("", []), ("<p></p>", []),
