@@ -40,6 +40,9 @@ NAMES = ("ad", "ads", "advert", "advertisement", "adverts", "alert", "banner", "
          "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "tags", "toolbar", "widget")
 ROLES = ("alert", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "menubar", "navigation", "search")
 WITHOUT = ("has", "no", "with", "without")
+#: First parts of the names by which an article is furniture all the same, and what stays in a head.
+REMARKS = ("comment", "reply")
+HEAD = ("html", "head", "base", "basefont", "bgsound", "link", "meta")
 #: An open element that the start of another closes, unless one of the last group lies between.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = ("ul", "ol", "dl", "table", "body", "html", "article", "section", "div", "main", "aside", "nav", "footer", "header", "blockquote", "form")
@@ -57,29 +60,46 @@ class Element:
     furniture: bool
     main: bool
     children: list[str] = field(default_factory=list)
+    form: bool = False
 
 
 @dataclass
 class Block:
-    """Text of one block: its path, and whether it lies in declared furniture or in an article."""
+    """Text of one block: its path, and whether it lies in declared furniture, in an article, or in a form but no other furniture."""
 
     path: str
     text: str
     furniture: bool
     main: bool
+    form: bool = False
 
 
 def declared(tag: str, attrs: dict[str, str], in_main: bool) -> bool:
     """Whether an element says that it is page furniture."""
+    if tag in ("html", "body"):
+        return False
     if tag in FURNITURE or (tag == "header" and not in_main) or "hidden" in attrs or attrs.get("role", "").lower() in ROLES:
         return True
+    if tag == "main":
+        return False
     for name in (attrs.get("class", "") + " " + attrs.get("id", "")).lower().split():
         parts = re.split(r"[-_]+|(?<=[a-z])(?=\d)", name)
+        if tag == "article" and parts[0] not in REMARKS:
+            continue
         if not set(parts) & set(WITHOUT) and set(parts) & set(NAMES):
             return True
     return False
 
 
+def form_holds_page(blocks: list[Block]) -> bool:
+    """Whether the forms of a page hold its main text: its articles, or most of the text outside other furniture."""
+    rest = [b for b in blocks if not b.furniture]
+    inside, outside = [b for b in rest if b.form], [b for b in rest if not b.form]
+    if any(b.main for b in rest):
+        return not any(b.main for b in outside)
+    return sum(len(b.text) for b in inside) > sum(len(b.text) for b in outside)
+
+
 def parsed(page: str) -> tuple[list[Block], dict[str, str]]:
     """Blocks of text in page order, and for every path the elements below it (its presentation).
 
@@ -93,7 +113,9 @@ def parsed(page: str) -> tuple[list[Block], dict[str, str]]:
         text.clear()
         if joined:
             holder = next((e for e in reversed(stack) if e.tag not in INLINE), root)
-            blocks.append(Block(holder.path, joined, any(e.furniture for e in stack), any(e.main for e in stack)))
+            within = [e for e in stack if e.furniture]
+            form = len(within) == 1 and within[0].form
+            blocks.append(Block(holder.path, joined, bool(within) and not form, any(e.main for e in stack), form))
 
     def close(element: Element) -> None:
         if element.children:
@@ -113,9 +135,13 @@ def parsed(page: str) -> tuple[list[Block], dict[str, str]]:
 
     done = 0
     for token in _TOKEN.finditer(page):
-        text.append(page[done:token.start()])
+        between = page[done:token.start()]
         done = token.end()
         tag = (token["tag"] or "").lower()
+        # A head ends where text or an element of the body starts.
+        if stack[-1].tag == "head" and (between.strip() or tag and not token["end"] and tag not in HEAD):
+            pop_to(len(stack) - 1)
+        text.append(between)
         if not tag:
             continue
         if tag in INLINE and tag != "br":
@@ -151,11 +177,18 @@ def parsed(page: str) -> tuple[list[Block], dict[str, str]]:
         name = tag + "".join("." + c for c in sorted(set(attrs.get("class", "").lower().split())))
         stack[-1].children.append(name)
         if tag not in VOID:
-            stack.append(Element(tag, stack[-1].path + "/" + name, declared(tag, attrs, in_main), tag in MAIN or attrs.get("role", "").lower() == "main"))
+            main = tag in MAIN or attrs.get("role", "").lower() == "main"
+            form = tag == "form" and not declared("div", attrs, in_main)
+            stack.append(Element(tag, stack[-1].path + "/" + name, declared(tag, attrs, in_main), main, form=form))
+    if page[done:].strip() and stack[-1].tag == "head":
+        pop_to(len(stack) - 1)
     text.append(page[done:].removesuffix("<"))
     flush()
     pop_to(1)
     close(root)
+    if any(b.form for b in blocks) and not form_holds_page(blocks):
+        for b in blocks:
+            b.furniture = b.furniture or b.form
     return blocks, {path: ";".join(seen) for path, seen in styles.items()}
 
 
@@ -168,7 +201,7 @@ def kept(blocks: list[Block], removed: set[str]) -> list[str]:
 
     Plain elements of an article are its text, also where a site repeats them; those in named boxes count by importance.
     """
-    main = any(b.main for b in blocks)
+    main = any(b.main and not b.furniture for b in blocks)
     return [b.text for b in blocks if not b.furniture and b.main == main and (b.path not in removed or main and plain(b.path))]
 
 

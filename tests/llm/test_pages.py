@@ -53,6 +53,21 @@ def test_markup(page, want):
     assert S.kept(S.parsed(page)[0], set()) == want
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<div>body<p>text</div><ol class=comment-list><li><article class='comment-body'>me too</article></ol>", ["body", "text"]),
+    ("<div>body</div><article class='comment-body'>me too</article>", ["body"]), ("<div>body</div><aside><article>teaser</article></aside>", ["body"]),
+    ("<body><form id=aspnetForm action=/><nav>Home</nav><div><p>the text</p></div></form><footer>f</footer>", ["the text"]),
+    ("<form><input><article>the text</article></form><div>out</div>", ["the text"]), ("<div>the long text</div><form>Mail</form>", ["the long text"]),
+    ("<form class=search-form>Find things here</form><p>x", ["x"]), ("<article>x</article><form>Mail, and a long explanation</form>", ["x"]),
+    ("<html class='no-js ad'><body class='single comments-open'><p>x", ["x"]), ("<article class='post single comments-open'>x</article>", ["x"]),
+    ("<main class=search><article id=post class='category-search ad'>x</article></main>", ["x"]),
+    ("<html><head><title>t</title><meta charset=utf-8><body><p>x", ["x"]), ("<head><link rel=a><style>p{}</style><p>x<p>y", ["x", "y"]),
+    ("<head><title>t</title>bare", ["bare"]), ("<head><title>t</title>bare <a href=/>link</a>", ["bare link"]),
+])
+def test_furniture_never_swallows_the_page(page, want):
+    assert S.kept(S.parsed(page)[0], set()) == want
+
+
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 URLS = {
     "HTTP://Example.NET/en/x?q": ("example.net", "/en/x", "example.net/en/", "allow"), "http://a.example.net/EN/": ("a.example.net", "/EN/", "net/", "block"),
