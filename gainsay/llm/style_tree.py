@@ -26,6 +26,8 @@ from gainsay.shared import staged
 CONTENT, LEAST, PAGES = 0.8, 0.3, 8
 #: The largest table of paths to remove that is broadcast.
 BROADCAST_ROWS = 100_000
+#: Characters of an element's name that its path shows.
+SHOWN = 40
 
 # Roles of HTML elements and of the parts of class names and ids.
 RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "object", "xmp")
@@ -55,23 +57,30 @@ _SPACE = re.compile(r"\s+")
 
 @dataclass
 class Element:
+    """An open element.  Paths are digests of the names from the root on, with the last name to read; what holds of all elements
+    around is carried along, so nothing walks up the tree."""
+
     tag: str
     path: str
-    furniture: bool
-    main: bool
+    furniture: int = 0      # elements from the root on that are declared furniture, and those of them that are plain forms
+    forms: int = 0
+    main: bool = False
+    boxed: bool = False     # a named element lies between the nearest article or main and here
     children: list[str] = field(default_factory=list)
-    form: bool = False
 
 
 @dataclass
 class Block:
-    """Text of one block: its path, and whether it lies in declared furniture, in an article, or in a form but no other furniture."""
+    """Text of one block: its path and its parent's, and whether it lies in declared furniture, in an article, in a form but no other
+    furniture, or in a named box."""
 
     path: str
     text: str
     furniture: bool
     main: bool
     form: bool = False
+    boxed: bool = False
+    parent: str = ""
 
 
 def declared(tag: str, attrs: dict[str, str], in_main: bool) -> bool:
@@ -105,33 +114,41 @@ def parsed(page: str) -> tuple[list[Block], dict[str, str]]:
 
     Unclosed and cut-off elements are taken as far as they go; a cut-off tag, comment, script or style is dropped.
     """
-    root = Element("", "", False, False)
+    root = Element("", "")
     stack, blocks, text, styles = [root], [], [], {}
+    at_tag: dict[str, list[int]] = {}                       # places in the stack of the open elements of a tag,
+    at_scope: list[int] = []                                # of those that end the reach of a closing rule,
+    at_block: list[int] = []                                # and of those that are not inline
 
     def flush() -> None:
         joined = _SPACE.sub(" ", html.unescape("".join(text))).strip()
         text.clear()
         if joined:
-            holder = next((e for e in reversed(stack) if e.tag not in INLINE), root)
-            within = [e for e in stack if e.furniture]
-            form = len(within) == 1 and within[0].form
-            blocks.append(Block(holder.path, joined, bool(within) and not form, any(e.main for e in stack), form))
-
-    def close(element: Element) -> None:
-        if element.children:
-            styles.setdefault(element.path, []).append(",".join(element.children))
+            i = at_block[-1] if at_block else 0
+            top = stack[-1]
+            form = top.furniture == 1 == top.forms
+            blocks.append(Block(stack[i].path, joined, top.furniture > 0 and not form, top.main, form, stack[i].boxed, stack[i - 1].path if i else ""))
+
+    def push(tag: str, name: str, furniture: bool, main: bool, form: bool = False) -> None:
+        above = stack[-1]
+        path = hashlib.blake2b(f"{above.path}/{name}".encode("utf-8", "replace"), digest_size=8).hexdigest() + "/" + name[:SHOWN]
+        stack.append(Element(tag, path, above.furniture + furniture, above.forms + (furniture and form), above.main or main,
+                             not tag.startswith(MAIN) and (above.boxed or "." in name)))
+        for places in (at_tag.setdefault(tag, []), *([at_scope] if tag in SCOPES else []), *([at_block] if tag not in INLINE else [])):
+            places.append(len(stack) - 1)
 
     def pop_to(depth: int) -> None:
         while len(stack) > depth:
-            close(stack.pop())
+            element = stack.pop()
+            if element.children:
+                styles.setdefault(element.path, []).append(",".join(element.children))
+            for places in (at_tag[element.tag], at_scope, at_block):
+                if places and places[-1] == len(stack):
+                    places.pop()
 
-    def last(tags: tuple[str, ...], within: tuple[str, ...]) -> int | None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                return i
-            if stack[i].tag in within:
-                return None
-        return None
+    def last(tags: tuple[str, ...], scoped: bool = True) -> int | None:
+        at = max((at_tag[t][-1] for t in tags if at_tag.get(t)), default=None)
+        return None if at is None or scoped and at_scope and at_scope[-1] > at else at
 
     done = 0
     for token in _TOKEN.finditer(page):
@@ -146,46 +163,47 @@ def parsed(page: str) -> tuple[list[Block], dict[str, str]]:
             continue
         if tag in INLINE and tag != "br":
             if token["end"]:
-                at = last((tag,), SCOPES)
-                if at is not None and all(e.tag in INLINE for e in stack[at:]):
+                at = last((tag,))
+                if at is not None and (not at_block or at_block[-1] < at):
                     flush()
                     pop_to(at)
                 continue
             # Only inline elements named as furniture matter, and those that their end tag could be taken for.
             named = declared(tag, attributes(token["attrs"]), True)
-            if named or (tag not in VOID and any(e.tag == tag for e in stack)):
+            if named or (tag not in VOID and at_tag.get(tag)):
                 flush()
-                stack.append(Element(tag, stack[-1].path + "/" + tag, named, False))
+                push(tag, tag, named, False)
             continue
         if tag == "br":
             text.append(" ")
             continue
         flush()
         if token["end"]:
-            at = last((tag,), ())
+            at = last((tag,), False)
             if at is not None:
                 pop_to(at)
             continue
         if tag == "p" or tag in CLOSES:
-            at = last(("p",) if tag == "p" else CLOSES[tag], SCOPES)
+            at = last(("p",) if tag == "p" else CLOSES[tag])
         else:
-            at = last(("p",), SCOPES)
+            at = last(("p",))
         if at is not None:
             pop_to(at)
         attrs = attributes(token["attrs"])
-        in_main = any(e.main for e in stack)
+        in_main = stack[-1].main
         name = tag + "".join("." + c for c in sorted(set(attrs.get("class", "").lower().split())))
         stack[-1].children.append(name)
         if tag not in VOID:
             main = tag in MAIN or attrs.get("role", "").lower() == "main"
             form = tag == "form" and not declared("div", attrs, in_main)
-            stack.append(Element(tag, stack[-1].path + "/" + name, declared(tag, attrs, in_main), main, form=form))
+            push(tag, name, declared(tag, attrs, in_main), main, form)
     if page[done:].strip() and stack[-1].tag == "head":
         pop_to(len(stack) - 1)
     text.append(page[done:].removesuffix("<"))
     flush()
     pop_to(1)
-    close(root)
+    if root.children:
+        styles.setdefault(root.path, []).append(",".join(root.children))
     if any(b.form for b in blocks) and not form_holds_page(blocks):
         for b in blocks:
             b.furniture = b.furniture or b.form
@@ -202,11 +220,7 @@ def kept(blocks: list[Block], removed: set[str]) -> list[str]:
     Plain elements of an article are its text, also where a site repeats them; those in named boxes count by importance.
     """
     main = any(b.main and not b.furniture for b in blocks)
-    return [b.text for b in blocks if not b.furniture and b.main == main and (b.path not in removed or main and plain(b.path))]
-
-
-def plain(path: str) -> bool:
-    return "." not in re.split(r"/(?:article|main)[^/]*", path)[-1]
+    return [b.text for b in blocks if not b.furniture and b.main == main and (b.path not in removed or main and not b.boxed)]
 
 
 def importance(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -223,8 +237,9 @@ def importance(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
             same = int.from_bytes(hashlib.blake2b(said.encode("utf-8", "replace"), digest_size=8).digest(), signed=True)
             for b in blocks:
                 texts.setdefault(b.path, []).append(b.text)
+            parents = {b.path: b.parent for b in blocks}
             for path, found in texts.items():
-                yield host, same, path, "\n".join(found), styles.get(path.rpartition("/")[0], "")
+                yield host, same, path, "\n".join(found), styles.get(parents[path], "")
 
     rows = mapped(pages.select(host_of(pages[quoted(url_col)]).alias("host"), pages[quoted(html_col)].alias("html")).where("html IS NOT NULL"),
                   measure, "host string, same long, path string, content string, style string")
@@ -243,7 +258,7 @@ def importance(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``page_id``, ``url`` and ``text`` (blocks in page order, a newline between) of every row of ``pages``.
+    """``page_id``, ``url`` and ``text`` (blocks in page order, two newlines between) of every row of ``pages``.
 
     A null or empty page, and one without important blocks, has an empty text.  Pages whose URL names no host share one
     tree.  Repeated rows and ids give a row each; other columns are ignored.
@@ -258,7 +273,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def run(cols: dict[str, list]) -> Iterator[tuple]:
         for page_id, url, page, paths in zip(cols["page_id"], cols["url"], cols["html"], cols["paths"]):
-            yield page_id, url, "\n".join(kept(parsed(page or "")[0], set(paths or ())))
+            yield page_id, url, "\n\n".join(kept(parsed(page or "")[0], set(paths or ())))
 
     return mapped(rows.join(removed, "host", "left").select("page_id", "url", "html", "paths"), run,
                   f"page_id {pages.select(pages[quoted(id_col)]).schema[0].dataType.simpleString()}, url string, text string")

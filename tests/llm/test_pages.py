@@ -1,3 +1,6 @@
+import math
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,7 +20,7 @@ def test_article_without_furniture(spark):
     got = S.extract(pages).collect()
     assert len(got) == len(rows)
     texts = {r.page_id: r.text for r in got}
-    assert all(texts[i] == f"A & B\none two three\nfour\nx\ny\n{i}" for i in range(12))
+    assert all(texts[i] == f"A & B\n\none two three\n\nfour\n\nx\n\ny\n\n{i}" for i in range(12))
     assert (texts[12], texts[13], texts[14]) == ("", "", "plain text")
     assert S.extract(pages.limit(0)).collect() == []
 
@@ -28,8 +31,8 @@ def test_repeated_branches_of_a_site_go_by_entropy(spark):
     rows += [(100, "http://other.example/", page.format(a="lone", b="page"))]
     pages = spark.createDataFrame(rows, SCHEMA)
     texts = {r.page_id: r.text for r in S.extract(pages).collect()}
-    assert all(texts[i] == f"text {i}\nmore {i * i}" for i in range(20))
-    assert texts[100] == "Same on every page\nlone\npage\nAlso the same"        # one page can't tell
+    assert all(texts[i] == f"text {i}\n\nmore {i * i}" for i in range(20))
+    assert texts[100] == "Same on every page\n\nlone\n\npage\n\nAlso the same"        # one page can't tell
     seen = {r.path.rpartition("/")[2]: r for r in S.importance(pages).where("host = 's.example'").collect()}
     assert seen["div.top"].content == pytest.approx(0) and seen["p"].content == pytest.approx(1) and seen["p"].pages == 20
 
@@ -40,7 +43,7 @@ def test_copies_of_pages_do_not_make_an_article_repeat(spark):
     texts = {r.page_id: r.text for r in S.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert texts == {i: "mirrored" if i >= 10 else f"text {i}" for i in range(100)}
     few = [(i, "http://f.example/", page.format(a="lone", n="")) for i in range(20)]
-    assert {r.text for r in S.extract(spark.createDataFrame(few, SCHEMA)).collect()} == {"Same on every page\nlone"}     # one page can't tell
+    assert {r.text for r in S.extract(spark.createDataFrame(few, SCHEMA)).collect()} == {"Same on every page\n\nlone"}     # one page can't tell
 
 
 @pytest.mark.parametrize("page, want", [
@@ -53,6 +56,34 @@ def test_markup(page, want):
     assert S.kept(S.parsed(page)[0], set()) == want
 
 
+@pytest.mark.parametrize("page", ["<div>" * 200_000 + "deep", "<article><x>" + "<y><li>t</li>" * 60_000, "<span>" * 100_000 + "</b>" * 100_000 + "deep"])
+def test_deep_pages_take_linear_time(page):
+    began = time.process_time()
+    assert S.kept(S.parsed(page)[0], set())[-1] in ("deep", "t")
+    assert time.process_time() - began < 8         # a square of the depth would take minutes
+
+
+def test_importance_by_brute_force(spark):
+    """Entropies of a small site, counted anew from its distinct pages."""
+    site = [(f"<body><div class=a>{i % 3}</div><div class=b><p>{i}</p>{'<p>x</p>' * (i % 2)}</div><div class=c>same</div></body>") for i in range(9)]
+    rows = [(i, "http://b.example/", p) for i, p in enumerate(site + site[:4])]
+
+    def entropy(values):
+        if len(values) < 2:
+            return 0.0
+        counts = [values.count(v) for v in set(values)]
+        return (math.log(len(values)) - sum(c * math.log(c) for c in counts) / len(values)) / math.log(len(values))
+
+    got = {r.path.rpartition("/")[2]: r for r in S.importance(spark.createDataFrame(rows, SCHEMA)).collect()}
+    below = ["div.a,div.b,div.c"] * 9
+    want = {"div.a": ([str(i % 3) for i in range(9)], below), "div.c": (["same"] * 9, below),
+            "p": ([f"{i}" + "\nx" * (i % 2) for i in range(9)], ["p" + ",p" * (i % 2) for i in range(9)])}
+    assert set(got) == set(want)
+    for name, (texts, styles) in want.items():
+        assert got[name].pages == 9 and got[name].content == pytest.approx(entropy(texts)) and got[name].presentation == pytest.approx(entropy(styles))
+        assert got[name].importance == pytest.approx(0.8 * entropy(texts) + 0.2 * entropy(styles))
+
+
 @pytest.mark.parametrize("page, want", [
     ("<div>body<p>text</div><ol class=comment-list><li><article class='comment-body'>me too</article></ol>", ["body", "text"]),
     ("<div>body</div><article class='comment-body'>me too</article>", ["body"]), ("<div>body</div><aside><article>teaser</article></aside>", ["body"]),
