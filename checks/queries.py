@@ -311,9 +311,28 @@ def discover_table_customer_nation(spark, sf):
     return D.discover_table(spark, name, threshold=1e-4, order_by=["c_custkey"])
 
 
-@register("discover_row_cap_orders", Q.discover_sql("(SELECT * FROM orders ORDER BY o_orderkey LIMIT 1000)", Q.CLASSES["orders"], "o_orderkey", 1e-2, 4))
-def discover_row_cap_orders(spark, sf):
-    return D.discover(load(spark, sf, "orders"), 1e-2, num_lines=1000, order_by=["o_orderkey"], max_size=4).selectExpr(*_DISCOVERED)
+# The searches end by themselves before the depth of the SQL statements.
+@register("discover_row_cap_customer_nation", Q.discover_sql(f"(SELECT * FROM {CUSTOMER_NATION_SQL} ORDER BY c_custkey LIMIT 500)", CUSTOMER_NATION,
+                                                              "c_custkey", 1e-4, 5))
+def discover_row_cap_customer_nation(spark, sf):
+    return D.discover(customer_nation(spark, sf), 1e-4, num_lines=500, order_by=["c_custkey"]).selectExpr(*_DISCOVERED)
+
+
+# The rows of a single file, numbered by their places in it: DuckDB numbers them in that order where no order is asked for.
+@register("discover_file_order_conversations", Q.discover_sql("(SELECT *, row_number() OVER () AS place FROM conversations)", Q.CLASSES["conversations"], "place", 1e-4, 4))
+def discover_file_order_conversations(spark, sf):
+    return D.discover(load(spark, sf, "conversations"), 1e-4).selectExpr(*_DISCOVERED)
+
+
+@register("row_numbers_lineitem", "SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER () - 1 AS rid FROM lineitem")
+def row_numbers_lineitem(spark, sf):
+    return R.with_row_id(load(spark, sf, "lineitem")).select("l_orderkey", "l_linenumber", "l_partkey", "rid")
+
+
+@register("num_lines_orders", "SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS rid FROM orders QUALIFY rid < 700")
+def num_lines_orders(spark, sf):
+    rows = R.index_rows(load(spark, sf, "orders"), ["o_totalprice", "o_orderkey"], num_lines=700)
+    return rows.df.selectExpr("c0 AS o_orderkey", "c3 AS o_totalprice", "rid")
 
 
 @register("discover_events_nan", Q.discover_sql(EVENTS_SQL, EVENT_COLUMNS, "event_id", 1e-4, 5))
@@ -396,7 +415,8 @@ def _scores_sql() -> str:
                 f"a::DOUBLE / (1 + from_a) AS mean FROM ({pairs})")
     cols = ", ".join(f"({k}, '{n}')" for k, (n, _) in enumerate(CUSTOMER_NATION))
     select = (f"SELECT CAST(c.id AS INTEGER) AS column_id, 2 AS target_id, c.name AS col, 'c_nationkey' AS target, "
-              f"round(greatest(coalesce(max({Q._distance('lm', 'ls')}), 0), 0), 5) AS score "
+              f"round(greatest(coalesce(max({Q._distance('lm', 'ls')}), 0), 0), 5) AS score, "
+              f"printf('%d 2 %.3f', c.id, greatest(coalesce(max({Q._distance('lm', 'ls')}), 0), 0)) AS line "
               f"FROM (VALUES {cols}) c(id, name) LEFT JOIN ({measured}) q ON q.f = c.id GROUP BY c.id, c.name")
     return (f"WITH {Q.sample_sql(CUSTOMER_NATION_SQL, CUSTOMER_NATION, 'c_custkey', 1e-4)}, {Q.anchored_cte(CUSTOMER_NATION)} {select}")
 
@@ -404,7 +424,9 @@ def _scores_sql() -> str:
 @register("dependency_scores_customer_nation", _scores_sql())
 def dependency_scores_customer_nation(spark, sf):
     return D.dependency_scores(customer_nation(spark, sf), "c_nationkey", 1e-4, order_by=["c_custkey"]).selectExpr(
-        "column_id", "target_id", "col", "target", "round(score, 5) AS score")
+        "column_id", "target_id", "col", "target", "round(score, 5) AS score",
+        # Read back to three of its six decimals: beyond them the two engines' floating-point sums differ.
+        "concat(substring_index(line, ' ', 2), ' ', format_string('%.3f', CAST(substring_index(line, ' ', -1) AS DOUBLE))) AS line")
 
 
 # ---- exact verification ---------------------------------------------------------------------
@@ -463,6 +485,8 @@ _COUNTED = {
     "violation_count_two_unequal": ("part", [("p_brand", "=="), ("p_type", "!="), ("p_size", "!=")], "p_partkey"),
     "violation_count_order": ("customer", [("c_nationkey", "=="), ("c_acctbal", "<")], "c_custkey"),
     "violation_count_weak_order": ("part", [("p_brand", "=="), ("p_type", "!="), ("p_size", "<=")], "p_partkey"),
+    "violation_count_two_orders": ("lineitem", [("l_suppkey", "=="), ("l_quantity", "<"), ("l_extendedprice", ">")], "rowid"),
+    "violation_count_two_weak_orders": ("orders", [("o_custkey", "=="), ("o_orderpriority", "!="), ("o_orderkey", "<="), ("o_totalprice", "<=")], "o_orderkey"),
     "violation_count_key": ("supplier", [("s_nationkey", "==")], "s_suppkey"),
 }
 
@@ -477,7 +501,9 @@ def _count_query(table, dc):
 
 
 for _name, (_t, _dc, _id) in _COUNTED.items():
-    register(_name, f"SELECT count(*) AS violations FROM {_t} x JOIN {_t} y ON x.{_id} <> y.{_id} AND {_pair_condition(_dc)}")(_count_query(_t, _dc))
+    # Where an ordering is strict a row is no partner of itself.
+    _other = "true" if _id == "rowid" else f"x.{_id} <> y.{_id}"
+    register(_name, f"SELECT count(*) AS violations FROM {_t} x JOIN {_t} y ON {_other} AND {_pair_condition(_dc)}")(_count_query(_t, _dc))
 
 
 _ROWS = {
@@ -491,12 +517,19 @@ _ROWS = {
                                    "p_partkey, p_brand, p_size, p_retailprice"),
     "violating_rows_unequal_order": ("orders", [("o_custkey", "=="), ("o_orderpriority", "!="), ("o_totalprice", ">")], "o_orderkey",
                                      "o_orderkey, o_custkey, o_orderpriority, o_totalprice"),
+    "violating_rows_unequal_two_orders": ("orders", [("o_custkey", "=="), ("o_orderpriority", "!="), ("o_totalprice", ">"), ("o_orderkey", "<=")], "o_orderkey",
+                                          "o_orderkey, o_custkey, o_orderpriority, o_totalprice"),
+    "violating_rows_two_unequal_order": ("orders", [("o_custkey", "=="), ("o_orderpriority", "!="), ("o_orderstatus", "!="), ("o_totalprice", "<")], "o_orderkey",
+                                         "o_orderkey, o_custkey, o_orderpriority, o_orderstatus, o_totalprice"),
+    "violating_rows_four_orders": ("lineitem", [("l_suppkey", "=="), ("l_quantity", "<="), ("l_extendedprice", ">="), ("l_discount", "<"), ("l_tax", ">")], "rowid",
+                                   "l_orderkey, l_linenumber, l_suppkey, l_quantity, l_discount"),
 }
 
 
 def _rows_sql(table, dc, key, cols):
-    return (f"SELECT {cols} FROM {table} t WHERE EXISTS (SELECT 1 FROM {table} y WHERE y.{key} <> t.{key} AND "
-            f"{_pair_condition(dc).replace('x.', 't.')}) OR EXISTS (SELECT 1 FROM {table} x WHERE x.{key} <> t.{key} AND "
+    y, x = ("true", "true") if key == "rowid" else (f"y.{key} <> t.{key}", f"x.{key} <> t.{key}")      # a strict ordering rules a row itself out
+    return (f"SELECT {cols} FROM {table} t WHERE EXISTS (SELECT 1 FROM {table} y WHERE {y} AND "
+            f"{_pair_condition(dc).replace('x.', 't.')}) OR EXISTS (SELECT 1 FROM {table} x WHERE {x} AND "
             f"{_pair_condition(dc).replace('y.', 't.')})")
 
 
@@ -508,6 +541,24 @@ for _name, (_t, _dc, _id, _cols) in _ROWS.items():
     register(_name, _rows_sql(_t, _dc, _id, _cols))(_rows_query(_t, _dc, _cols))
 
 
+_THREE = [("l_suppkey", "=="), ("l_quantity", "<"), ("l_extendedprice", ">"), ("p_retailprice", "<=")]
+_JOINED = "(SELECT * FROM lineitem JOIN part ON l_partkey = p_partkey)"
+_THREE_COLS = "l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, p_retailprice"
+
+
+@register("violating_rows_three_orders", f"WITH j AS {_JOINED} SELECT {_THREE_COLS} FROM j t WHERE EXISTS (SELECT 1 FROM j y WHERE {_pair_condition(_THREE).replace('x.', 't.')}) "
+          f"OR EXISTS (SELECT 1 FROM j x WHERE {_pair_condition(_THREE).replace('y.', 't.')})")
+def violating_rows_three_orders(spark, sf):
+    return verify.violating_rows(lineitem_part(spark, sf), _THREE).select(*_THREE_COLS.split(", "))
+
+
+@register("violating_rows_real_unequal_order", f"""
+    WITH e AS (SELECT event_id, coalesce(user_id, 0) AS k, coalesce(value, 'nan'::DOUBLE) AS v FROM {EVENTS_SQL})
+    SELECT t.event_id FROM e t WHERE EXISTS (SELECT 1 FROM e y WHERE y.k = t.k AND y.event_id <> t.event_id AND (y.v <> t.v OR isnan(y.v)))""")
+def violating_rows_real_unequal_order(spark, sf):
+    return verify.violating_rows(marked_events(spark, sf), [("user_id", "=="), ("value", "!="), ("event_id", "<")]).select("event_id")
+
+
 @register("violation_witnesses_part", """
     WITH g AS (SELECT p_brand, min(p_type) AS lo, max(p_type) AS hi FROM part GROUP BY 1),
          w AS (SELECT p_brand, p_type, min(p_partkey) AS first_key, max(p_partkey) AS last_key FROM part GROUP BY 1, 2)
@@ -622,18 +673,28 @@ def part_log(spark, sf) -> DataFrame:
 
 _PARTS_LIST = [f"{_COLS} AS c1", f"{_OP1} AS o1", f"{_OTHER} AS c2", f"{_OP2} AS o2"]
 
-_PARSED_SQL = (f"(SELECT position, section, denial_constraint, list_filter(list_transform(string_split(regexp_extract(denial_constraint, "
-               r"'!\(\s*(.*?)\s*\)', 1), '&'), lambda p: [regexp_extract(p, '([a-zA-Z0-9_]+)\s*(==|!=|>=|<=|>|<)\s*([a-zA-Z0-9_]+)', 1), "
-               r"regexp_extract(p, '([a-zA-Z0-9_]+)\s*(==|!=|>=|<=|>|<)\s*([a-zA-Z0-9_]+)', 2), "
-               r"regexp_extract(p, '([a-zA-Z0-9_]+)\s*(==|!=|>=|<=|>|<)\s*([a-zA-Z0-9_]+)', 3)]), lambda t: t[2] <> '') AS ps "
-               f"FROM {_LOG_SQL})")
-_LOOKUPS = "['rt_id|rt_role', 'it_id|it_info', 'kt_id|kt_kind', 'ct_id|ct_kind', 'lt_id|lt_link', 'cc_subject_kind|cct_sub_id', 'cc_status_kind|cct_stat_id']"
+# The pattern of a comparison, the pairs of columns that name each other, key names, orderings and class names.
+_COMPARISON = r"([a-zA-Z0-9_]+)\s*(==|!=|>=|<=|>|<)\s*([a-zA-Z0-9_]+)"
+_BODY = r"!\(\s*(.*?)\s*\)"
+_LOOKUP_PAIRS = [("kt_id", "kt_kind"), ("rt_id", "rt_role"), ("it_id", "it_info"), ("ct_id", "ct_kind"), ("lt_id", "lt_link"),
+                 ("cct_sub_id", "cc_subject_kind"), ("cct_stat_id", "cc_status_kind")]
+_KEY_NAME, _ORDERINGS = "^(id|.*_id)$", ["<", "<=", ">", ">="]
+_EMPTY, _SINGLE, _LOOKUP = "Empty/Invalid", "Single-column Triviality", "Lookup Name Mapping"
+_SPURIOUS, _USEFUL = "Spurious Order Dependency (Sequential sorting artifact)", "Potentially Useful"
+
+
+def _listed(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+_PARSED_SQL = (f"(SELECT position, section, denial_constraint, list_filter(list_transform(string_split(regexp_extract(denial_constraint, '{_BODY}', 1), '&'), "
+               f"lambda p: [regexp_extract(p, '{_COMPARISON}', 1), regexp_extract(p, '{_COMPARISON}', 2), regexp_extract(p, '{_COMPARISON}', 3)]), "
+               f"lambda t: t[2] <> '') AS ps FROM {_LOG_SQL})")
+_NAMED = " OR ".join(f"(list_contains(attrs, '{a}') AND list_contains(attrs, '{b}'))" for a, b in _LOOKUP_PAIRS)
 _TRIAGED_SQL = (
-    "(SELECT position, section, denial_constraint, ps, CASE WHEN len(ps) = 0 THEN 'Empty/Invalid' WHEN len(attrs) <= 1 THEN 'Single-column Triviality' "
-    f"WHEN len(attrs) = 2 AND list_contains({_LOOKUPS}, array_to_string(attrs, '|')) THEN 'Lookup Name Mapping' "
-    "WHEN len(list_filter(ps, lambda t: t[2] NOT IN ('<', '<=', '>', '>='))) = 0 "
-    "AND len(list_filter(attrs, lambda c: regexp_matches(c, '^(id|.*_id)$'))) > 0 "
-    "THEN 'Spurious Order Dependency (Sequential sorting artifact)' ELSE 'Potentially Useful' END AS category "
+    f"(SELECT position, section, denial_constraint, ps, CASE WHEN len(ps) = 0 THEN '{_EMPTY}' WHEN len(attrs) <= 1 THEN '{_SINGLE}' "
+    f"WHEN len(attrs) = 2 AND ({_NAMED}) THEN '{_LOOKUP}' WHEN len(list_filter(ps, lambda t: NOT list_contains({_listed(_ORDERINGS)}, t[2]))) = 0 "
+    f"AND len(list_filter(attrs, lambda c: regexp_matches(c, '{_KEY_NAME}'))) > 0 THEN '{_SPURIOUS}' ELSE '{_USEFUL}' END AS category "
     f"FROM (SELECT *, list_sort(list_distinct(flatten(list_transform(ps, lambda t: [t[1], t[3]])))) AS attrs FROM {_PARSED_SQL}))")
 
 
@@ -644,18 +705,18 @@ def parse_dcs(spark, sf):
         "array_join(transform(parsed, p -> concat(p.left, p.op, p.right)), ';') AS parsed")
 
 
-@register("triage_part_log", f"SELECT position, section, denial_constraint, category, category <> 'Potentially Useful' AS useless FROM {_TRIAGED_SQL}")
+@register("triage_part_log", f"SELECT position, section, denial_constraint, category, category <> '{_USEFUL}' AS useless FROM {_TRIAGED_SQL}")
 def triage_part_log(spark, sf):
     return triage.triage(part_log(spark, sf)).drop("parsed")
 
 
-@register("triage_summary", f"SELECT section, count(*) AS total, count(*) FILTER (WHERE category = 'Potentially Useful') AS useful, "
-                            f"count(*) FILTER (WHERE category <> 'Potentially Useful') AS useless FROM {_TRIAGED_SQL} GROUP BY ROLLUP (section)")
+@register("triage_summary", f"SELECT section, count(*) AS total, count(*) FILTER (WHERE category = '{_USEFUL}') AS useful, "
+                            f"count(*) FILTER (WHERE category <> '{_USEFUL}') AS useless FROM {_TRIAGED_SQL} GROUP BY ROLLUP (section)")
 def triage_summary(spark, sf):
     return triage.summary(triage.triage(part_log(spark, sf)))
 
 
-@register("triage_categories", f"SELECT section, category, count(*) AS n FROM {_TRIAGED_SQL} WHERE category <> 'Potentially Useful' GROUP BY 1, 2")
+@register("triage_categories", f"SELECT section, category, count(*) AS n FROM {_TRIAGED_SQL} WHERE category <> '{_USEFUL}' GROUP BY 1, 2")
 def triage_categories(spark, sf):
     return triage.category_counts(triage.triage(part_log(spark, sf)))
 
@@ -663,7 +724,7 @@ def triage_categories(spark, sf):
 @register("triage_examples", f"""
     SELECT section, category, CAST(place AS INTEGER) AS place, denial_constraint, greatest(n - 5, 0) AS more FROM (SELECT *,
         row_number() OVER (PARTITION BY section, category ORDER BY position) AS place, count(*) OVER (PARTITION BY section, category) AS n
-        FROM {_TRIAGED_SQL} WHERE category <> 'Potentially Useful') WHERE place <= 5""")
+        FROM {_TRIAGED_SQL} WHERE category <> '{_USEFUL}') WHERE place <= 5""")
 def triage_examples(spark, sf):
     return triage.examples(triage.triage(part_log(spark, sf)))
 

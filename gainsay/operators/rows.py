@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -11,10 +12,12 @@ from pyspark.sql import types as T
 
 from gainsay.operators.schema_model import (RAW_STRING_BYTES, REAL, STRING, ColumnInfo, Predicate, column_infos,
                                             encoded_sql, predicates_of, quoted, sql_name)
-from gainsay.shared import has_exchange, local_table, staged
+from gainsay.shared import local_table, staged
 
 _POSITION_MASK = (1 << 33) - 1
 _PROBE_ROWS = 64
+#: The largest table of files and their offsets that is broadcast.
+LOOKUP_BYTES = 64 << 20
 
 
 def value_name(col_id: int) -> str:
@@ -60,36 +63,46 @@ def with_row_id(df: DataFrame, order_by: Sequence[str] | None = None, name: str
 def numbered(df: DataFrame, order_by: Sequence[str] | None = None, name: str = "rid") -> tuple[DataFrame, int]:
     """``df`` plus a dense row number, and the number of rows.
 
-    Without ``order_by`` rows are numbered in scan order: positions inside the partitions plus the
-    partitions' offsets, so nothing is shuffled; a plan that moves rows is staged first to keep its
-    positions fixed.  With ``order_by`` rows are range-partitioned and sorted by those columns; numbers,
-    times and a hash of the row break ties, which also splits a frequent key over partitions.
+    Without ``order_by`` rows are numbered by their files, in order of their paths, and their places in these: both are properties of
+    what is stored, so nothing is shuffled and numbers stay the same however a later job deals the files out to tasks.  What is
+    more than a scan of Parquet files is stored first.  With ``order_by`` rows are range-partitioned and sorted by those columns and
+    stored with their positions; numbers, times and a hash of the row break ties, which also splits a frequent key over partitions.
     """
     spark = df.sparkSession
     part, pos, cnt, before = "__part", "__pos", "__cnt", "__before"
-    place = [F.spark_partition_id().alias(part),
-             F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION_MASK)).alias(pos)]
     if order_by:
         keys = [quoted(c) for c in order_by]
         ties = _ties(df, order_by)
         ordered = df.repartitionByRange(*keys, *ties).sortWithinPartitions(*keys, *ties)
-        placed = staged(ordered.select("*", *place))
+        placed = staged(ordered.select("*", F.spark_partition_id().cast("string").alias(part),
+                                       F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION_MASK)).alias(pos)))
+        rank = int
     else:
-        base = staged(df) if has_exchange(df) else df
-        placed = base.select("*", *place)
-    counts = sorted(placed.groupBy(part).agg(F.count(F.lit(1)).alias(cnt)).collect())
+        base = df if plain_scan(df) else staged(df)
+        where = base.metadataColumn("_metadata")
+        placed = base.select("*", where["file_path"].alias(part), where["row_index"].alias(pos))
+        rank = str
+    counts = sorted((rank(p), c) for p, c in placed.groupBy(part).agg(F.count(F.lit(1)).alias(cnt)).collect())
     offsets, total = [], 0
     for p, c in counts:
-        offsets.append((p, total))
+        offsets.append((str(p), total))
         total += c
     names = [sql_name(f.name) for f in df.schema.fields]
     if len(offsets) == 1:
         return placed.selectExpr(*names, f"{pos} AS {name}"), total
-    # One row per partition of the scan, so this side is small at any data size.
-    lookup = F.broadcast(local_table(spark, offsets, f"{part} int, {before} long"))
+    # One row per file or stored partition.
+    lookup = local_table(spark, offsets, f"{part} string, {before} long")
+    if sum(len(p) + 40 for p, _ in offsets) <= LOOKUP_BYTES:
+        lookup = F.broadcast(lookup)
     return placed.join(lookup, part).selectExpr(*names, f"{before} + {pos} AS {name}"), total
 
 
+def plain_scan(df: DataFrame) -> bool:
+    """True when every row of the plan is a row of a Parquet file and every row of the files is there."""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    return all(re.match(r"[\s:+-]*(Project |Relation .*\bparquet$)", line) for line in lines)
+
+
 def _ties(df: DataFrame, order_by: Sequence[str]) -> list[Column]:
     """What orders rows of equal keys: numbers and times, then a hash of the row, so no text becomes a sort key."""
     rest = [f for f in df.schema.fields if f.name not in order_by]

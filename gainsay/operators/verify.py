@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gainsay.operators import dominance, inversions
 from gainsay.operators.schema_model import (REAL, STRING, ColumnInfo, column_infos, encoded_value,
                                             predicate_space, quoted)
 from gainsay.shared import staged
@@ -94,17 +95,28 @@ def violation_count(df: DataFrame, dc: Sequence[tuple[str, str]], reading: Readi
     """One row ``violations``: ordered pairs of distinct rows that satisfy every predicate.
 
     Pairs equal on E and different on all of D number the alternating sum over the subsets T of D
-    of the pairs equal on E and T, so groupings suffice.  One ordering is allowed on top: of a pair
-    with different values exactly one direction satisfies it.
+    of the pairs equal on E and T, so groupings suffice.  Of a pair with different values exactly one direction
+    satisfies an ordering; under two orderings the pairs in which both columns rise together are counted as well.
     """
     same, differ, orders = _split(dc)
-    if len(orders) > 1:
-        raise ValueError("counting pairs under two orderings is not supported; use violating_rows or holds")
+    if len(orders) > 2:
+        raise ValueError("counting pairs under three orderings is not supported; use violating_rows or holds")
     values, used = _encoded(df, [c for c, _ in dc], reading)
     _check_orders(orders, used)
     name = {c: f"v{i.col_id}" for c, i in used.items()}
     ordered = [c for c, _ in orders]
     base = values.groupBy(*name.values()).agg(F.expr("count(1) AS c")).where(_no_nan(ordered, used))
+    if differ or orders:
+        base = staged(base)
+    if len(orders) == 2:
+        sums = []
+        for r in range(len(differ) + 1):
+            for t in itertools.combinations(differ, r):
+                keys = [name[c] for c in (*same, *t)]
+                clean = base.where(_no_nan([*same, *t], used))
+                pairs = inversions.ordered_pairs(clean, keys, *[(name[c], o) for c, o in orders])
+                sums.append(pairs.selectExpr(f"CAST(2 * {(-1) ** r} * pairs AS DECIMAL(38,0)) AS s"))
+        return functools.reduce(DataFrame.unionByName, sums).agg(F.expr("CAST(coalesce(sum(s), 0) / 2 AS DECIMAL(38,0)) AS violations"))
     terms: list[tuple[float, list[str]]] = []
 
     def add(weight: float, equal: list[str], unequal: list[str]) -> None:
@@ -165,7 +177,13 @@ def _flag(df: DataFrame, dc: Sequence[tuple[str, str]], reading: Reading) -> tup
     if shape == (0, 2):
         (c1, o1), (c2, o2) = orders
         return values, names, _flag_two_orders(groups, keys, (name[c1], o1), (name[c2], o2), f"{ok} AND {_no_nan([c1, c2], used)}")
-    raise ValueError(f"no exact plan for {len(differ)} inequalities with {len(orders)} orderings")
+    # Any other number of inequalities and orderings: points against bounding boxes, in either role.
+    clean = groups.where(f"{ok} AND {_no_nan([c for c, _ in orders], used)}")
+    real = [name[c] for c in differ if used[c].type_class == REAL]
+    clean = staged(clean)
+    sides = [dominance.hits(clean, keys, [(name[c], o if role == "x" else MIRROR[o]) for c, o in orders], [name[c] for c in differ], real)
+             for role in "xy"]
+    return values, names, sides[0].unionByName(sides[1]).distinct().withColumn("hit", F.lit(True))
 
 
 def _attach(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:

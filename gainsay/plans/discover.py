@@ -33,7 +33,6 @@ _LOWER = "struct(edge_log AS log, edge_spread AS spread)"
 _FIRST_WAVE = 25_500        # pairs of the first look at the table
 _NODE_BYTES = 256           # bound for one row of a level without its set
 _WAVE_GROWTH = 64           # how far a never-seen predicate may stretch the next look
-_UNIQUE_CHECK = 16_000_000  # pairs beyond which proving uniqueness is cheaper than sampling on
 
 
 @dataclass
@@ -127,6 +126,12 @@ def _wave(rows: RowSet, active: list[Predicate], first: int, end: int, seed: int
     return ev
 
 
+def _never_met(spark: SparkSession, limit: int) -> tuple:
+    """State of a predicate that no pair satisfies, after all batches that are ever drawn."""
+    a, b = "1L", f"{1 + P.batch_start(limit)}L"
+    return (1, 1 + P.batch_start(limit), *spark.range(1).selectExpr(beta.mean_log_sql(a, b), beta.spread_log_sql(a, b)).first(), limit - 1)
+
+
 def sample_table(rows: RowSet, threshold: float, seed: int = 42) -> Sample:
     """Draw pairs in growing looks until every predicate's estimate has settled."""
     spark = rows.df.sparkSession
@@ -140,6 +145,7 @@ def sample_table(rows: RowSet, threshold: float, seed: int = 42) -> Sample:
     counts: list[DataFrame] = []
     known: dict[int, tuple] = {}
     proven: set[int] = set()
+    tested: set[int] = set()
     first, end = 0, _wave_end(0, limit, _FIRST_WAVE)
     while active and first < end:
         ev = _wave(rows, active, first, end, seed, cached)
@@ -148,16 +154,18 @@ def sample_table(rows: RowSet, threshold: float, seed: int = 42) -> Sample:
         stopped = adaptive_stop(functools.reduce(DataFrame.unionByName, counts), min_grad)
         found = {r.pred_id: r for r in stopped.collect()}
         active = [p for p in active if found[p.pred_id].active and p.pred_id not in proven]
-        known.update({k: (r.a, r.b, r.mean_log, r.spread_log, r.last_batch) for k, r in found.items()})
+        known.update({k: (r.a, r.b, r.mean_log, r.spread_log, r.last_batch) for k, r in found.items() if k not in proven})
         first = end
         if not active or first >= limit:
             break
         end = _wave_end(first, limit, max(_pairs_needed(*known[p.pred_id][:2], min_grad) for p in active))
-        ahead = P.batch_start(end) - P.batch_start(first)
-        if ahead > max(_UNIQUE_CHECK, rows.n):
-            # A key column's "==" holds for no pair at all: prove it once instead of drawing on.
-            proven |= {p.pred_id for p in active
-                       if p.op == "==" and known[p.pred_id][0] == 1 and is_unique(rows, p.col_id)}
+        if P.batch_start(end) - P.batch_start(first) > rows.n:
+            # A key column's "==" holds for no pair at all: that is proven at the cost of one grouping instead of drawing on.  It
+            # gets the state that the draws would have led to, so when it is proven changes no result.
+            tried = [p for p in active if p.op == "==" and p.pred_id not in tested and known[p.pred_id][0] == 1]
+            tested |= {p.pred_id for p in tried}
+            proven |= {p.pred_id for p in tried if is_unique(rows, p.col_id)}
+            known.update(dict.fromkeys(proven, _never_met(spark, limit)))
             active = [p for p in active if p.pred_id not in proven]
             if active:
                 end = _wave_end(first, limit,

@@ -59,11 +59,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
-
-def has_exchange(df: DataFrame) -> bool:
-    """True when the physical plan moves rows between tasks.
-
-    Such a plan may deal rows out differently when a lost task runs again, so row positions are
-    only taken from it after staging.
-    """
-    return "Exchange" in df._jdf.queryExecution().executedPlan().toString()

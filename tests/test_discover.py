@@ -63,10 +63,17 @@ def test_two_looks_match_recomputation(spark, monkeypatch):
 
 def test_proving_uniqueness_changes_nothing(spark, monkeypatch):
     df = table(spark).drop("one")
-    want = as_sets(discover(df, 1e-3, order_by=["k"]))
     monkeypatch.setattr(D, "_FIRST_WAVE", 300)
-    monkeypatch.setattr(D, "_UNIQUE_CHECK", 10)
-    same(as_sets(discover(df, 1e-3, order_by=["k"])), want)
+    asked = []
+    monkeypatch.setattr(D, "is_unique", lambda rows, c: asked.append(c) and False)
+    drawn = D.sample_table(D.index_rows(df, ["k"]), 1e-4)
+    want = as_sets(discover(df, 1e-4, order_by=["k"]))
+    monkeypatch.undo()
+    monkeypatch.setattr(D, "_FIRST_WAVE", 300)
+    proven = D.sample_table(D.index_rows(df, ["k"]), 1e-4)
+    assert 0 in asked
+    assert [(s.pred, s.a, s.b, s.last_batch) for s in proven.states] == [(s.pred, s.a, s.b, s.last_batch) for s in drawn.states]
+    same(as_sets(discover(df, 1e-4, order_by=["k"])), want)
 
 
 def test_functional_dependency_is_found(spark):

@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from gainsay.operators import evidence as E
 from gainsay.operators import pairs as P
@@ -116,3 +117,33 @@ def test_long_strings_differ_by_their_end(spark):
     df = spark.createDataFrame([(1, long + "x"), (2, long + "y"), (3, long + "x")], "id int, s string")
     values = [r.c1 for r in sorted(R.index_rows(df, ["id"]).values([0, 1]).collect(), key=lambda r: r.c0)]
     assert values[0] == values[2] != values[1] and max(map(len, values)) == 64
+
+
+def test_numbers_survive_a_change_of_cores(spark, tmp_path):
+    path = str(tmp_path / "many")
+    spark.range(0, 160_000, 1, 16).selectExpr("id", "id % 7 AS g").write.parquet(path)
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "2")
+        for make in (lambda: spark.read.parquet(path), lambda: spark.read.parquet(path).where("g < 6"), lambda: spark.read.parquet(path).selectExpr("id", "explode(array(1, 2)) AS g")):
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", "2")
+            rows, n = R.numbered(make())
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", "16")
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+            got = rows.selectExpr("count(1)", "count(DISTINCT rid)", "min(rid)", "max(rid)").first()
+            assert tuple(got) == (n, n, 0, n - 1) and n == make().count()
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
+def test_a_scan_is_numbered_where_it_lies(spark, tmp_path):
+    path = str(tmp_path / "plain")
+    spark.range(0, 1000, 1, 4).selectExpr("id", "id * 2 AS `a b`").write.parquet(path)
+    df = spark.read.parquet(path)
+    assert R.plain_scan(df) and R.plain_scan(df.select("`a b`", F.col("id").alias("x")))
+    for other in (df.where("id > 3"), df.limit(5), df.unionByName(df), df.selectExpr("explode(array(id, id)) AS id"), df.distinct(), df.join(df, "id"), spark.range(9),
+                  df.sample(0.5)):
+        assert not R.plain_scan(other)
+    rows, n = R.numbered(df.select("`a b`"))
+    assert n == 1000 and path in str(rows.inputFiles()) and "Exchange hash" not in rows._jdf.queryExecution().executedPlan().toString()

@@ -31,6 +31,8 @@ def check(spark, rows, dc):
 COUNTS = [[("g", "==")], [("g", "=="), ("s", "!=")], [("g", "=="), ("s", "!="), ("t", "!=")], [("g", "=="), ("r", "!=")],
           [("r", "=="), ("s", "!=")], [("g", "=="), ("r", "<")], [("g", "=="), ("r", "<="), ("s", "!=")], [("q", ">=")],
           [("s", "!=")], [("g", "=="), ("s", "=="), ("r", "!="), ("q", ">")]]
+COUNTS += [[("g", "=="), ("r", a), ("q", b)] for a, b in itertools.product(("<", "<=", ">", ">="), repeat=2)]
+COUNTS += [[("id", "<"), ("q", ">")], [("g", "=="), ("s", "!="), ("q", "<="), ("id", ">")], [("g", "=="), ("s", "!="), ("r", "!="), ("q", "<"), ("id", "<=")]]
 
 
 @pytest.mark.parametrize("dc", COUNTS, ids=str)
@@ -81,6 +83,8 @@ def test_witnesses_are_violations(spark):
 
 def test_refused_shapes(spark):
     df = spark.createDataFrame(data(), SCHEMA)
-    for bad in ([("s", "<")], [("g", "~")], [("g", "=="), ("g", "!=")], [("nope", "==")], [("r", "<"), ("q", "<"), ("id", "<")]):
+    for bad in ([("s", "<")], [("g", "~")], [("g", "=="), ("g", "!=")], [("nope", "==")], [("r", "<"), ("q", "<"), ("s", ">=")]):
         with pytest.raises(ValueError):
             verify.violating_rows(df, bad)
+    with pytest.raises(ValueError):
+        verify.violation_count(df, [("r", "<"), ("q", "<"), ("id", "<")])
