@@ -39,6 +39,8 @@ WORDS, SIMILARITY = 5, 0.8
 GROUPS, RARITY_BITS = 256, 22
 #: Points of a leaf, and points that are verified against one other within a task.
 LEAF, SPREAD = 16, 2_000
+#: Points of a tree that are packed into leaves together.
+DEALT = 4_096
 #: Bits of the filter that keeps texts of candidates before they are shuffled; it only saves work.
 FILTER_BITS = 1 << 25
 MEMORY = 250_000
@@ -238,13 +240,15 @@ def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         "stays", (F.col("node") == F.col("least_node")) & F.col("doc_id").eqNullSafe(F.col("least_id")))
     doubtful = staged(judged.where("NOT stays OR times > 1").select(F.col("node").alias("__node"), F.col("doc_id").alias("__id"), "stays"))
     maybe = id_filter(doubtful.select(F.col("__id").alias("doc_id")))
-    known = docs.withColumn("__id", docs[quoted(id_col)].cast("long"))
-    suspect = annotated(known.where(maybe(F.col("__id"))), text_col, lambda texts: [[
+    # The columns of ``docs`` pass under numbers, so that none meets a name used here.
+    numbers = {c: f"d{i}" for i, c in enumerate(docs.columns)}
+    known = docs.select(*[docs[quoted(c)].alias(n) for c, n in numbers.items()], docs[quoted(id_col)].cast("long").alias("__id"))
+    suspect = annotated(known.where(maybe(F.col("__id"))), numbers[text_col], lambda texts: [[
         node_of(v) if len(v) else None for v in (shingles(t, size) for t in texts)]], "__node long")
     told = suspect.join(doubtful, (suspect["__node"] == doubtful["__node"]) & suspect["__id"].eqNullSafe(doubtful["__id"]), "left").drop(
         doubtful["__node"], doubtful["__id"])
     one = told.where("stays").dropDuplicates(["__node", "__id"])      # only rows that came several times
-    shown = [F.col(quoted(c)) for c in docs.columns]
+    shown = [F.col(n).alias(c) for c, n in numbers.items()]
     return known.where(~maybe(F.col("__id"))).select(shown).unionByName(told.where("stays IS NULL").select(shown)).unionByName(one.select(shown))
 
 
@@ -266,9 +270,10 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, similarity:
 
     rarest = (mapped(texts.select("text"), keys, "node long, n int, keys array<long>").groupBy("node")
               .agg(F.first("n").alias("n"), F.first("keys").alias("keys")))
-    by_key = Window.partitionBy("key")
-    trees = staged(rarest.select("node", "n", F.explode("keys").alias("key"))
-                   .select("key", "node", "n", F.count("*").over(by_key).alias("points")).where("points > 1"))
+    # Counts are aggregates joined back, so that no shingle of very many points passes through one task.
+    dealt = staged(rarest.select("node", "n", F.explode("keys").alias("key")))
+    shared = dealt.groupBy("key").agg(F.count("*").alias("points")).where("points > 1")
+    trees = staged(dealt.join(shared, "key").select("key", "node", "n", "points"))
     # The point that shares its shingles most often is the centre of a tree: near copies mostly link with it.
     met = trees.groupBy("node").agg(F.sum("points").alias("met"))
     weighed = trees.join(met, "node")
@@ -309,23 +314,33 @@ def labelled(links: DataFrame, own: DataFrame) -> DataFrame:
 def between_components(trees: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of points of one tree and different components whose leaves' boxes allow a link.
 
-    The centre of a tree has met all its points before and is left out.
+    The centre of a tree has met all its points before and is left out.  A component with several points in a tree has leaves of its own,
+    whose points need not meet; points that are alone there are packed together, and meet within their leaf too.
     """
     at = trees.join(known, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-    mixed = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    placed = at.join(mixed, "key").join(sets.select("node", "vec"), "node")
-    packing = Window.partitionBy("key", "component").orderBy("n", "vec", "node")
-    leaves = staged(placed.withColumn("leaf", F.floor((F.row_number().over(packing) - 1) / LEAF)))
+    held = at.groupBy("key", "component").agg(F.count("*").alias("m"))
+    owners = held.select("key", "component", F.when(F.col("m") > 1, F.col("component")).alias("bin"), "m")
+    # Trees with several components; very full bins are dealt to several, each packed by itself.
+    mixed = held.groupBy("key").agg(F.count("*").alias("components")).where("components > 1").select("key")
+    bins = owners.groupBy("key", "bin").agg(F.ceil(F.sum("m") / DEALT).alias("parts"))
+    binned = at.join(owners.join(mixed, "key"), ["key", "component"]).select("key", "node", "n", "bin")
+    shares = bins.select("key", F.col("bin").alias("of"), "parts").where("parts > 1")
+    dealt = (binned.join(shares, (binned["key"] == shares["key"]) & binned["bin"].eqNullSafe(shares["of"]), "left").drop(shares["key"])
+             .select("key", "node", "n", "bin", F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")), F.lit(0)).alias("part")))
+    placed = dealt.join(sets.select("node", "vec"), "node")
+    packing = Window.partitionBy("key", "bin", "part").orderBy("n", "vec", "node")
+    leaves = placed.withColumn("leaf", F.floor((F.row_number().over(packing) - 1) / LEAF))
     largest = F.aggregate(F.slice("points", 2, LEAF), F.col("points")[0]["vec"], lambda x, p: F.zip_with(x, p["vec"], lambda u, v: F.greatest(u, v)))
-    box = (leaves.groupBy("key", "component", "leaf")                                       # at most LEAF points each
-           .agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.collect_list(F.struct("node", "n", "vec")).alias("points"))
-           .select("key", "component", "lo", "hi", largest.alias("box"), "points"))
-    a, b = (box.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("component", "lo", "hi", "box", "points")]) for s in "ab")
+    box = staged(leaves.groupBy("key", "bin", "part", "leaf")                                # at most LEAF points each
+                 .agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.collect_list(F.struct("node", "n", "vec")).alias("points"))
+                 .select("key", "bin", "lo", "hi", largest.alias("box"), "points").withColumn("id", F.monotonically_increasing_id()))
+    a, b = (box.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "bin", "lo", "hi", "box", "points")]) for s in "ab")
     sizes_meet = (100 * F.col("hi_a") >= percent * F.col("lo_b")) & (100 * F.col("hi_b") >= percent * F.col("lo_a"))
-    near = a.join(b, "key").where((F.col("component_a") < F.col("component_b")) & sizes_meet & (
+    apart = F.coalesce(F.col("bin_a") != F.col("bin_b"), F.lit(True)) & (F.col("id_a") < F.col("id_b"))
+    near = a.join(b, "key").where((apart | ((F.col("id_a") == F.col("id_b")) & F.col("bin_a").isNull() & (F.size("points_a") > 1))) & sizes_meet & (
         (100 + percent) * bound(F.col("box_a"), F.col("box_b")) >= percent * (F.col("lo_a") + F.col("lo_b"))))
     # The points of two leaves are compared where the leaves meet: only pairs that may link become rows.
     met = F.flatten(F.transform("points_a", lambda p: F.transform(
-        F.filter("points_b", lambda q: may_link(p["n"], q["n"], bound(p["vec"], q["vec"]), percent)),
-        lambda q: F.struct(p["node"].alias("a"), q["node"].alias("b")))))
+        F.filter("points_b", lambda q: ((F.col("id_a") != F.col("id_b")) | (p["node"] < q["node"])) & may_link(p["n"], q["n"], bound(p["vec"], q["vec"]), percent)),
+        lambda q: F.struct(F.least(p["node"], q["node"]).alias("a"), F.greatest(p["node"], q["node"]).alias("b")))))
     return near.select(F.explode(met).alias("pair")).select("pair.a", "pair.b").distinct()

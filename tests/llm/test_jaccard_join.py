@@ -64,12 +64,14 @@ def test_join_equals_all_pairs(spark, documents, monkeypatch, seed):
     monkeypatch.setattr(J, "SPREAD", 5)
     texts = families(seed)
     ids = list(range(1000, 1000 + len(texts)))
-    docs = documents(texts, ids).withColumn("node", F.lit("clash")).withColumn("component", F.lit(0))
+    monkeypatch.setattr(J, "DEALT", 6)
+    docs = documents(texts, ids).withColumn("node", F.lit("clash")).withColumn("component", F.lit(0)).withColumn("stays", F.lit(False)).withColumn("__id", F.lit(7))
     got = sorted((tuple(r) for r in J.join(docs).collect()), key=str)
     assert got == brute(ids, texts)
     kept = sorted(r.doc_id for r in J.one_per_component(docs).collect())
     assert kept == sorted(i for i, n, c in got if n == 0 or i == c)
-    assert set(J.one_per_component(docs).columns) == set(docs.columns)
+    one = J.one_per_component(docs)
+    assert set(one.columns) == set(docs.columns) and {(r["stays"], r["__id"]) for r in one.collect()} == {(False, 7)}
 
 
 def test_repeated_and_missing_ids(spark, documents):
