@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from checks import sqltext as Q
 from gainsay.functions import beta
 from gainsay.functions.text import dc_text, predicate_text
-from gainsay.operators import adaptive, evidence as E, pairs as P, predsets, rows as R, schema_model as M, triage, verify
+from gainsay.operators import adaptive, audit, evidence as E, pairs as P, predsets, rows as R, schema_model as M, triage, verify
 from gainsay.plans import discover as D
 from gainsay.plans import workloads
 from gainsay.shared import shared_dir
@@ -401,7 +401,10 @@ def set_support_customer_nation(spark, sf):
     sample = D.sample_table(rows, 1e-4)
     nodes = D._state_table(spark, sample)
     candidates = D._second_level(nodes, 1)
-    hits = E.support(sample.anchored, candidates, 1).where("hits > 0")
+    index = D._index(sample)
+    masks = E.narrowed(candidates.selectExpr("*", "slice(members, 1, 1) AS parent"), E.all_patterns(index).selectExpr("array(anchor) AS members", "chunk", "mask"),
+                       index, [s.pred for s in sample.states])
+    hits = E.counted_hits(candidates, masks).where("hits > 0")
     names = "array(" + ", ".join(f"'{s.pred.col} {s.pred.op}'" for s in sample.states) + ")"
     return hits.selectExpr(f"element_at({names}, members[0] + 1) AS anchor", f"element_at({names}, members[1] + 1) AS added", "hits")
 
@@ -569,6 +572,35 @@ def violation_witnesses_part(spark, sf):
     return verify.violations(load(spark, sf, "part"), [("p_brand", "=="), ("p_type", "!=")], "p_partkey")
 
 
+@register("violation_classes_part", """
+    SELECT p_partkey, grp AS "group", [a, b] AS classes, n - na - nb + nab AS n_partners FROM (SELECT p_partkey,
+        min(p_partkey) OVER (PARTITION BY p_brand) AS grp, min(p_partkey) OVER (PARTITION BY p_brand, p_type) AS a,
+        min(p_partkey) OVER (PARTITION BY p_brand, p_size) AS b, count(*) OVER (PARTITION BY p_brand) AS n,
+        count(*) OVER (PARTITION BY p_brand, p_type) AS na, count(*) OVER (PARTITION BY p_brand, p_size) AS nb,
+        count(*) OVER (PARTITION BY p_brand, p_type, p_size) AS nab FROM part) WHERE n - na - nb + nab > 0""")
+def violation_classes_part(spark, sf):
+    return verify.violation_classes(load(spark, sf, "part"), [("p_brand", "=="), ("p_type", "!="), ("p_size", "!=")], "p_partkey")
+
+
+def _verified_sql() -> str:
+    """Every constraint of the search, its pairs counted one by one."""
+    names = [c for c, _ in CUSTOMER_NATION]
+    holds = " AND ".join(f"CASE WHEN NOT list_contains(ps, '{c} ==') THEN true ELSE x.{c} = y.{c} END AND CASE WHEN NOT list_contains(ps, '{c} !=') THEN true ELSE x.{c} <> y.{c} END"
+                         + "".join(f" AND CASE WHEN NOT list_contains(ps, '{c} {o}') THEN true ELSE x.{c} {o} y.{c} END" for o in ("<", "<=", ">", ">=")) for c in names)
+    found = Q.discover_sql(CUSTOMER_NATION_SQL, CUSTOMER_NATION, "c_custkey", 1e-4, 4)
+    parsed = ("SELECT denial_constraint, list_transform(string_split(denial_constraint[3:-3], ' & '), lambda p: string_split(p, ' ')[1] || ' ' || string_split(p, ' ')[2]) AS ps "
+              f"FROM ({found})")
+    return (f"WITH f AS ({parsed}), t AS (SELECT * FROM {CUSTOMER_NATION_SQL}) SELECT denial_constraint, count(x.c_custkey) AS violations, count(x.c_custkey) = 0 AS holds "
+            f"FROM f LEFT JOIN (t x JOIN t y ON x.c_custkey <> y.c_custkey) ON {holds} GROUP BY ALL")
+
+
+@register("verify_discovered_customer_nation", _verified_sql())
+def verify_discovered_customer_nation(spark, sf):
+    table = customer_nation(spark, sf)
+    found = D.discover(table, 1e-4, order_by=["c_custkey"])
+    return audit.check_all(table, found).selectExpr("denial_constraint", "CAST(violations AS BIGINT) AS violations", "holds")
+
+
 # ---- predicate sets -------------------------------------------------------------------------
 
 # One predicate set per order, built from its values: work grows with the table.
@@ -836,6 +868,26 @@ def typed_csv_customer(spark, sf):
     return tables.read_typed_csv(spark, path)
 
 
+@register("typed_csv_rejects_orders", "SELECT 'price' AS \"column\", 'double' AS wanted, 'about ' || CAST(o_orderkey AS VARCHAR) AS value FROM orders WHERE o_orderkey % 7 = 0 "
+          "UNION ALL SELECT 'cust', 'bigint', '#' || CAST(o_custkey AS VARCHAR) FROM orders WHERE o_orderkey % 11 = 0")
+def typed_csv_rejects_orders(spark, sf):
+    path = f"{shared_dir(spark)}/rejects-{uuid.uuid4().hex}"
+    load(spark, sf, "orders").selectExpr(
+        "o_orderkey AS `id(Integer)`", "CASE WHEN o_orderkey % 11 = 0 THEN concat('#', o_custkey) ELSE CAST(o_custkey AS STRING) END AS `cust(Integer)`",
+        "CASE WHEN o_orderkey % 7 = 0 THEN concat('about ', o_orderkey) ELSE CAST(o_totalprice AS STRING) END AS `price(Double)`",
+        "o_orderstatus AS `status(String)`").write.option("header", True).option("quote", "'").csv(path)
+    return tables.typed_csv_rejects(spark, path)
+
+
+@register("explicit_csv_rejects_supplier", "SELECT s_suppkey % 5 = 0 AS no_number, count(*) AS n FROM supplier WHERE s_suppkey % 5 = 0 OR s_suppkey % 3 = 0 GROUP BY 1")
+def explicit_csv_rejects_supplier(spark, sf):
+    path = f"{shared_dir(spark)}/rejects-{uuid.uuid4().hex}"
+    load(spark, sf, "supplier").selectExpr(
+        "concat_ws(',', CASE WHEN s_suppkey % 5 = 0 THEN 'no number' ELSE CAST(s_suppkey AS STRING) END, CAST(s_suppkey AS STRING), CASE WHEN s_suppkey % 3 = 0 THEN '1,2' ELSE '1' END) AS value").write.text(path)
+    bad = tables.explicit_csv_rejects(spark, path, "a bigint, b bigint, c bigint")
+    return bad.groupBy(F.col("cause").contains("a").alias("no_number")).agg(F.count("*").alias("n"))
+
+
 @register("explicit_csv_supplier", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
 def explicit_csv_supplier(spark, sf):
     path = f"{shared_dir(spark)}/plain-{uuid.uuid4().hex}"

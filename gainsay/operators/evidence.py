@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from gainsay.operators.pairs import pair_values, side
 from gainsay.operators.rows import RowSet
 from gainsay.operators.schema_model import REAL, STRING, Predicate
+from gainsay.shared import staged
 
 EQUAL, LESS, GREATER, UNORDERED = 1, 2, 4, 8
 STATES = EQUAL | LESS | GREATER | UNORDERED
@@ -119,12 +120,50 @@ def predicate_counts(ev: DataFrame, preds: Sequence[Predicate], first: int, end:
     return hits.unionByName(grid).groupBy("batch", "pred_id").agg(F.expr("sum(cnt) AS hits"))
 
 
-def support(anchored: DataFrame, candidates: DataFrame, n_words: int) -> DataFrame:
-    """``candidates`` with ``hits``, the pairs satisfying each set, joined on the set's anchor.
+CHUNK = 64          # patterns of a chunk: one bigint holds a bit for each
 
-    ``anchored`` holds ``(anchor, w0, ..., cnt)``, ``candidates`` holds ``(anchor, f0, ...)`` with
-    the forbidden bits of the set, and whatever else describes it.
+
+def vertical_index(anchored: DataFrame, n_columns: int, most: int) -> DataFrame:
+    """The patterns of every anchor as weighted bitmaps: ``(anchor, chunk, states, planes)``, stored once.
+
+    A chunk is up to 64 patterns.  ``states[4 * column + state]`` has a bit for each that shows that state; ``planes[j]`` has a bit for each
+    whose count has bit ``j``, so the pairs behind any selection of patterns are a sum of bit counts.  ``most`` bounds the counts.
+    """
+    names = words(n_columns)
+    placed = staged(anchored.where("cnt > 0").repartitionByRange("anchor", *names).sortWithinPartitions("anchor", *names)
+                    .withColumn("place", F.monotonically_increasing_id()))
+    bit = f"shiftleft(1L, CAST(pmod(place, {CHUNK}) AS INT))"
+    tests = [f"(w{w} & {1 << (shift + k)}L) <> 0" for w, shift in map(_place, range(n_columns)) for k in range(4)]
+    planes = [f"(shiftright(cnt, {j}) & 1L) = 1" for j in range(max(1, most.bit_length()))]
+    sums = [F.expr(f"bit_or(CASE WHEN {t} THEN {bit} ELSE 0L END)").alias(f"b{k}") for k, t in enumerate([*tests, *planes])]
+    flat = placed.groupBy("anchor", F.expr(f"place DIV {CHUNK}").alias("chunk")).agg(*sums)
+    states, weights = (", ".join(f"b{k}" for k in part) for part in (range(len(tests)), range(len(tests), len(sums))))
+    return staged(flat.selectExpr("anchor", "chunk", f"array({states}) AS states", f"array({weights}) AS planes"))
+
+
+def all_patterns(index: DataFrame) -> DataFrame:
+    """``(anchor, chunk, mask)`` with every pattern selected."""
+    return index.selectExpr("anchor", "chunk", "aggregate(planes, 0L, (x, y) -> x | y) AS mask")
+
+
+def narrowed(candidates: DataFrame, selected: DataFrame, index: DataFrame, preds: Sequence[Predicate]) -> DataFrame:
+    """``(members, chunk, mask, hits)``: the patterns of a parent that satisfy the added predicate, and their pairs.
+
+    ``candidates`` holds ``(members, parent, anchor, last)``, ``last`` being the position of the added predicate in ``preds``; ``selected``
+    holds the ``(members, chunk, mask)`` that are left of the parents.  Only those are looked at, so work falls with them.
     """
-    clean = " AND ".join(f"(w{k} & f{k}) = 0" for k in range(n_words))
-    return (candidates.join(anchored, "anchor").where(clean)
-                      .groupBy(*candidates.columns).agg(F.expr("sum(cnt) AS hits")))
+    columns = ", ".join(str(4 * p.col_id) for p in preds)
+    allowed = ", ".join(str(ALLOWED[p.op]) for p in preds)
+    states = " | ".join(f"CASE WHEN (allowed & {1 << k}) <> 0 THEN states[first + {k}] ELSE 0L END" for k in range(4))
+    hits = "aggregate(transform(planes, (x, j) -> shiftleft(CAST(bit_count(x & mask) AS BIGINT), j)), 0L, (x, y) -> x + y)"
+    return (candidates.select("members", "parent", "anchor", "last").join(selected.select(F.col("members").alias("parent"), "chunk", F.col("mask").alias("held")), "parent")
+            .join(index, ["anchor", "chunk"])
+            .selectExpr("members", "chunk", "held", "states", "planes", f"element_at(array({columns}), last + 1) AS first", f"element_at(array({allowed}), last + 1) AS allowed")
+            .selectExpr("members", "chunk", "planes", f"held & ({states}) AS mask").where("mask <> 0")
+            .selectExpr("members", "chunk", "mask", f"{hits} AS hits"))
+
+
+def counted_hits(candidates: DataFrame, masks: DataFrame) -> DataFrame:
+    """``candidates`` with ``hits``; a set without any pattern left has none."""
+    sums = masks.groupBy("members").agg(F.sum("hits").alias("hits"))
+    return candidates.join(sums, "members", "left").withColumn("hits", F.coalesce("hits", F.lit(0).cast("long")))

@@ -330,3 +330,31 @@ def violations(df: DataFrame, dc: Sequence[tuple[str, str]], row_key: str, readi
         return (met.where("lo.v <> hi.v").selectExpr("x", f"CASE WHEN {v} <> lo.v THEN lo.x ELSE hi.x END AS y"))
     best = "lo" if op == ">" else "hi"
     return met.where(f"{v} {op} {best}.v").selectExpr("x", f"{best}.x AS y")
+
+
+def violation_classes(df: DataFrame, dc: Sequence[tuple[str, str]], row_key: str, reading: Reading = Reading()) -> DataFrame:
+    """All violating pairs of a constraint of ``==`` and ``!=``, factorised: ``(row_key, group, classes, n_partners)``, a row per violating row.
+
+    ``group`` is the least row key with the same values under ``==``, ``classes`` per ``!=`` column the least one that also shares its value there.
+    Two rows violate exactly where their groups are equal and their classes differ in every place, and ``n_partners`` counts
+    these; so a result as long as the rows stands for any number of pairs.  ``row_key`` is unique and not null; a NaN under ``!=`` is a class of its own.
+    """
+    same, differ, orders = _split(dc)
+    if orders or not differ:
+        raise ValueError("classes need == and at least one !=")
+    values, used = _encoded(df, [c for c, _ in dc], reading, keep=True)
+    keys, cols = [f"v{used[c].col_id}" for c in same], [f"v{used[c].col_id}" for c in differ]
+    rows = values.where(_no_nan(same, used)).selectExpr(f"{_ROW}.`{row_key}` AS `{row_key}`", *keys, *cols)
+    counted = rows.groupBy(*keys, *cols).agg(F.expr("count(1) AS c"), F.min(quoted(row_key)).alias("first"))
+    counted = staged(counted)
+    out = _attach(rows, counted.groupBy(*keys).agg(F.min("first").alias("group")), keys)
+    terms = []
+    for r in range(len(cols) + 1):
+        for t in itertools.combinations(range(len(cols)), r):
+            by, clean = keys + [cols[k] for k in t], _no_nan([differ[k] for k in t], used)
+            cnt = "n" + "_".join(map(str, t))
+            facts = counted.where(clean).groupBy(*by).agg(F.expr(f"sum(c) AS {cnt}"), *([F.min("first").alias(f"f{t[0]}")] if r == 1 else []))
+            out = _attach(out, facts, by)
+            terms.append(f"{'+' if r % 2 == 0 else '-'} (CASE WHEN {clean} THEN coalesce({cnt}, 0) - 1 ELSE 0 END)")
+    classes = ", ".join(f"CASE WHEN {_no_nan([c], used)} THEN f{k} ELSE `{row_key}` END" for k, c in enumerate(differ))
+    return (out.selectExpr(f"`{row_key}`", "group", f"array({classes}) AS classes", f"CAST(0 {' '.join(terms)} AS BIGINT) AS n_partners").where("n_partners > 0"))

@@ -18,8 +18,8 @@ from gainsay.functions import beta
 from gainsay.functions.text import dc_text, dependency_text
 from gainsay.operators import pairs as P
 from gainsay.operators.adaptive import CONSTANT_PENALTY, THRESHOLD_SCALE, adaptive_stop
-from gainsay.operators.evidence import (any_holds, evidence, forbidden_bits, pair_patterns,
-                                        predicate_counts, satisfied, support, word_count, words)
+from gainsay.operators.evidence import (all_patterns, any_holds, counted_hits, evidence, forbidden_bits, narrowed, pair_patterns,
+                                        predicate_counts, satisfied, vertical_index, word_count, words)
 from gainsay.operators.rows import RowSet, index_rows, is_unique
 from gainsay.operators.schema_model import Predicate
 from gainsay.shared import checkpointed, local_table
@@ -254,12 +254,12 @@ def _next_level(nodes: DataFrame, size: int, n_words: int, small: bool) -> DataF
                              "concat(array(first_lower), others) AS lower"))
 
 
-def _judge(candidates: DataFrame, anchored: DataFrame, n_words: int) -> DataFrame:
-    """Support of every candidate, and whether each member clearly lowers the added predicate."""
+def _judge(counted: DataFrame, n_words: int) -> DataFrame:
+    """Whether each member of a candidate with known ``hits`` clearly lowers the added predicate."""
     kept = ["members", "anchor", "anchor_col", "last", "last_col", *[f"f{k}" for k in range(n_words)], "a"]
     a, b = "a", "(1L + from_a - a)"
     gap = beta.distance_sql("lo.log", "lo.spread", "edge_log", "edge_spread", "edge_mean")
-    return (support(anchored, candidates, n_words).selectExpr("*", "1L + hits AS a")
+    return (counted.selectExpr("*", "1L + hits AS a")
             .selectExpr(*kept, "lower", f"{beta.mean_log_sql(a, b)} AS edge_log",
                         f"{beta.spread_log_sql(a, b)} AS edge_spread", f"{beta.mean_sql(a, b)} AS edge_mean")
             .selectExpr(*kept, "edge_log", "edge_spread", f"array_min(transform(lower, lo -> {gap})) AS score")
@@ -275,6 +275,9 @@ def lattice_levels(sample: Sample, max_size: int | None = None) -> Iterable[Data
     spark = sample.rows.df.sparkSession
     n_words = word_count(len(sample.rows.columns))
     nodes, size, n_nodes = _state_table(spark, sample), 1, 0
+    index = _index(sample)
+    preds = [s.pred for s in sample.states]
+    left = all_patterns(index).selectExpr("array(anchor) AS members", "chunk", "mask")
     while max_size is None or size < max_size:
         size += 1
         if size == 2:
@@ -282,13 +285,22 @@ def lattice_levels(sample: Sample, max_size: int | None = None) -> Iterable[Data
         else:
             row_bytes = _NODE_BYTES + 16 * size + 8 * n_words
             candidates = _next_level(nodes, size, n_words, n_nodes * row_bytes <= P.BROADCAST_BYTES)
-        nodes = checkpointed(_judge(candidates, sample.anchored, n_words))
+        candidates = checkpointed(candidates)
+        masks = checkpointed(narrowed(candidates.withColumn("parent", F.expr(f"slice(members, 1, {size - 1})")), left, index, preds))
+        nodes = checkpointed(_judge(counted_hits(candidates, masks), n_words))
         n_nodes, live = nodes.selectExpr("count(1)", "count_if(sound AND a > 1)").first()
         if n_nodes == 0:
             return
         yield nodes
         if live == 0:
             return          # every set of the next level would need one of these
+        left = masks.select("members", "chunk", "mask")
+
+
+def _index(sample: Sample) -> DataFrame:
+    """Weighted bitmaps of the sample; no count exceeds the pairs drawn."""
+    drawn = max((s.sampled_pairs for s in sample.states), default=0)
+    return vertical_index(sample.anchored, len(sample.rows.columns), drawn)
 
 
 def _rendered(found: DataFrame, sample: Sample) -> DataFrame:
@@ -370,7 +382,10 @@ def dependency_scores(df: DataFrame, target: str | None = None, threshold: float
     n_words = word_count(len(rows.columns))
     candidates = (_second_level(_state_table(spark, sample), n_words)
                   .where((F.col("last_col") == goal.col_id) & (F.col("anchor_col") != goal.col_id)))
-    best = (_judge(candidates, anchored, n_words).groupBy(F.col("anchor_col").alias("column_id"))
+    index = _index(Sample(rows, sample.states, anchored, []))
+    masks = narrowed(candidates.withColumn("parent", F.expr("slice(members, 1, 1)")), all_patterns(index).selectExpr("array(anchor) AS members", "chunk", "mask"),
+                     index, [s.pred for s in sample.states])
+    best = (_judge(counted_hits(candidates, masks), n_words).groupBy(F.col("anchor_col").alias("column_id"))
             .agg(F.max("score").alias("score")))
     scored = checkpointed(
         out.join(best, "column_id", "left")

@@ -47,13 +47,16 @@ def _is_identifier(name: str) -> bool:
 
 def read_explicit_csv(spark: SparkSession, path: str, schema: T.StructType | str, delimiter: str = ",",
                       quote: str = '"', escape: str = "\\") -> DataFrame:
-    """Headerless CSV with a given schema; rows that do not fit are dropped."""
+    """Headerless CSV with a given schema; rows that do not fit are dropped, ``explicit_csv_rejects`` lists them."""
     return (spark.read.schema(schema).option("mode", "DROPMALFORMED").option("sep", delimiter)
                  .option("quote", quote).option("escape", escape).csv(path))
 
 
 def read_typed_csv(spark: SparkSession, path: str, quote: str = "'", strip_types: bool = True) -> DataFrame:
-    """CSV whose header names the types: ``id(Integer),name(String),price(Double)``."""
+    """CSV whose header names the types: ``id(Integer),name(String),price(Double)``.
+
+    A cell that does not fit its type reads as NULL; ``typed_csv_rejects`` lists these cells.
+    """
     raw = spark.read.csv(path, header=True, inferSchema=False, quote=quote, ignoreLeadingWhiteSpace=True)
     out = []
     for name in raw.columns:
@@ -64,6 +67,38 @@ def read_typed_csv(spark: SparkSession, path: str, quote: str = "'", strip_types
     return raw.select(*out)
 
 
+def explicit_csv_rejects(spark: SparkSession, path: str, schema: T.StructType | str, delimiter: str = ",",
+                         quote: str = '"', escape: str = "\\") -> DataFrame:
+    """``(line, cause)`` of the records that ``read_explicit_csv`` drops: too few or many fields, or the columns whose cells don't fit."""
+    struct = spark.createDataFrame([], schema).schema
+    names = [_sql_name(f.name) for f in struct.fields]
+    kept = T.StructType([*struct.fields, T.StructField("__line", T.StringType())])
+    rows = (spark.read.schema(kept).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__line").option("sep", delimiter)
+                 .option("quote", quote).option("escape", escape).csv(path))
+    empty = ", ".join(f"CASE WHEN {n} IS NULL THEN '{f.name}' END" for n, f in zip(names, struct.fields))
+    return (rows.where("__line IS NOT NULL").selectExpr("__line AS line", f"array_join(array_compact(array({empty})), ', ') AS none")
+                .selectExpr("line", "CASE WHEN none = '' THEN 'number of fields' ELSE concat('empty or unfit: ', none) END AS cause"))
+
+
+def typed_csv_rejects(spark: SparkSession, path: str, quote: str = "'") -> DataFrame:
+    """``(column, wanted, value)`` of every cell that ``read_typed_csv`` has to read as NULL because it does not fit its type."""
+    raw = spark.read.csv(path, header=True, inferSchema=False, quote=quote, ignoreLeadingWhiteSpace=True)
+    cells = []
+    for name in raw.columns:
+        hit = re.fullmatch(r"(.*)\((\w+)\)", name)
+        dtype = HEADER_TYPES.get(hit.group(2), "string") if hit else "string"
+        if dtype != "string":
+            cell = _sql_name(name)
+            cells.append(F.expr(f"CASE WHEN {cell} IS NOT NULL AND try_cast({cell} AS {dtype}) IS NULL THEN struct('{dtype}' AS wanted, {cell} AS value) END")
+                         .alias(f"cell{len(cells)}"))
+    names = [m.group(1) for n in raw.columns if (m := re.fullmatch(r"(.*)\((\w+)\)", n)) and HEADER_TYPES.get(m.group(2), "string") != "string"]
+    if not cells:
+        return spark.createDataFrame([], "column string, wanted string, value string")
+    tagged = F.array(*[F.when(c.isNotNull(), F.struct(F.lit(n).alias("column"), c["wanted"].alias("wanted"), c["value"].alias("value")))
+                       for n, c in zip(names, (F.col(f"cell{k}") for k in range(len(cells))))])
+    return raw.select(*cells).select(F.inline(F.array_compact(tagged)))
+
+
 def _sql_name(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
