@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from gainsay.llm.bpe import DEFAULT_RANKS, pieces_of
+from gainsay.llm.bpe import DEFAULT_RANKS, pieces_of, tokens_of
 from gainsay.llm.common import id_text, mapped
 
 #: How a token that crosses a boundary is allocated: to the section of its first or last byte, or by its share of bytes.
@@ -49,7 +49,7 @@ def attribute(docs: DataFrame, rule: str = "first", path: str | None = None, id_
     path = path or public_tokenizers.path(DEFAULT_RANKS)
 
     def run(cols: dict[str, list]) -> Iterator[tuple]:
-        codec = pieces_of(path)
+        codec, lengths = pieces_of(path), tokens_of(path).lengths
         for doc, text in zip(cols["doc_id"], cols["text"]):
             if not text:
                 continue
@@ -57,7 +57,7 @@ def attribute(docs: DataFrame, rule: str = "first", path: str | None = None, id_
             parts = [p + separator for p in parts[:-1]] + parts[-1:] * bool(parts[-1])
             chars = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
             sections = np.concatenate([[0], np.cumsum([len(p.encode()) for p in parts])])
-            ends = np.cumsum(codec.lengths[np.frombuffer(codec.encode(text), dtype="<u4")])
+            ends = np.cumsum(lengths[np.frombuffer(codec.encode(text), dtype="<u4")])
             counts, crossing = section_counts(np.concatenate([[0], ends[:-1]]), ends, sections, rule)
             for s, (lo, hi, n, c) in enumerate(zip(chars[:-1].tolist(), chars[1:].tolist(), counts.tolist(), crossing.tolist())):
                 yield doc, s, lo, hi, n, c

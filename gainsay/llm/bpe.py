@@ -22,7 +22,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gainsay.llm.common import id_text, mapped
+from gainsay.llm.common import MEMORIES, id_text, mapped
 
 DEFAULT_RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Characters from one chunk start to the next, and characters that neighbours share at least.
@@ -30,25 +30,26 @@ STRIDE, OVERLAP = 32_768, 512
 #: Characters after a pre-token that may still decide it ('re needs two, white space one).
 LOOKAHEAD = 3
 #: Pieces remembered by a Python worker; a full memory starts anew.
-MEMORY = 150_000
+MEMORY = 60_000
 
 _PATTERN = regex.compile(public_tokenizers.PATTERN)
 _BREAK = regex.compile(r"\p{L}(?=\P{L})")
 
 
+def ranks_of(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+
+
 class Pieces(dict):
     """Token ids of a pre-token as little-endian 32-bit bytes, merged on first use."""
 
     def __init__(self, path: str):
         super().__init__()
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.path = path
         # One match for the whole input: a pre-token is never split again.
-        self.merger = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
-        self.bytes_of = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.bytes_of[rank] = token
-        self.lengths = np.array([len(t) for t in self.bytes_of], dtype=np.int64)
+        self.merger = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks_of(path), special_tokens={})
+        MEMORIES.append(self)
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= MEMORY:
@@ -62,14 +63,33 @@ class Pieces(dict):
         return b"".join(map(self.__getitem__, _PATTERN.findall(text)))
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+        return tokens_of(self.path).decode(ids)
+
 
+class Tokens(list):
+    """The bytes of every token, by rank."""
+
+    def __init__(self, path: str):
+        ranks = ranks_of(path)
+        super().__init__([b""] * (max(ranks.values()) + 1))
+        for token, rank in ranks.items():
+            self[rank] = token
+        self.lengths = np.array([len(t) for t in self], dtype=np.int64)
 
-@lru_cache(maxsize=2)
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(map(self.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+
+
+@lru_cache(maxsize=1)
 def pieces_of(path: str) -> Pieces:
     return Pieces(path)
 
 
+@lru_cache(maxsize=1)
+def tokens_of(path: str) -> Tokens:
+    return Tokens(path)
+
+
 def chunks_of(text: str, stride: int, overlap: int) -> list[tuple[int, int]]:
     """Start and end of each chunk; an end reaches past a certain break behind the next start."""
     out, start = [], 0
@@ -167,7 +187,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path = path or public_tokenizers.path(DEFAULT_RANKS)
 
     def run(cols: dict[str, list]) -> Iterator[tuple]:
-        codec = pieces_of(path)
+        codec = tokens_of(path)
         for doc, n, ids in zip(cols["doc_id"], cols["n_tokens"], cols["ids"]):
             yield doc, n, ids, codec.decode(ids)
 

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Rows that a Python task takes up and hands back at once; bounds the memory of wide rows.
-ROWS = 2048
+#: Rows and bytes that a Python task takes up and hands back at once, save for a single row that is larger.
+ROWS, BYTES = 2048, 4 << 20
+#: What functions remember within a worker; emptied at the end of a partition, since workers are used again by others.
+MEMORIES: list[dict] = []
 
 
 def importable(spark: SparkSession) -> None:
@@ -28,6 +30,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def forget() -> None:
+    """Empties the memories of this worker and hands free buffers back."""
+    for held in MEMORIES:
+        held.clear()
+    pa.default_memory_pool().release_unused()
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most ``ROWS`` rows and, but for single rows, ``BYTES`` bytes."""
+    lo = 0
+    while lo < batch.num_rows:
+        part = batch.slice(lo, ROWS)
+        while part.num_rows > 1 and part.nbytes > BYTES:
+            part = part.slice(0, part.num_rows // 2)
+        yield part
+        lo += part.num_rows
+
+
 def mapped(df: DataFrame, rows: Callable[[dict[str, list]], Iterator[tuple]], schema: str) -> DataFrame:
     """``mapInArrow`` for functions that read columns as lists and yield output tuples."""
     struct = _struct(df, schema)
@@ -35,16 +55,18 @@ def mapped(df: DataFrame, rows: Callable[[dict[str, list]], Iterator[tuple]], sc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, ROWS):
-                part = batch.slice(lo, ROWS)
+            for part in slices(batch):
                 held: list[tuple] = []
+                size = 0
                 for row in rows({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)}):
                     held.append(row)
-                    if len(held) >= 4 * ROWS:
+                    size += sum(len(x) for x in row if isinstance(x, (str, bytes)))
+                    if len(held) >= ROWS or size >= BYTES:
                         yield _packed(held, arrow)
-                        held = []
+                        held, size = [], 0
                 if held:
                     yield _packed(held, arrow)
+        forget()
 
     return df.mapInArrow(run, struct)
 
@@ -63,12 +85,12 @@ def annotated(df: DataFrame, text_col: str, values: Callable[[list], Sequence[Se
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, ROWS):
-                part = batch.slice(lo, ROWS)
+            for part in slices(batch):
                 new = values([t or "" for t in part.column(n - 1).to_pylist()])
                 columns = [part.column(i) for i in range(n)] + [pa.array(v, type=t) for v, t in zip(new, types)]
                 yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(
                     [pa.field(f.name, c.type) for f, c in zip(arrow, columns)]))
+        forget()
 
     return source.mapInArrow(run, struct)
 

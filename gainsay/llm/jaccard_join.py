@@ -27,10 +27,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gainsay.llm.common import ROWS, annotated, id_text, mapped, quoted
+from gainsay.llm.common import MEMORIES, annotated, forget, id_text, mapped, quoted, slices
 from gainsay.llm.components import components
 from gainsay.shared import staged
 
@@ -43,7 +44,7 @@ LEAF, SPREAD = 16, 2_000
 DEALT = 4_096
 #: Bits of the filter that keeps texts of candidates before they are shuffled; it only saves work.
 FILTER_BITS = 1 << 25
-MEMORY = 250_000
+MEMORY = 100_000
 #: Rarity groups in a row of counts, which are compressed: most groups are empty or small within a task.
 _SLOT = 1 << 16
 
@@ -64,6 +65,7 @@ class Hashes(dict):
 
 
 _HASHES = Hashes()
+MEMORIES.append(_HASHES)
 
 
 def shingles(text: str, size: int = WORDS) -> np.ndarray:
@@ -104,8 +106,7 @@ def points(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << RARITY_BITS, dtype=np.int32)
         for batch in batches:
-            for lo in range(0, batch.num_rows, ROWS):
-                part = batch.slice(lo, ROWS)
+            for part in slices(batch):
                 n, node, vec = [], [], []
                 for text in part.column(1).to_pylist():
                     s = shingles(text or "", size)
@@ -116,6 +117,7 @@ def points(docs: DataFrame, size: int) -> DataFrame:
                 k = len(n)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()),
                                                   pa.array(vec, pa.list_(pa.int32())), pa.nulls(k, pa.binary())], schema=schema)
+        forget()
         for lo in range(0, len(counts), _SLOT):
             if counts[lo:lo + _SLOT].any():
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1 - lo], pa.int64()), pa.nulls(1, pa.int64()),
@@ -157,13 +159,15 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     Texts of candidates are fetched by node.  The texts of all ``b`` of one ``a`` pass by its own, which is kept;
     an ``a`` with very many ``b`` is dealt to several groups.
     """
-    held = docs.where(id_filter(pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")))(F.col("doc_id")))
+    marks = filter_bits(pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")))
 
     def nodes(cols: dict[str, list]) -> Iterator[tuple]:
-        for text in cols["text"]:
-            yield node_of(shingles(text or "", size)), text
+        for h, text in zip(cols["h"], cols["text"]):
+            if h is None or marked(marks.value, np.int64(h % FILTER_BITS)):
+                yield node_of(shingles(text or "", size)), text
 
-    texts = mapped(held.select("text"), nodes, "node long, text string").dropDuplicates(["node"])
+    hashed = docs.select(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).alias("h"), "text")
+    texts = mapped(hashed, nodes, "node long, text string").dropDuplicates(["node"])
     groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / SPREAD).alias("parts"))
     dealt = pairs.select("a", "b").join(groups, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
     owners = groups.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"),
@@ -185,12 +189,13 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
                         links.append((a, b))
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], names=["a", "b"])
+        forget()
 
     return ordered.mapInArrow(check, "a long, b long")
 
 
-def id_filter(ids: DataFrame) -> Callable[[Column], Column]:
-    """A test that holds of these ids, of null and of few others: a bit vector of fixed size, filled by Spark."""
+def filter_bits(ids: DataFrame) -> Broadcast:
+    """A bit vector of fixed size, filled by Spark, in which these ids and few others are marked."""
     def fill(cols: dict[str, list]) -> Iterator[tuple]:
         for b in set((np.array(cols["h"], dtype=np.int64) % FILTER_BITS).tolist()):
             yield (b,)
@@ -207,12 +212,20 @@ def id_filter(ids: DataFrame) -> Callable[[Column], Column]:
     packed = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
     for slot, part in mapped(slots, pack, "slot long, part binary").toLocalIterator():      # 2 KB a row, FILTER_BITS in all
         packed[slot << 11:(slot + 1) << 11] = np.frombuffer(part, dtype=np.uint8)
-    shared = ids.sparkSession.sparkContext.broadcast(packed)
+    return ids.sparkSession.sparkContext.broadcast(packed)
+
+
+def marked(packed: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    return (packed[bit >> 3] >> (7 - (bit & 7))) & 1 == 1
+
+
+def id_filter(ids: DataFrame) -> Callable[[Column], Column]:
+    """A test that holds of these ids, of null and of few others."""
+    shared = filter_bits(ids)
 
     @F.pandas_udf("boolean")
     def kept(h: pd.Series) -> pd.Series:
-        bit = h.to_numpy() % FILTER_BITS
-        return pd.Series((shared.value[bit >> 3] >> (7 - (bit & 7))) & 1 == 1)
+        return pd.Series(marked(shared.value, h.to_numpy() % FILTER_BITS))
 
     return lambda doc_id: doc_id.isNull() | kept(F.xxhash64(doc_id))
 

@@ -73,6 +73,26 @@ def test_stages_against_brute_force(spark):
     assert set(final) == set(safe)
 
 
+def test_stages_keep_odd_rows_and_clashing_columns(spark):
+    odd = [(900_001, None), (900_002, ""), (900_003, " \n\t"), (900_004, "x " * 50_000), (900_005, "x " * 50_000), (900_006, "password = hunter2hunter2")]
+    clash = {"toxicity": 7, "toxic_patterns": "p", "n_words": 3, "hit_spans": "h", "hit_items": "i", "secrets": "s", "stays": False, "__id": 7, "_n": 5, "d0": "d", "a b": 1}
+    some = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in odd], "doc_id long, text string, lang string, source string, n_chars long")
+    for c, v in clash.items():
+        some = some.withColumn(c, F.lit(v))
+    now = some
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, SF)
+        assert now.columns == some.columns, name
+        rows = {r["doc_id"]: r for r in now.collect()}
+        assert {900_001, 900_002, 900_003, 900_004} <= set(rows), name
+        assert all(r[c] == v for r in rows.values() for c, v in clash.items()), name
+    assert 900_005 not in rows and "hunter2" not in rows[900_006]["text"] and rows[900_006]["n_chars"] == len(rows[900_006]["text"])
+    last = {r["doc_id"]: r["n_tokens"] for r in corpus_pipeline.tokenise(spark, now, SF).collect()}
+    assert set(last) == set(rows) and last[900_001] == last[900_002] == 0
+    empty = some.limit(0)
+    assert all(stage(spark, empty, SF).collect() == [] for _, stage in corpus_pipeline.STAGES)
+
+
 def test_url_filter_matches_its_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
