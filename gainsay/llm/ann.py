@@ -38,13 +38,13 @@ def usable(vector: Column) -> Column:
 
 
 def fit(vectors: DataFrame, n: int, k: int, target: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """Centroids, an orthogonal rotation and the lists to probe, from about ``SAMPLE`` rows chosen by a hash of the id.
+    """Centroids, an orthogonal rotation and the lists to probe, from about ``SAMPLE`` distinct rows chosen by a hash.
 
     As many lists are probed as hold the target share of the k nearest sample rows of sample queries, which are drawn at
     random and are no copies of each other.  Nearest rows of the whole table are nearer, so this errs on the side of more.
     """
-    rows = vectors.where(sampled(F.col("vec_id"), SAMPLE, n)).select("v").limit(2 * SAMPLE).toPandas()["v"]
-    rows = rows if len(rows) else vectors.select("v").limit(SAMPLE).toPandas()["v"]
+    rows = vectors.where(sampled(F.struct("vec_id", "v"), SAMPLE, n)).select("vec_id", "v").distinct().orderBy("vec_id", "v").toPandas()["v"]
+    rows = rows if len(rows) else vectors.agg(F.min("v").alias("v")).toPandas()["v"]        # where all rows are copies, or few
     x = np.stack(rows.to_numpy()).astype(np.float64)
     rng = np.random.default_rng(7)
     lists = int(min(LISTS, max(1, np.sqrt(n)), len(x)))

@@ -13,7 +13,6 @@ import operator
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import xxhash
@@ -141,16 +140,18 @@ class Weights(dict):
         return 1 / (1 + math.exp(-min(50.0, max(-50.0, margin))))
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, float]]) -> tuple[np.ndarray, float]:
-    """Weights and bias of logistic regression on soft labels, by full gradients with per-feature steps."""
+def train(rows: list[tuple[np.ndarray, np.ndarray, float]], times: list[int] | None = None) -> tuple[np.ndarray, float]:
+    """Weights and bias of logistic regression on soft labels, by full gradients with per-feature steps; a row counts ``times`` over."""
     index = np.concatenate([r[0] for r in rows]) if rows else np.empty(0, np.int64)
     value = np.concatenate([r[1] for r in rows]) if rows else np.empty(0)
     owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
     label = np.array([r[2] for r in rows])
+    share = np.array(times or [1] * len(rows), dtype=float)
+    share /= max(1.0, share.sum())
     weights, bias, squares, bias_square = np.zeros(FEATURES), 0.0, np.full(FEATURES, 1e-8), 1e-8
     for _ in range(ROUNDS if len(rows) else 0):
         margin = np.bincount(owner, value * weights[index], minlength=len(rows)) + bias
-        error = (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - label) / len(rows)
+        error = (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - label) * share
         gradient = np.bincount(index, value * error[owner], minlength=FEATURES) + DECAY * weights / len(rows)
         squares += gradient ** 2
         weights -= STEP * gradient / np.sqrt(squares)
@@ -170,17 +171,18 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     voted = annotated(texts, "text", lambda batch: [[votes_of(t) for t in batch]], "votes string")
     patterns = voted.groupBy("votes").count().collect()       # at most 3 ** 8 rows
     posterior, _ = estimate([(r["votes"], r["count"]) for r in patterns]) if patterns else ({}, None)
-    some = texts.where(sampled(F.struct("doc_id", "text"), sample, sum(r["count"] for r in patterns)))
-    taken = annotated(some, "text", lambda batch: [[votes_of(t) for t in batch]], "votes string")
+    # Copies of a text are one training row that counts as often as they come, so the sample is bounded whatever repeats.
+    some = (texts.select(F.coalesce("text", F.lit("")).alias("text")).where(sampled(F.col("text"), sample, sum(r["count"] for r in patterns)))
+            .groupBy("text").agg(F.count(F.lit(1)).alias("times")))
 
     def vectors(cols: dict[str, list]) -> Iterator[tuple]:
-        for votes, text in zip(cols["votes"], cols["text"]):
-            where, value = features_of(text or "")
-            yield votes, where.tolist(), value.tolist()
+        for text, times in zip(cols["text"], cols["times"]):
+            where, value = features_of(text)
+            yield votes_of(text), times, where.tolist(), value.tolist()
 
-    held = mapped(taken.select("votes", "text"), vectors, "votes string, where array<int>, value array<double>").toLocalIterator()
-    # Repeated rows share a hash, so the driver stops at twice the sample.
-    model = spark.sparkContext.broadcast(train([(np.array(w, np.int64), np.array(v), posterior[p]) for p, w, v in islice(held, 2 * sample)]))
+    held = sorted(mapped(some, vectors, "votes string, times long, where array<int>, value array<double>").collect())      # about ``sample`` rows
+    rows = [(np.array(w, np.int64), np.array(v), posterior[p]) for p, _, w, v in held]
+    model = spark.sparkContext.broadcast(train(rows, [r["times"] for r in held]))
     labels = spark.sparkContext.broadcast(posterior)
 
     known: list[Weights] = []
