@@ -36,11 +36,16 @@ def main() -> None:
               "lineitem": lambda: t["lineitem"], "lineitem_part": lambda: join("join_lineitem_part")}
     queries = {f"discover_{n}_{th:.0e}".replace("e-0", "e-"): (lambda f=f, th=th: discover(f(), th).count())
                for n, f in inputs.items() for th in (1e-2, 1e-4)}
+    queries["discover_customer_nation_1e-6"] = lambda: discover(inputs["customer_nation"](), 1e-6).count()
     queries["marginals_lineitem"] = lambda: verify.marginals(t["lineitem"]).collect()
     queries["violation_count_events"] = lambda: verify.violation_count(
         t["events"], [("user_id", "=="), ("event_type", "!=")]).collect()
     queries["violating_rows_two_orders_orders"] = lambda: verify.violating_rows(
         t["orders"], [("o_custkey", "=="), ("o_orderkey", "<="), ("o_totalprice", ">=")]).agg(F.count("*")).collect()
+    queries["violating_rows_three_orders_lineitem_part"] = lambda: verify.violating_rows(
+        join("join_lineitem_part"), [("l_suppkey", "=="), ("l_quantity", "<"), ("l_extendedprice", ">"), ("p_retailprice", "<=")]).agg(F.count("*")).collect()
+    queries["violation_count_two_orders_lineitem"] = lambda: verify.violation_count(
+        t["lineitem"], [("l_suppkey", "=="), ("l_quantity", "<"), ("l_extendedprice", ">")]).collect()
     discover(join("join_customer_nation"), 1e-4).count()        # warm-up, not timed
     seconds: dict[str, float] = {}
     rows: dict[str, int] = {}

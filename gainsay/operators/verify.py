@@ -15,12 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gainsay.operators import dominance, inversions
-from gainsay.operators.schema_model import (REAL, STRING, ColumnInfo, column_infos, encoded_value,
+from gainsay.operators.schema_model import (RAW_STRING_BYTES, REAL, STRING, ColumnInfo, column_infos, encoded_value,
                                             predicate_space, quoted)
 from gainsay.shared import staged
 
 MIRROR = {"==": "==", "!=": "!=", "<": ">", ">": "<", "<=": ">=", ">=": "<="}
 _ROW = "__row"
+#: The largest set of violating combinations that is broadcast to the rows.
+BROADCAST_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -142,8 +144,11 @@ def violation_count(df: DataFrame, dc: Sequence[tuple[str, str]], reading: Readi
 def violating_rows(df: DataFrame, dc: Sequence[tuple[str, str]], reading: Reading = Reading()) -> DataFrame:
     """Rows of ``df`` that take part in a violation, in either role."""
     values, names, flagged = _flag(df, dc, reading)
-    hits = flagged.where("hit").select(*names).hint("rebalance")
-    return values.join(hits, names, "left_semi").select(f"{_ROW}.*")
+    hits = staged(flagged.where("hit").select(*names))
+    # Combinations that violate go to the rows where they are few; else both sides are shuffled by the join, which splits frequent keys.
+    width = sum(16 if values.schema[n].dataType.typeName() in ("long", "double") else 16 + RAW_STRING_BYTES for n in names)
+    few = hits.count() * width <= BROADCAST_BYTES
+    return values.join(F.broadcast(hits) if few else hits.hint("rebalance"), names, "left_semi").select(f"{_ROW}.*")
 
 
 def holds(df: DataFrame, dc: Sequence[tuple[str, str]], reading: Reading = Reading()) -> bool:

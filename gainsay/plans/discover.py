@@ -32,6 +32,7 @@ RESULT_SCHEMA = ("denial_constraint string, predicates array<struct<col:string,o
 _LOWER = "struct(edge_log AS log, edge_spread AS spread)"
 _FIRST_WAVE = 25_500        # pairs of the first look at the table
 _NODE_BYTES = 256           # bound for one row of a level without its set
+_CUT = 4                    # levels between checkpoints
 _WAVE_GROWTH = 64           # how far a never-seen predicate may stretch the next look
 
 
@@ -269,8 +270,8 @@ def _judge(counted: DataFrame, n_words: int) -> DataFrame:
 def lattice_levels(sample: Sample, max_size: int | None = None) -> Iterable[DataFrame]:
     """The judged predicate sets, level by level.
 
-    Every level is checkpointed: it is small, read by several joins of the next level, and the
-    plan must not grow with the number of levels.
+    What a level leaves behind is read by several joins of the next one and kept; every ``_CUT`` levels it is checkpointed,
+    so that plans do not grow with the number of levels.
     """
     spark = sample.rows.df.sparkSession
     n_words = word_count(len(sample.rows.columns))
@@ -285,9 +286,12 @@ def lattice_levels(sample: Sample, max_size: int | None = None) -> Iterable[Data
         else:
             row_bytes = _NODE_BYTES + 16 * size + 8 * n_words
             candidates = _next_level(nodes, size, n_words, n_nodes * row_bytes <= P.BROADCAST_BYTES)
-        candidates = checkpointed(candidates)
-        masks = checkpointed(narrowed(candidates.withColumn("parent", F.expr(f"slice(members, 1, {size - 1})")), left, index, preds))
-        nodes = checkpointed(_judge(counted_hits(candidates, masks), n_words))
+        candidates = candidates.persist()
+        masks = narrowed(candidates.withColumn("parent", F.expr(f"slice(members, 1, {size - 1})")), left, index, preds)
+        masks = checkpointed(masks) if size % _CUT == 0 else masks.persist()
+        nodes = _judge(counted_hits(candidates, masks), n_words)
+        nodes = checkpointed(nodes) if size % _CUT == 0 else nodes.persist()
+        sample.cached += [candidates, masks, nodes]
         n_nodes, live = nodes.selectExpr("count(1)", "count_if(sound AND a > 1)").first()
         if n_nodes == 0:
             return

@@ -85,7 +85,8 @@ def test_grown_sets_keep_names_with_spaces_apart(spark):
     assert {r.set_id for r in predsets.grown_sets(sets, preds, 2).collect()} == {"a b !=", "a b != & c =="}
 
 
-def test_hot_key_of_a_row_check_is_split(spark):
+def test_hot_key_of_a_row_check_is_split(spark, monkeypatch):
+    monkeypatch.setattr(verify, "BROADCAST_BYTES", 0)
     df = spark.range(200_000).selectExpr("id", "IF(id % 10 = 0, id, 0) AS k", "id % 3 AS v", "sha2(CAST(id AS STRING), 256) AS pad")
     keys = {"spark.sql.shuffle.partitions": "64", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
@@ -119,3 +120,9 @@ def test_discovered_constraints_over_times_can_be_checked(spark):
     assert not verify.holds(df, [("a", "<"), ("t", "<")], reading) and verify.holds(df, [("a", "<"), ("t", ">")], reading)
     for row in D.discover(df, 1e-2, order_by=["a"], order_temporal=True).select("predicates").collect():
         assert verify.holds(df, row.predicates, reading)
+
+
+def test_few_violating_combinations_are_broadcast_to_the_rows(spark):
+    df = spark.range(10_000).selectExpr("id", "id % 500 AS k", "IF(id = 7, 1, 0) AS v", "sha2(CAST(id AS STRING), 256) AS pad")
+    got = verify.violating_rows(df, [("k", "=="), ("v", "!=")])
+    assert got.count() == 20 and "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
