@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,7 +43,7 @@ LEAF, SPREAD = 16, 2_000
 #: Points of a tree that are packed into leaves together.
 DEALT = 4_096
 #: Bits of the filter that keeps texts of candidates before they are shuffled; it only saves work.
-FILTER_BITS = 1 << 25
+FILTER_BITS, SLOT_BITS = 1 << 25, 1 << 14
 MEMORY = 100_000
 #: Rarity groups in a row of counts, which are compressed: most groups are empty or small within a task.
 _SLOT = 1 << 16
@@ -219,15 +219,29 @@ def marked(packed: np.ndarray, bit: np.ndarray) -> np.ndarray:
     return (packed[bit >> 3] >> (7 - (bit & 7))) & 1 == 1
 
 
-def id_filter(ids: DataFrame) -> Callable[[Column], Column]:
-    """A test that holds of these ids, of null and of few others."""
-    shared = filter_bits(ids)
+def maybe_among(rows: DataFrame, row_id: Column, ids: DataFrame) -> DataFrame:
+    """``rows`` with ``maybe``, which holds where the id is one of ``ids`` or null, and of few others.
 
-    @F.pandas_udf("boolean")
-    def kept(h: pd.Series) -> pd.Series:
-        return pd.Series(marked(shared.value, h.to_numpy() % FILTER_BITS))
+    The ids are bits of a vector of fixed size, in slots of words; it is filled by Spark and broadcast (``FILTER_BITS`` in all).
+    """
+    def fill(cols: dict[str, list]) -> Iterator[tuple]:
+        for b in set((np.array(cols["h"], dtype=np.int64) % FILTER_BITS).tolist()):
+            yield (b,)
+
+    def pack(cols: dict[str, list]) -> Iterator[tuple]:
+        for slot, bits in zip(cols["slot"], cols["bits"]):
+            flags = np.zeros(SLOT_BITS, dtype=bool)
+            flags[bits] = True
+            yield slot, np.packbits(flags, bitorder="little").view("<i8")
 
-    return lambda doc_id: doc_id.isNull() | kept(F.xxhash64(doc_id))
+    bits = mapped(ids.where("doc_id IS NOT NULL").select(F.xxhash64("doc_id").alias("h")), fill, "bit long").distinct()
+    slots = bits.groupBy(F.floor(F.col("bit") / SLOT_BITS).alias("slot")).agg(F.collect_set(F.pmod("bit", F.lit(SLOT_BITS)).cast("int")).alias("bits"))
+    words = F.broadcast(staged(mapped(slots, pack, "slot long, words array<long>")).withColumnRenamed("slot", "__slot"))
+    placed = rows.withColumn("__bit", F.when(row_id.isNotNull(), F.pmod(F.xxhash64(row_id), F.lit(FILTER_BITS))))
+    met = placed.join(words, F.floor(F.col("__bit") / SLOT_BITS) == F.col("__slot"), "left")
+    word = F.get("words", (F.pmod("__bit", F.lit(SLOT_BITS)) / 64).cast("int"))
+    hit = F.expr("(shiftright(__word, CAST(pmod(__bit, 64) AS INT)) & 1) = 1")
+    return met.withColumn("__word", word).withColumn("maybe", F.col("__bit").isNull() | F.coalesce(hit, F.lit(False))).drop("__bit", "__slot", "words", "__word")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -252,17 +266,17 @@ def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     judged = judged.join(least, "component").withColumn(
         "stays", (F.col("node") == F.col("least_node")) & F.col("doc_id").eqNullSafe(F.col("least_id")))
     doubtful = staged(judged.where("NOT stays OR times > 1").select(F.col("node").alias("__node"), F.col("doc_id").alias("__id"), "stays"))
-    maybe = id_filter(doubtful.select(F.col("__id").alias("doc_id")))
     # The columns of ``docs`` pass under numbers, so that none meets a name used here.
     numbers = {c: f"d{i}" for i, c in enumerate(docs.columns)}
     known = docs.select(*[docs[quoted(c)].alias(n) for c, n in numbers.items()], docs[quoted(id_col)].cast("long").alias("__id"))
-    suspect = annotated(known.where(maybe(F.col("__id"))), numbers[text_col], lambda texts: [[
+    known = maybe_among(known, F.col("__id"), doubtful.select(F.col("__id").alias("doc_id")))
+    suspect = annotated(known.where("maybe"), numbers[text_col], lambda texts: [[
         node_of(v) if len(v) else None for v in (shingles(t, size) for t in texts)]], "__node long")
     told = suspect.join(doubtful, (suspect["__node"] == doubtful["__node"]) & suspect["__id"].eqNullSafe(doubtful["__id"]), "left").drop(
         doubtful["__node"], doubtful["__id"])
     one = told.where("stays").dropDuplicates(["__node", "__id"])      # only rows that came several times
     shown = [F.col(n).alias(c) for c, n in numbers.items()]
-    return known.where(~maybe(F.col("__id"))).select(shown).unionByName(told.where("stays IS NULL").select(shown)).unionByName(one.select(shown))
+    return known.where("NOT maybe").select(shown).unionByName(told.where("stays IS NULL").select(shown)).unionByName(one.select(shown))
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float) -> DataFrame:

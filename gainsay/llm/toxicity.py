@@ -1,10 +1,10 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols: insult, threat, target, negation, report, clause end, other.  Small transducers read
-a clause one after the other: negation marks the insults and threats within its reach, reported speech marks what
-follows a reporting verb, the target transducer notes whether somebody is addressed.  They are composed into
-one transducer, whose output names the pattern of every matched word: "insult", "negated insult to target", ....
-A document's score combines the weights of its matched clauses: 1 minus the product of their complements.
+Words become symbols: insult, threat, target, negation, report, clause end, other; stems carry the weights of insults and threats.
+Two transducers are composed into one: negation marks the insults and threats within its reach, reported speech marks what
+follows a reporting verb.  Whether somebody is addressed is noted per clause.  Together they name the pattern of every
+matched word: "insult", "negated insult to target", ....
+A document's score combines the weights of its matched words: 1 minus the product of their complements.
 
 Weights are learned.  Stems (words and their beginnings) come from labelled documents by covering: the stem that
 marks most of the toxic documents not yet explained is taken first, so words that merely repeat with copies of a
