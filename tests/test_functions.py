@@ -63,6 +63,16 @@ def test_examples_keep_five_and_count_the_rest(spark):
     assert triage.category_counts(triage.triage(df)).first().n == 8
 
 
+def parses(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("split(")
+
+
+def test_examples_parse_a_line_a_few_times(spark):
+    """A filter on the class once parsed the line again for every use of its terms."""
+    df = spark.range(3).selectExpr("'s' AS section", "concat('!(a == a', id, ' & )') AS denial_constraint", "id AS position")
+    assert 1 <= parses(triage.examples(triage.triage(df))) <= 6
+
+
 def test_dependency_line(spark):
     row = spark.range(1).select(text.dependency_text(F.lit(3), F.lit(0), F.lit(2.5)).alias("t")).first()
     assert row.t == "3 0 2.500000"
