@@ -3,9 +3,10 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from gainsay.operators import dominance, inversions, verify
+from gainsay.operators import dominance, grouped, inversions, verify
 from tests import brute
 
 NAMES, CLASSES = ["id", "g", "s", "t", "r", "a", "b", "d"], ["INTEGER", "INTEGER", "STRING", "STRING", "REAL", "INTEGER", "REAL", "INTEGER"]
@@ -73,3 +74,27 @@ def test_ascents_by_brute_force():
     for n in (0, 1, 2, 7, 64, 200):
         rank, weight = r.integers(0, max(1, n // 2), n), r.integers(1, 5, n)
         assert inversions.ascents(rank, weight) == sum(int(weight[i] * weight[j]) for i, j in itertools.combinations(range(n), 2) if rank[i] < rank[j])
+
+
+def test_tasks_take_whole_groups_of_bounded_size():
+    """A task once kept each of a million points in arrays of its group."""
+    sizes = [3, 1, 40, 2, 2, 2, 1, 7, 5, 5, 1]
+    keys = np.repeat(np.arange(len(sizes)) % 4, sizes)
+    rows = pa.record_batch({"k": [f"k{k}" for k in keys], "n": np.repeat(np.arange(len(sizes)), sizes), "i": np.arange(len(keys))})
+    got = list(grouped.whole_groups((rows.slice(k, 4) for k in range(0, len(keys), 4)), 2, 8))
+    assert [i for _, part in got for i in part.column(2).to_pylist()] == list(range(len(keys)))
+    for group, part in got:
+        n = part.column(1).to_numpy()
+        assert (np.diff(group) == (np.diff(n) != 0)).all() and (len(part) <= 8 + 4 or 2 in n)
+    held = [set(part.column(1).to_pylist()) for _, part in got]
+    assert sum(map(len, held)) == len(sizes)
+
+
+@pytest.mark.parametrize("few", [0, 3, 1000])
+def test_small_groups_are_counted_alike(monkeypatch, few):
+    monkeypatch.setattr(inversions, "FEW", few)
+    r = np.random.default_rng(2)
+    g = np.sort(r.integers(0, 40, 300))
+    v, w, c = r.integers(0, 9, 300), r.integers(0, 9, 300).astype(float), r.integers(1, 5, 300)
+    want = sum(int(c[i] * c[j]) for i in range(300) for j in range(300) if g[i] == g[j] and v[i] < v[j] and w[i] < w[j])
+    assert inversions._counted(g, v, w, c) == want
