@@ -98,3 +98,34 @@ def test_small_groups_are_counted_alike(monkeypatch, few):
     v, w, c = r.integers(0, 9, 300), r.integers(0, 9, 300).astype(float), r.integers(1, 5, 300)
     want = sum(int(c[i] * c[j]) for i in range(300) for j in range(300) if g[i] == g[j] and v[i] < v[j] and w[i] < w[j])
     assert inversions._counted(g, v, w, c) == want
+
+
+def test_small_groups_need_no_pieces(spark, monkeypatch):
+    """Every group once became a piece with a box that met all boxes of its group, once for each role."""
+    monkeypatch.setattr(dominance, "hits", None)
+    df = spark.range(400).selectExpr("id", "id DIV 40 AS g", "id % 7 AS a", "CAST(id % 5 AS DOUBLE) AS b", "-id AS d", "CAST(id % 2 AS STRING) AS s")
+    for dc in ([("g", "=="), ("a", "<"), ("b", ">"), ("d", "<")], [("g", "=="), ("s", "!="), ("a", "<="), ("d", ">")]):
+        rows = [tuple(r) for r in df.collect()]
+        want = sorted(rows[i][0] for i in {i for p in brute.violating(rows, [(df.columns.index(c), o) for c, o in dc]) for i in p})
+        assert sorted(r.id for r in verify.violating_rows(df, dc).collect()) == want
+
+
+def test_points_that_few_others_violate_with():
+    r = np.random.default_rng(3)
+    group = np.repeat([0, 1, 2], [300, 60, 5])
+    a = np.arange(len(group))
+    b = a.astype(float)
+    b[[7, 290, 310]] = [250.5, 20.5, 350.5]
+    u = r.integers(0, 2, len(group))
+    beats = (group[:, None] == group) & (a[:, None] < a) & (b[:, None] >= b) & (u[:, None] != u)
+    want = beats.any(axis=0) | beats.any(axis=1)
+    assert 0 < want.sum() < len(group) and (dominance._met(group, np.zeros(len(group), dtype=bool), [a, b], ["<", ">="], [u]) == want).all()
+
+
+def test_pieces_are_read_by_points(monkeypatch):
+    """A task once took all pieces of an Arrow batch apart at once, thousands of points each."""
+    monkeypatch.setattr(dominance, "SLICE", 10)
+    sizes = [4, 4, 4, 25, 1, 9, 1, 10, 3]
+    batch = pa.record_batch({"id": list(range(len(sizes))), "points": pa.array([[0] * n for n in sizes])})
+    got = [part.column(0).to_pylist() for part in dominance._slices(iter([batch.slice(0, 2), batch.slice(2)]), 1)]
+    assert got == [[0, 1], [2], [3], [4, 5], [6], [7], [8]]
