@@ -73,6 +73,12 @@ def test_examples_parse_a_line_a_few_times(spark):
     assert 1 <= parses(triage.examples(triage.triage(df))) <= 6
 
 
+def test_counts_parse_a_line_once(spark):
+    df = spark.range(9).selectExpr("'s' AS section", "concat('!(a == a', IF(id < 6, '', CAST(id AS STRING)), ' & )') AS denial_constraint")
+    counts = triage.category_counts(triage.triage(df))
+    assert parses(counts) == 1 and [r.n for r in counts.collect()] == [6]
+
+
 def test_dependency_line(spark):
     row = spark.range(1).select(text.dependency_text(F.lit(3), F.lit(0), F.lit(2.5)).alias("t")).first()
     assert row.t == "3 0 2.500000"
