@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from pyspark.sql.types import StructType
 ROWS, BYTES = 2048, 4 << 20
 #: What functions remember within a worker; emptied at the end of a partition, since workers are used again by others.
 MEMORIES: list[dict] = []
+_C = ctypes.CDLL(None)
 
 
 def importable(spark: SparkSession) -> None:
@@ -31,10 +34,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def forget() -> None:
-    """Empties the memories of this worker and hands free buffers back."""
+    """Empties the memories of this worker and hands free memory back: an idle worker counts beside those of later stages."""
     for held in MEMORIES:
         held.clear()
     pa.default_memory_pool().release_unused()
+    if hasattr(_C, "malloc_trim"):
+        _C.malloc_trim(0)
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -60,7 +65,7 @@ def mapped(df: DataFrame, rows: Callable[[dict[str, list]], Iterator[tuple]], sc
                 size = 0
                 for row in rows({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)}):
                     held.append(row)
-                    size += sum(len(x) for x in row if isinstance(x, (str, bytes)))
+                    size += sum(x.nbytes if isinstance(x, np.ndarray) else len(x) for x in row if isinstance(x, (str, bytes, np.ndarray)))
                     if len(held) >= ROWS or size >= BYTES:
                         yield _packed(held, arrow)
                         held, size = [], 0

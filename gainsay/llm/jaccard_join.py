@@ -175,11 +175,16 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     rows = owners.unionByName(dealt.select("a", "part", "b", F.col("b").alias("node"))).join(texts, "node")
     ordered = rows.select("a", "part", "b", "text").repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owner, own = None, np.empty(0, dtype=np.uint64)
-        for batch in batches:
+    return ordered.mapInArrow(lambda batches: linked(batches, size, percent), "a long, b long")
+
+
+def linked(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """The links (``a``, ``b``) among rows ``a``, ``part``, ``b``, ``text``, where the text of ``a`` comes first, without ``b``."""
+    owner, own = None, np.empty(0, dtype=np.uint64)
+    for batch in batches:
+        for rows in slices(batch):
             links = []
-            for a, part, b, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for a, part, b, text in zip(*(rows.column(i).to_pylist() for i in range(4))):
                 values = shingles(text or "", size)
                 if b is None:
                     owner, own = (a, part), values
@@ -189,9 +194,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
                         links.append((a, b))
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], names=["a", "b"])
-        forget()
-
-    return ordered.mapInArrow(check, "a long, b long")
+    forget()
 
 
 def filter_bits(ids: DataFrame) -> Broadcast:

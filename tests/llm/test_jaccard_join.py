@@ -1,10 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gainsay.llm import jaccard_join as J
+from gainsay.llm import common, jaccard_join as J
 from gainsay.llm.components import components
 
 
@@ -116,3 +117,23 @@ def test_components(spark, seed):
     want = {(i, find(i)) for a, b in links if a is not None and a != b for i in (a, b)}
     got = [tuple(x) for x in components(spark.createDataFrame(links, "a long, b long")).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_texts_of_candidates_are_read_a_few_at_a_time(monkeypatch):
+    """All texts of an Arrow batch once became Python strings at once; an owner also holds for the parts after its own."""
+    taken = []
+
+    def counted(batch):
+        for part in common.slices(batch):
+            taken.append((part.num_rows, part.nbytes))
+            yield part
+
+    monkeypatch.setattr(common, "ROWS", 3)
+    monkeypatch.setattr(J, "slices", counted)
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, 0, None, text)] + [(1, 0, b, text if b % 2 else text.upper() + " x y z " * b) for b in range(2, 9)] + [(9, 0, None, "a b c d e f"), (9, 0, 10, text)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["a", "part", "b", "text"])
+    links = [(a, b) for out in J.linked(iter([batch]), 5, 80) for a, b in zip(*(c.to_pylist() for c in out.columns))]
+    want = {(a, b) for a, _, b, t in rows if b is not None for o in [{1: text, 9: "a b c d e f"}[a]]
+            if 100 * len(set_of(o) & set_of(t)) >= 80 * len(set_of(o) | set_of(t))}
+    assert set(links) == want and len(links) == len(want) >= 3 and max(n for n, _ in taken) == 3
