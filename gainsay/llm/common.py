@@ -42,6 +42,16 @@ def forget() -> None:
         _C.malloc_trim(0)
 
 
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """``mapInArrow``, to which Spark hands batches of about ``BYTES`` bytes, save for a single row that is larger.
+
+    Spark's own bound is 64 MB (or 10,000 rows), which executor and worker hold at once, and more while their buffers grow.  It is a
+    setting of the session, read when the plan runs, so it stays set.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of at most ``ROWS`` rows and, but for single rows, ``BYTES`` bytes."""
     lo = 0
@@ -73,7 +83,7 @@ def mapped(df: DataFrame, rows: Callable[[dict[str, list]], Iterator[tuple]], sc
                     yield _packed(held, arrow)
         forget()
 
-    return df.mapInArrow(run, struct)
+    return in_arrow(df, run, struct)
 
 
 def annotated(df: DataFrame, text_col: str, values: Callable[[list], Sequence[Sequence]], schema: str) -> DataFrame:
@@ -97,7 +107,7 @@ def annotated(df: DataFrame, text_col: str, values: Callable[[list], Sequence[Se
                     [pa.field(f.name, c.type) for f, c in zip(arrow, columns)]))
         forget()
 
-    return source.mapInArrow(run, struct)
+    return in_arrow(source, run, struct)
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

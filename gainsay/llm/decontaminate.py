@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gainsay.llm.common import annotated, digest_of, id_text
+from gainsay.llm.common import annotated, digest_of, id_text, in_arrow
 from gainsay.shared import staged
 
 WINDOW = 10
@@ -236,7 +236,7 @@ def cleaned(hit: DataFrame, text_col: str = "text", max_coverage: float = MAX_CO
             columns = [pa.array(texts, type=pa.string()) if i == where[0] else batch.column(i) for i in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema.set(where[0], pa.field(text_col, pa.string())))
 
-    return free.unionByName(cut.mapInArrow(run, schema))
+    return free.unionByName(in_arrow(cut, run, schema))
 
 
 def digests(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gainsay.llm.common import MEMORIES, annotated, forget, id_text, mapped, quoted, slices
+from gainsay.llm.common import MEMORIES, annotated, forget, id_text, in_arrow, mapped, quoted, slices
 from gainsay.llm.components import components
 from gainsay.shared import staged
 
@@ -123,7 +123,7 @@ def points(docs: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1 - lo], pa.int64()), pa.nulls(1, pa.int64()),
                                                   pa.nulls(1, pa.list_(pa.int32())), pa.array([zlib.compress(counts[lo:lo + _SLOT].tobytes(), 1)], pa.binary())], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, vec array<int>, counts binary")
+    return in_arrow(docs, run, "doc_id long, n long, node long, vec array<int>, counts binary")
 
 
 def rarity_of(marked: DataFrame) -> np.ndarray:
@@ -175,7 +175,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     rows = owners.unionByName(dealt.select("a", "part", "b", F.col("b").alias("node"))).join(texts, "node")
     ordered = rows.select("a", "part", "b", "text").repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
 
-    return ordered.mapInArrow(lambda batches: linked(batches, size, percent), "a long, b long")
+    return in_arrow(ordered, lambda batches: linked(batches, size, percent), "a long, b long")
 
 
 def linked(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:

@@ -1,12 +1,13 @@
 import os
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from gainsay.llm import bpe, decontaminate, secret_scan, toxicity
+from gainsay.llm import bpe, common, decontaminate, secret_scan, toxicity
 from gainsay.llm.common import table
 from gainsay.llm.queries import ORACLES, QUERIES
 from tests.llm.test_decontaminate import brute as hits_of
@@ -108,3 +109,20 @@ def test_queries_run_on_empty_tables(spark, tmp_path, name):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(os.path.join(tmp_path, f"{t}.parquet"))
     got = QUERIES[name](spark, str(tmp_path))
     assert got.count() == 0 and got.columns
+
+
+def test_workers_get_texts_a_few_megabytes_at_a_time(spark, documents, monkeypatch):
+    """Spark's own bound of 64 MB, or 10,000 rows, a batch let all texts of a partition reach a worker at once."""
+    texts = [f"{k} " * 40_000 for k in range(300)]
+    whole = documents(texts).coalesce(1).select("doc_id", "text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    got = common.in_arrow(whole, sizes, "n long, bytes long").collect()
+    largest = max(len(t) for t in texts)
+    assert sum(r["n"] for r in got) == len(texts) and max(r["bytes"] for r in got) <= common.BYTES + 2 * largest
+    monkeypatch.setattr(common, "BYTES", 1 << 20)
+    assert common.mapped(whole, lambda cols: ((len(t),) for t in cols["text"]), "n long").agg({"n": "sum"}).first()[0] == sum(map(len, texts))
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(1 << 20)
