@@ -19,10 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gainsay.llm.common import annotated, id_text, mapped, sampled
+from gainsay.llm.common import MEMORIES, annotated, id_text, mapped, sampled
 
 #: Rows that the scorer is trained on (about; chosen by a hash), its features, rounds, step and decay.
 SAMPLE, FEATURES, ROUNDS, STEP, DECAY = 10_000, 1 << 16, 60, 0.5, 1e-4
+#: Tokens, or classes of their characters, that a worker remembers; a full memory starts anew.
+MEMORY = 300_000
 #: Most rounds of expectation-maximisation.
 ITERATIONS = 200
 
@@ -36,7 +38,7 @@ _MARK = re.compile(r"[^\w\s.,;:!?'\"()-]{2,}|!!")
 _HIGH, _ASCII_UPPER = bytes(range(128, 256)), bytes(range(65, 91))
 _ASCII_LETTERS = _ASCII_UPPER + bytes(range(97, 123))
 _BEYOND = re.compile(r"[^\x00-\x7f]")
-_SHAPE = str.maketrans("0123456789", "0000000000")
+_RUN = re.compile(r"(.)\1+")
 
 
 def votes_of(text: str) -> str:
@@ -85,22 +87,52 @@ def estimate(patterns: list[tuple[str, int]]) -> tuple[dict[str, float], np.ndar
     return {p: float(g) for (p, _), g in zip(patterns, good)}, table
 
 
+class Classes(dict):
+    """What ``str.translate`` puts for characters: one letter for each class, others stay."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = kind = "X" if c.isupper() else "x" if c.isalpha() else "0" if c in "0123456789" else c
+        return kind
+
+
+class Shapes(dict):
+    """Feature numbers of shapes, by the classes of a token's characters; a run of one counts as two."""
+
+    def __missing__(self, classes: str) -> int:
+        if len(self) >= MEMORY:
+            self.clear()
+        slot = xxhash.xxh3_64_intdigest("s" + _RUN.sub(r"\1\1", classes)) % FEATURES
+        if len(classes) < 64:
+            self[classes] = slot
+        return slot
+
+
+_CLASSES, _SHAPES = Classes(), Shapes()
+MEMORIES.extend((_CLASSES, _SHAPES))
+
+
 class Slots(dict):
     """Feature numbers of tokens: the word itself and its shape."""
 
     def __missing__(self, token: str) -> tuple[int, int]:
-        if len(self) >= 300_000:
+        if len(self) >= MEMORY:
             self.clear()
-        shape = re.sub(r"(.)\1+", r"\1\1", "".join("X" if c.isupper() else "x" if c.isalpha() else c for c in token.translate(_SHAPE)))
-        slots = tuple(xxhash.xxh3_64_intdigest(kind + t) % FEATURES for kind, t in (("w", token.lower()), ("s", shape)))
+        slots = slots_for(token)
         if len(token) < 64:
             self[token] = slots
         return slots
 
 
+def slots_for(token: str) -> tuple[int, int]:
+    return xxhash.xxh3_64_intdigest("w" + token.lower()) % FEATURES, _SHAPES[token.translate(_CLASSES)]
+
+
 @lru_cache(maxsize=1)
 def slots_of() -> Slots:
-    return Slots()
+    held = Slots()
+    MEMORIES.append(held)
+    return held
 
 
 def features_of(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -120,12 +152,14 @@ class Weights(dict):
 
     def __init__(self, weights: np.ndarray, bias: float):
         super().__init__()
-        self.weights, self.bias = weights, bias
+        self.weights, self.bias = weights.tolist(), bias
+        self.same = self.weights[slots_for("\0same")[0]]
 
     def __missing__(self, token: str) -> float:
-        if len(self) >= 300_000:
+        if len(self) >= MEMORY:
             self.clear()
-        value = float(sum(self.weights[s] for s in slots_of()[token]))
+        word, shape = slots_for(token)
+        value = self.weights[word] + self.weights[shape]
         if len(token) < 64:
             self[token] = value
         return value
@@ -135,7 +169,7 @@ class Weights(dict):
         words = text.split()
         margin = self.bias
         if words:
-            same = sum(map(operator.eq, words, words[1:])) * float(self.weights[slots_of()["\0same"][0]])
+            same = sum(map(operator.eq, words, words[1:])) * self.same
             margin += (sum(map(self.__getitem__, words)) / 2 + same) / len(words)
         return 1 / (1 + math.exp(-min(50.0, max(-50.0, margin))))
 

@@ -1,7 +1,10 @@
+import math
 import random
+import re
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from gainsay.llm import ann, quality
@@ -97,3 +100,31 @@ def test_scorer_judges_held_out_texts(spark, documents):
     assert sum(got[i].keep for i in range(150)) >= 145 and sum(not got[i].keep for i in range(150, 230)) >= 75
     assert got[230].votes == got[231].votes == "0" * 8 and got[232].score == got[0].score
     assert quality.classify(documents([])).collect() == []
+
+
+def test_shapes_are_worked_out_once_for_tokens_of_the_same_classes(monkeypatch):
+    """Texts with many distinct words once worked out the shape of each, character by character, which took most of the time."""
+    def plain(token):
+        zeros = "".join("0" if c in "0123456789" else c for c in token)
+        shape = re.sub(r"(.)\1+", r"\1\1", "".join("X" if c.isupper() else "x" if c.isalpha() else c for c in zeros))
+        return tuple(xxhash.xxh3_64_intdigest(kind + t) % quality.FEATURES for kind, t in (("w", token.lower()), ("s", shape)))
+
+    odd = ["a", "Word", "IBM", "x2y22z222", "\0same", "ǅungla", "ß²³٣", "日本語", "--!!", "naïve-É", "0x00FF", "a" * 70, "İ1", "q́"]
+    assert [quality.slots_for(t) for t in odd] == [plain(t) for t in odd]
+    subs = []
+
+    class Run:
+        def sub(self, into, classes):
+            subs.append(classes)
+            return re.sub(r"(.)\1+", into, classes)
+
+    monkeypatch.setattr(quality, "_RUN", Run())
+    quality._SHAPES.clear()
+    words = [f"w{k:05d}q" for k in range(2000)] + odd
+    assert [quality.slots_for(w) for w in words] == [plain(w) for w in words] and subs.count("x00000x") == 1 and len(subs) <= 1 + len(odd)
+    rng = np.random.default_rng(7)
+    scorer = quality.Weights(rng.normal(size=quality.FEATURES), 0.3)
+    for _ in range(20):
+        text = " ".join(rng.choice(words, 40).tolist() + ["a", "a"])
+        where, value = quality.features_of(text)
+        assert math.isclose(scorer.score(text), 1 / (1 + math.exp(-(np.array(scorer.weights)[where] @ value + 0.3))), rel_tol=1e-9)
