@@ -354,8 +354,9 @@ def between_components(trees: DataFrame, known: DataFrame, sets: DataFrame, perc
     mixed = held.groupBy("key").agg(F.count("*").alias("components")).where("components > 1").select("key")
     bins = owners.groupBy("key", "bin").agg(F.ceil(F.sum("m") / DEALT).alias("parts"))
     binned = at.join(owners.join(mixed, "key"), ["key", "component"]).select("key", "node", "n", "bin")
-    shares = bins.select("key", F.col("bin").alias("of"), "parts").where("parts > 1")
-    dealt = (binned.join(shares, (binned["key"] == shares["key"]) & binned["bin"].eqNullSafe(shares["of"]), "left").drop(shares["key"])
+    # Under names of their own: "key" of both sides is one column by descent, and dropping one side's dropped the other's.
+    shares = bins.select(F.col("key").alias("tree"), F.col("bin").alias("of"), "parts").where("parts > 1")
+    dealt = (binned.join(shares, (F.col("key") == F.col("tree")) & F.col("bin").eqNullSafe(F.col("of")), "left")
              .select("key", "node", "n", "bin", F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")), F.lit(0)).alias("part")))
     placed = dealt.join(sets.select("node", "vec"), "node")
     packing = Window.partitionBy("key", "bin", "part").orderBy("n", "vec", "node")

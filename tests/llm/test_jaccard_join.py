@@ -75,6 +75,31 @@ def test_join_equals_all_pairs(spark, documents, monkeypatch, seed):
     assert set(one.columns) == set(docs.columns) and {(r["stays"], r["__id"]) for r in one.collect()} == {(False, 7)}
 
 
+def test_points_of_a_tree_that_miss_its_centre_meet(spark):
+    """Trees of fewer than DEALT points once lost their key between the rounds, so the second round compared nothing."""
+    trees = spark.createDataFrame([(k, n, 5) for k in (1, 2) for n in (11, 12, 13, 14)], "key long, node long, n int")
+    known = spark.createDataFrame([(11, 11), (12, 11)], "node long, component long")
+    sets = spark.createDataFrame([(n, 5, [1] * J.GROUPS) for n in (11, 12, 13, 14)], "node long, n long, vec array<int>")
+    got = sorted(map(tuple, J.between_components(trees, known, sets, 80).collect()))
+    assert got == [(11, 13), (11, 14), (12, 13), (12, 14), (13, 14)]
+
+
+def test_large_group_of_near_copies_that_reach_no_common_centre(documents):
+    """One group in which most copies link with some others only; all settings as they are."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(4))
+    base, texts = [word() for _ in range(150)], []
+    for k in range(80):
+        copy = list(base) if k % 4 else texts[r.randrange(len(texts))].split() if texts else list(base)
+        for _ in range(r.randint(1, 3)):
+            copy[r.randrange(len(copy))] = word()
+        texts.append(" ".join(copy))
+    ids = list(range(len(texts)))
+    want = brute(ids, texts)
+    assert 1 < len({c for _, _, c in want}) < 30
+    assert sorted((tuple(x) for x in J.join(documents(texts, ids)).collect()), key=str) == want
+
+
 def test_repeated_and_missing_ids(spark, documents):
     a, b = "a b c d e f g h i j", "k l m n o p q r s t"
     texts, ids = [a, a, b, None, "", a, b, ""], [7, 7, None, 3, 3, 9, 5, None]
